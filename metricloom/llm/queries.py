@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, line_crf, mixing, topk
+from . import chat, license_scan, line_crf, mixing, pieces, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,18 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(docs, chain).drop("text")
 
 
+def op10_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.sample(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob", "score", "inclusion")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_license_scan": op2_license_scan,
     "op4_chat_format": op4_chat_format,
     "op5_exact_topk": op5_exact_topk,
     "op8_line_rules": op8_line_rules,
+    "op10_sample_pieces": op10_sample_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
