@@ -66,14 +66,7 @@ def _again(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def read_lines(data: np.ndarray, at: np.ndarray) -> Lines:
     words = ts.Words(data, at, ts.NON_SPACE)
     n_docs = len(at) - 1
-    # Line ends: every newline and every text's end; a text's end comes before a newline at the same byte.
-    breaks = np.flatnonzero(data == 10)
-    key = np.sort(np.concatenate([2 * at[1:], 2 * breaks + 1]))
-    end = key >> 1
-    begin = np.zeros_like(end)
-    begin[1:] = end[:-1] + (key[:-1] & 1)
-    line_doc = np.zeros(len(end), np.int64)
-    line_doc[1:] = np.cumsum((key[:-1] & 1) == 0)
+    begin, end, line_doc = ts.line_bounds(data, at)
     total = lambda flag: np.concatenate([[0], np.cumsum(flag)])
     of_line = np.searchsorted(end, words.start, "right")
     n_line = np.bincount(of_line, minlength=len(end))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, line_crf, mixing, ngram_lm, pieces, topk
+from . import chat, license_scan, line_crf, line_dedup, mixing, ngram_lm, pieces, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(docs, chain).drop("text")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op10_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.sample(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob", "score", "inclusion")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_exact_topk": op5_exact_topk,
     "op8_line_rules": op8_line_rules,
+    "op9_line_dedup": op9_line_dedup,
     "op10_sample_pieces": op10_sample_pieces,
 }
 

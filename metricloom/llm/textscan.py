@@ -148,3 +148,16 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return np.diff(total[offsets])
+
+
+def line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, text) of every line; a text has one more line than newlines."""
+    breaks = np.flatnonzero(data == 10)
+    # A text's end comes before a newline at the same byte, which is the next text's.
+    key = np.sort(np.concatenate([2 * at[1:], 2 * breaks + 1]))
+    end = key >> 1
+    begin = np.zeros_like(end)
+    begin[1:] = end[:-1] + (key[:-1] & 1)
+    doc = np.zeros(len(end), np.int64)
+    doc[1:] = np.cumsum((key[:-1] & 1) == 0)
+    return begin, end, doc
