@@ -128,7 +128,8 @@ def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         extra = np.array([int(window_hash(words.hash[words.first[d] : words.first[d + 1]], int(words.count[d]))[0]) ^ int(words.count[d]) for d in short], np.uint64)
         doc, value = np.concatenate([doc, short]), np.concatenate([value, extra])
-    order = np.lexsort((value, doc))
+    shift = np.uint64(max(1, n_docs.bit_length()))
+    order = np.argsort((doc.astype(np.uint64) << (np.uint64(64) - shift)) | (value >> shift))
     doc, value = doc[order], value[order]
     if len(doc):
         new = np.ones(len(doc), bool)
