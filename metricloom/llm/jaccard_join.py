@@ -1,21 +1,10 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles have similarity NUM / DEN or more.
 
-Exact, and after Wang et al.'s set relations: work done for one set is used for similar ones.
-
-1. Documents of equal sets are one class (a 64-bit hash of the set), led by its smallest doc_id.
-2. Shingles are ordered: those that occur once in the corpus first (they can't be shared, and
-   are never posted), then by rarity (frequency.py).  Similar sets share a shingle among the first
-   n - ceil(t n) + 1 of each, so each class is posted under these.
-3. Index-level skipping.  In a short posting list pairs are skipped by size, by place, and by how
-   many of their shingles occur elsewhere at all.  A long list is not paired: its most central set
-   (fewest shingles of its own) is its leader, and each member is compared with the leader only.
-4. Answer-level skipping.  Members linked to their leader are connected; pairs between them need
-   no look.  The other members are compared with the leader's group by what is known: with A(x) =
-   leader - x and B(x) = x - leader, |x & z| = |leader| - |A(x)| - |A(z)| + |A(x) & A(z)| +
-   |B(x) & B(z)|, so only the small differences are matched.  Since 1 - J is a metric, members
-   nearer to the leader than x's distance less 1 - t are skipped unseen.
-   Both sides go in blocks, so that no task holds a whole group.
-5. Components of the links (components.py).
+Documents of equal sets are one class, led by its smallest doc_id.  Classes are joined exactly as
+set_join.py says, which uses work done for one set for similar ones: posting lists are skipped by
+size and place, and in long lists answers are derived from the leader's.  A member linked to its
+leader is connected to all others that are; only members outside the leader's component are looked
+at again.  component_id comes from components of the links (components.py).
 """
 
 from __future__ import annotations
@@ -27,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import set_join
 from . import textscan as ts
 from .components import components
 from .frequency import Survey, shard_bits, survey, volume
@@ -34,18 +24,10 @@ from .storage import cut
 
 NUM, DEN, WORDS = 3, 4, 5
 BITS = 29
-LONG = 16  # sets in a posting list from which it gets a leader
 FLUSH = 1 << 19  # postings that a task holds
-SENT = 2_000_000
-X_BLOCK, Z_BLOCK = 256, 4096
+SENT = 2_000_000  # documents whose ids are sent to all tasks; with more, they are joined
 NULL_ID = -(1 << 63)
 
-POSTING = np.dtype([("word", "<u8"), ("set", "<u8"), ("n", "<u4"), ("place", "<u4"), ("shared", "<u4")])
-
-
-def least_overlap(a, b, num: int = NUM, den: int = DEN):
-    return -(-num * (a + b) // (num + den))
-
 
 def _sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle) sorted by text, then each text's size and class."""
@@ -66,28 +48,14 @@ def _scan(docs: DataFrame, known: Survey, cuts: int, words: int, num: int, den:
         known, lists, held = sent.value, [], 0
 
         def flush():
-            every = np.concatenate(lists)
-            every = every[_distinct(every)]
-            shard = (every["word"] >> np.uint64(64 - cuts)).astype(np.int64)
-            edge = np.searchsorted(shard, np.arange((1 << cuts) + 1))
-            rows = [(s, every[a:b].tobytes()) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int32())), pa.array([b for _, b in rows], pa.binary())], names)
+            shards, blobs = set_join.packed(lists, cuts)
+            return pa.RecordBatch.from_arrays([shards, *(pa.nulls(len(shards), t) for t in (pa.int64(), pa.int64(), pa.int32())), blobs], names)
 
         for part in ts.slices(batches, "text"):
             doc, value, n, ids = _sets(*ts.buffer_of(part.column(1)), words)
             m = part.num_rows
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), part.column(0), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(m, pa.binary())], names)
-            common = known.repeated(value)
-            shared = np.bincount(doc[common], minlength=m)
-            able = common & (den * shared >= num * n)[doc]
-            doc, value = doc[able], value[able]
-            order = np.argsort((doc << 21) | known.rank(value), kind="stable")
-            doc, value = doc[order], value[order]
-            place = np.arange(len(doc)) - np.searchsorted(doc, doc) + (n - shared)[doc]
-            kept = place < n[doc] - (-(-num * n[doc] // den)) + 1
-            doc = doc[kept]
-            out = np.empty(len(doc), POSTING)
-            out["word"], out["set"], out["n"], out["place"], out["shared"] = value[kept], ids[doc], n[doc], place[kept], shared[doc]
+            out = set_join.postings(doc, value, n, ids, None, known, num, den)
             lists.append(out)
             held += len(out)
             if held >= FLUSH:
@@ -99,67 +67,6 @@ def _scan(docs: DataFrame, known: Survey, cuts: int, words: int, num: int, den:
     return docs.select("doc", "text").mapInArrow(run, "shard int, doc long, id long, n int, postings binary")
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    order = np.lexsort((x["set"], x["word"]))
-    if not len(order):
-        return order
-    w, s = x["word"][order], x["set"][order]
-    return order[np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] != s[:-1])])]
-
-
-def candidates(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one shard's postings: pairs to compare (a < b), and (member, leader) of the long lists."""
-    x = x[_distinct(x)]
-    x = x[np.lexsort((x["set"], x["n"], x["word"]))]
-    head = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]])) if len(x) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([head, [len(x)]]))
-    run = np.repeat(np.arange(len(head)), size)
-    short = (size < LONG)[run] & (size > 1)[run]
-    y, of = x[short], run[short]
-    n, place, shared, ids = (y[k].astype(np.int64) if k != "set" else y[k] for k in ("n", "place", "shared", "set"))
-    pairs = []
-    for step in range(1, LONG):
-        i = np.arange(len(y) - step)
-        j = i + step
-        i = i[of[i] == of[j]] if len(i) else i
-        if not len(i):
-            break
-        j = i + step
-        need = least_overlap(n[i], n[j], num, den)
-        good = (den * n[i] >= num * n[j]) & (np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (np.minimum(shared[i], shared[j]) >= need)
-        pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)[good])
-    long = (size >= LONG)[run]
-    y, of = x[long], run[long]
-    order = np.lexsort((y["set"], y["n"] - y["shared"], of))
-    leader = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])] if len(order) else order
-    led = np.stack([y["set"], y["set"][np.repeat(leader, size[size >= LONG])]], 1) if len(y) else np.zeros((0, 2), np.uint64)
-    led = led[led[:, 0] != led[:, 1]]
-    unique = lambda p: np.unique(p, axis=0).view(np.int64) if len(p) else np.zeros((0, 2), np.int64)
-    return unique(np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint64)), unique(led)
-
-
-def compare_block(x: list[tuple], z: list[tuple], leader_n: int, num: int, den: int) -> list[tuple]:
-    """Links between x and z (both: id, n, A, B), from the differences to their leader."""
-
-    def flat(rows):
-        size = np.array([len(r[2]) + len(r[3]) for r in rows], np.int64)
-        tokens = np.concatenate([np.concatenate([np.asarray(r[2], np.int64), ~np.asarray(r[3], np.int64) ^ 0x55AA]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-        return np.repeat(np.arange(len(rows)), size), tokens
-
-    (xo, xt), (zo, zt) = flat(x), flat(z)
-    order = np.argsort(zt, kind="stable")
-    zo, zt = zo[order], zt[order]
-    low, high = np.searchsorted(zt, xt, "left"), np.searchsorted(zt, xt, "right")
-    times = high - low
-    at = np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    both = np.bincount(np.repeat(xo, times) * len(z) + zo[at], minlength=len(x) * len(z)).reshape(len(x), len(z))
-    xn, zn = np.array([r[1] for r in x]), np.array([r[1] for r in z])
-    xa, za = np.array([len(r[2]) for r in x]), np.array([len(r[2]) for r in z])
-    overlap = leader_n - xa[:, None] - za[None] + both
-    i, j = np.nonzero((num + den) * overlap >= num * (xn[:, None] + zn[None]))
-    return [(x[a][0], z[b][0]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if x[a][0] != z[b][0]]
-
-
 def link(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(rows: doc, id, n) of every document, and links (a, b) between doc_ids of class leaders, enough
     of them that components are right: pairs within a long list whose sets are connected through its
@@ -169,64 +76,21 @@ def link(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     scanned = cut(_scan(docs, known, shard_bits(size // 60), words, num, den))
     rows = scanned.where("shard is null").select("doc", "id", "n")
 
-    def find(pdf):
-        import pandas as pd
-
-        pairs, led = candidates(np.frombuffer(b"".join(pdf["postings"]), POSTING), num, den)
-        both = np.concatenate([pairs, led])
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "led": np.arange(len(both)) >= len(pairs)})
-
-    found = cut(scanned.where("shard is not null").select("shard", "postings").groupBy("shard").applyInPandas(find, "a long, b long, led boolean").groupBy("a", "b").agg(F.max("led").alias("led")))
+    found = set_join.find(scanned.where("shard is not null").select("shard", "postings"), num, den)
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     lead = cut(rows.where("n > 0").groupBy("id").agg(F.min("doc").alias("doc"), F.first("n").alias("n")).join(wanted, "id"))
-    sets = _shingles(docs, lead, words)
-    x, y = (sets.select(F.col("id").alias(k), F.col("doc").alias(f"{k}_doc"), F.col("n").alias(f"{k}_n"), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-    met = found.join(x, "a").join(y, "b").withColumns({"lack": F.array_except("b_set", "a_set"), "more": F.array_except("a_set", "b_set")})
-    met = met.withColumn("overlap", F.col("b_n") - F.size("lack")).withColumn("linked", F.col("overlap") * (num + den) >= num * (F.col("a_n") + F.col("b_n")))
-    none = F.array().cast("array<bigint>")
-    met = cut(met.select("a_doc", "b_doc", "a_n", "b_n", "overlap", "linked", "led", F.when(F.col("led"), F.col("lack")).otherwise(none).alias("lack"), F.when(F.col("led"), F.col("more")).otherwise(none).alias("more")))
-    links = met.where("linked").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
-    outside = met.where("led and not linked")
-    if outside.isEmpty():
+    met = set_join.verify(found, _shingles(docs, lead, words), num, den)
+    links = met.where("linked").select("a", "b")
+    if met.where("led and not linked").isEmpty():
         return rows, links
-    return rows, links.unionAll(_outsiders(met, links, num, den))
-
-
-def _outsiders(met: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of long lists' members that aren't connected to their leader yet (step 4)."""
     group = components(links)
-    a = group.select(F.col("node").alias("a_doc"), F.col("component").alias("ga"))
-    b = group.select(F.col("node").alias("b_doc"), F.col("component").alias("gb"))
-    # b is the leader; far: distance to it.
-    far = 1 - F.col("overlap") / (F.col("a_n") + F.col("b_n") - F.col("overlap"))
-    led = met.where("led").join(a, "a_doc", "left").join(b, "b_doc", "left").select("a_doc", "b_doc", "a_n", "b_n", "lack", "more", far.alias("far"), F.coalesce("ga", "a_doc").alias("ga"), (F.coalesce("ga", "a_doc") != F.coalesce("gb", "b_doc")).alias("out"))
-    led = cut(led)
-    per = led.groupBy("b_doc").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all"), F.min(F.when(F.col("out"), F.col("far"))).alias("nearest")).where("n_out > 0 and n_all > 1")
-    per = per.withColumns({"xb": F.ceil(F.col("n_out") / X_BLOCK).cast("int"), "zb": F.ceil(F.col("n_all") / Z_BLOCK).cast("int")})
-    met_by = led.join(per, "b_doc")
-    part = lambda seed, n: F.pmod(F.xxhash64("a_doc", F.lit(seed)), F.col(n)).cast("int")
-    common = ["b_doc", "b_n", "a_doc", "a_n", "lack", "more", "far", "ga"]
-    x = met_by.where("out").withColumns({"i": part(1, "xb"), "j": F.explode(F.sequence(F.lit(0), F.col("zb") - 1)), "side": F.lit(0)})
-    z = met_by.where(F.col("far") >= F.col("nearest") - (1 - num / den) - 1e-9).withColumns({"j": part(2, "zb"), "i": F.explode(F.sequence(F.lit(0), F.col("xb") - 1)), "side": F.lit(1)})
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("far")
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        take = lambda d: list(zip(d.a_doc.tolist(), d.a_n.tolist(), d.lack, d.more, strict=True))
-        out, z, z_far, z_of = [], take(right), right.far.to_numpy(), right.ga.to_numpy()
-        for (of, _), own in left.groupby(["ga", (left.far // 0.02)]):
-            fit = np.flatnonzero((z_far >= own.far.min() - (1 - num / den) - 1e-9) & (z_of != of))
-            if len(fit):
-                out += compare_block(take(own), [z[k] for k in fit], int(pdf.b_n.iloc[0]), num, den)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return x.select(*common, "i", "j", "side").unionByName(z.select(*common, "i", "j", "side")).groupBy("b_doc", "i", "j").applyInPandas(run, "a long, b long")
+    part = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    led = met.where("led").join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({"part": F.coalesce("a_part", "a"), "leader_part": F.coalesce("b_part", "b")})
+    return rows, links.unionAll(set_join.unsettled(led.withColumn("out", F.col("part") != F.col("leader_part")), num, den))
 
 
 def _shingles(docs: DataFrame, lead: DataFrame, words: int) -> DataFrame:
-    """id, doc, n and shingles of the classes in lead, read again from their leading documents."""
+    """id, key (its doc), n and tokens of the classes in lead, read again from their leading documents."""
     ids = lead.select("doc", "id", "n")
     found = docs.join(F.broadcast(ids) if lead.count() <= SENT else ids, "doc").select("doc", "id", "n", "text")
 
@@ -238,9 +102,9 @@ def _shingles(docs: DataFrame, lead: DataFrame, words: int) -> DataFrame:
             size = n[own]
             inner = np.repeat(first[own], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(value[inner].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own)), part.column(0).take(pa.array(own)), part.column(2).take(pa.array(own)), lists], ["id", "doc", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own)), part.column(0).take(pa.array(own)), part.column(2).take(pa.array(own)), lists], ["id", "key", "n", "tokens"])
 
-    return cut(found.mapInArrow(run, "id long, doc long, n int, shingles array<long>").dropDuplicates(["id"]))
+    return cut(found.mapInArrow(run, "id long, key long, n int, tokens array<long>").dropDuplicates(["id"]))
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

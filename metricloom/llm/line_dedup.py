@@ -6,15 +6,10 @@ A line is the set of its words (A-Z lower-cased); a line is removed if an earlie
 1. Lines of equal sets are one class, known by a 64-bit hash of the set; only its first line can
    stay.  Classes are first merged within each task, so a line that stands in a third of all
    documents costs one row for each task.
-2. Words are ordered by rarity (counts over the whole corpus, see frequency.py).  Two sets of
-   enough similarity share a word among the first n - ceil(t n) + 1 of each (prefix filter), so
-   each class is posted under these; a word that occurs once in the corpus can't be shared and is
-   left out.
-3. Within a word's postings, pairs of too different size (length filter), pairs that share too
-   little after this place (positional filter) and pairs whose 64-bit signatures differ in too
-   many bits are left out.
-4. The remaining pairs are verified on their whole word sets.
-5. A class whose first line has an earlier similar class loses that line too.
+2. Classes are joined exactly as set_join.py says: words ordered by rarity over the whole corpus,
+   prefix, length and positional filters, whole sets verified.  The leader of a long posting list
+   is its earliest class: what it removes needs no other look.
+3. A class whose first line has an earlier similar class loses that line too.
 """
 
 from __future__ import annotations
@@ -27,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import set_join
 from . import textscan as ts
 from .frequency import Survey, shard_bits, survey, volume
 from .storage import cut
@@ -35,14 +31,6 @@ NUM, DEN = 4, 5
 BITS = 27
 FLUSH = 1 << 18  # classes that a task holds before it writes
 SENT = 2_000_000  # classes whose ids are sent to all tasks; with more, they are joined
-PAIR_CHUNK = 1 << 20
-
-POSTING = np.dtype([("word", "<u8"), ("set", "<u8"), ("signature", "<u8"), ("n", "<u4"), ("place", "<u4")])
-
-
-def least_overlap(a, b, num: int, den: int):
-    """The smallest overlap at which sets of sizes a and b are similar enough."""
-    return -(-num * (a + b) // (num + den))
 
 
 @dataclass
@@ -79,28 +67,6 @@ class LineSets:
         return cls(doc[full], number[full], ts.mix(total + n.astype(np.uint64)), n, first, word, of)
 
 
-def postings(x: LineSets, chosen: np.ndarray, survey_: Survey, num: int, den: int) -> np.ndarray:
-    """Prefix postings of the chosen lines."""
-    mask = np.zeros(len(x.n), bool)
-    mask[chosen] = True
-    inside = mask[x.of]
-    of, word = x.of[inside], x.word[inside]
-    order = np.argsort((of << 21) | survey_.rank(word), kind="stable")
-    of, word = of[order], word[order]
-    head = np.searchsorted(of, of)
-    place = np.arange(len(of)) - head
-    size = x.n[of]
-    bit = np.uint64(1) << (ts.mix(word) & np.uint64(63))
-    signature = np.zeros(len(x.n), np.uint64)
-    starts = np.flatnonzero(place == 0)
-    if len(starts):
-        signature[of[starts]] = np.bitwise_or.reduceat(bit, starts)
-    kept = (place < size - (-(-num * size // den)) + 1) & survey_.repeated(word)
-    out = np.empty(int(kept.sum()), POSTING)
-    out["word"], out["set"], out["signature"], out["n"], out["place"] = word[kept], x.id[of[kept]], signature[of[kept]], size[kept], place[kept]
-    return out
-
-
 def _scan(docs: DataFrame, survey_: Survey, cuts: int, num: int, den: int) -> DataFrame:
     """Rows of two kinds: a class's first line in a task (shard null), and packed postings of a shard."""
     sent = docs.sparkSession.sparkContext.broadcast(survey_)
@@ -117,14 +83,9 @@ def _scan(docs: DataFrame, survey_: Survey, cuts: int, num: int, den: int) -> Da
             one = order[np.concatenate([[True], id_[order][1:] != id_[order][:-1]])]
             m = len(one)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.array(id_[one].view(np.int64)), pa.array(doc[one]), pa.array(text[one]), pa.array(number[one].astype(np.int32)), pa.array(n[one].astype(np.int32)), pa.nulls(m, pa.binary())], NAMES)
-            every = np.concatenate(lists)
-            every = every[_distinct(every)]
-            shard = (every["word"] >> np.uint64(64 - cuts)).astype(np.int64)
-            edge = np.searchsorted(shard, np.arange((1 << cuts) + 1))
-            rows = [(s, every[a:b].tobytes()) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-            if rows:
-                none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *none, pa.array([b for _, b in rows], pa.binary())], NAMES)
+            shards, blobs = set_join.packed(lists, cuts)
+            none = [pa.nulls(len(shards), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([shards, *none, blobs], NAMES)
 
         for part in ts.slices(batches, "text"):
             x = LineSets.read(*ts.buffer_of(part.column(2)))
@@ -132,12 +93,14 @@ def _scan(docs: DataFrame, survey_: Survey, cuts: int, num: int, den: int) -> Da
                 continue
             doc = part.column(0).to_numpy(zero_copy_only=False)[x.doc]
             text = part.column(1).to_numpy(zero_copy_only=False)[x.doc]
-            _, one = np.unique(x.id, return_index=True)
             order = np.lexsort((x.number, text, doc, x.id))
             first = order[np.concatenate([[True], x.id[order][1:] != x.id[order][:-1]])]
             seen.append((doc[first], text[first], x.number[first], x.id[first], x.n[first]))
-            # Sets of few words are similar to no other set.
-            lists.append(postings(x, one[num * (x.n[one] + 1) <= den * x.n[one]], known, num, den))
+            new = np.full(len(x.n), -1)
+            new[np.sort(first)] = np.arange(len(first))
+            own = new[x.of] >= 0
+            kept = np.sort(first)
+            lists.append(set_join.postings(new[x.of[own]], x.word[own], x.n[kept], x.id[kept], doc[kept], known, num, den))
             held += len(first)
             if held >= FLUSH:
                 yield from flush()
@@ -151,45 +114,6 @@ def _scan(docs: DataFrame, survey_: Survey, cuts: int, num: int, den: int) -> Da
 NAMES = ["shard", "id", "doc", "text_hash", "number", "n", "postings"]
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    """Places of the distinct (word, set), in that order."""
-    order = np.lexsort((x["set"], x["word"]))
-    if not len(order):
-        return order
-    w, s = x["word"][order], x["set"][order]
-    return order[np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] != s[:-1])])]
-
-
-def candidates(x: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
-    """Pairs of sets (as rows of two ids, the smaller first) of one shard's postings that pass all filters."""
-    x = x[_distinct(x)]
-    order = np.lexsort((x["set"], x["n"], x["word"]))
-    x = x[order]
-    word, n, place, signature, ids = x["word"], x["n"].astype(np.int64), x["place"].astype(np.int64), x["signature"], x["set"]
-    end = np.searchsorted(word, word, "right")
-    # Sizes rise within a word: the partners of i are those after it up to size n / t.
-    code = np.searchsorted(word[np.concatenate([[True], word[1:] != word[:-1]])], word) if len(word) else word
-    key = code.astype(np.int64) * (1 << 33) + n
-    last = np.minimum(end, np.searchsorted(key, code.astype(np.int64) * (1 << 33) + n * den // num, "right"))
-    times = np.maximum(last - np.arange(len(x)) - 1, 0)
-    a = 0
-    total = np.cumsum(times)
-    while a < len(x):
-        done = total[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(total, done + PAIR_CHUNK, "right")))
-        t = times[a:b]
-        i = np.repeat(np.arange(a, b), t)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(t) - t, t)
-        need = least_overlap(n[i], n[j], num, den)
-        good = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need - np.minimum(place[i], place[j])
-        i, j, need = i[good], j[good], need[good]
-        good = np.bitwise_count(signature[i] ^ signature[j]) <= n[i] + n[j] - 2 * need
-        i, j = i[good], j[good]
-        if len(i):
-            yield np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)
-        a = b
-
-
 def similar_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """The classes (id, first line, n) and the links between different ones (a, b).
 
@@ -200,49 +124,49 @@ def similar_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[Da
     rows = cut(_scan(docs, known, cuts, num, den))
     classes = rows.where("shard is null").groupBy("id").agg(F.min(F.struct("doc", "text_hash", "number")).alias("first"), F.first("n").alias("n"))
 
-    def pairs(pdf):
-        import pandas as pd
+    found = set_join.find(rows.where("shard is not null").select("shard", "postings"), num, den)
+    wanted = cut(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", "n", "first.*"))
+    met = set_join.verify(found, _sets(docs, wanted), num, den)
+    links = met.where("linked").select("a", "b")
+    lost = cut(removed(classes, links).withColumnRenamed("id", "a").withColumn("gone", F.lit(True)))
+    led = met.where("led").join(lost, "a", "left").withColumns({"part": F.col("a"), "out": F.col("gone").isNull()})
+    if led.where("out").isEmpty():
+        return classes, links
+    return classes, links.unionAll(set_join.unsettled(led, num, den))
 
-        x = np.frombuffer(b"".join(pdf["postings"]), POSTING)
-        found = [*candidates(x, num, den)]
-        both = np.unique(np.concatenate(found), axis=0).view(np.int64) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    links = cut(rows.where("shard is not null").select("shard", "postings").groupBy("shard").applyInPandas(pairs, "a long, b long").distinct())
-    wanted = cut(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", "first.*"))
-    sets = _sets(docs, wanted)
-    met = links.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return classes, met.where((num + den) * shared >= num * (F.size("wa") + F.size("wb"))).select("a", "b")
+def removed(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """id of each class that is linked to a class with an earlier first line."""
+    first = lambda c: classes.select(F.col("id").alias(c), F.col("first").alias(f"{c}_first"))
+    met = links.join(first("a"), "a").join(first("b"), "b")
+    return met.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and words of the wanted classes, read again from their first lines."""
-    at = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("number", "id")).alias("lines"))
-    found = docs.join(F.broadcast(at) if wanted.count() <= SENT else at, ["doc", "text_hash"]).select("text", "lines")
+    """id, key (its id), n and tokens of the wanted classes, read again from their first lines."""
+    at = wanted.groupBy("doc", "text_hash").agg(F.collect_list("id").alias("ids"))
+    found = docs.join(F.broadcast(at) if wanted.count() <= SENT else at, ["doc", "text_hash"]).select("text", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ts.slices(batches, "text"):
             x = LineSets.read(*ts.buffer_of(part.column(0)))
-            ids = np.array([r["id"] for rows in part.column(1).to_pylist() for r in rows], np.int64).view(np.uint64)
+            ids = np.array([i for rows in part.column(1).to_pylist() for i in rows], np.int64).view(np.uint64)
             own = np.flatnonzero(np.isin(x.id, ids))
             _, one = np.unique(x.id[own], return_index=True)
             own = own[one]
             if len(own):
                 n = x.n[own]
                 inner = np.repeat(x.first[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(x.id[own].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.word[inner].view(np.int64)))], ["id", "words"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.id[own].view(np.int64))] * 2, pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.word[inner].view(np.int64)))], ["id", "key", "n", "tokens"])
 
-    return cut(found.mapInArrow(run, "id long, words array<long>").dropDuplicates(["id"]))
+    return cut(found.mapInArrow(run, "id long, key long, n int, tokens array<long>").dropDuplicates(["id"]))
 
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc, text_hash and the numbers of the lines that stay, of the documents that keep a line with a word."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     classes, links = similar_classes(keyed, num, den)
-    firsts = classes.select("id", "first")
-    earlier = links.select("a", "b").join(firsts.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    lost = earlier.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    lost = removed(classes, links)
     return classes.join(lost, "id", "left_anti").groupBy("first.doc", "first.text_hash").agg(F.collect_list("first.number").alias("kept"))
 
 
