@@ -39,32 +39,48 @@ def _sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.
     return doc, value, n, ts.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))
 
 
+ROW = np.dtype([("id", "<u8"), ("doc", "<i8"), ("n", "<u4")])
+
+
 def _scan(docs: DataFrame, known: Survey, cuts: int, words: int, num: int, den: int) -> DataFrame:
-    """A row for each document (shard null) and packed postings of a shard."""
+    """A row for each document (doc, id, n; a null) and one for each pair of classes to compare (a, b, led)."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
-    names = ["shard", "doc", "id", "n", "postings"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lists, held = sent.value, [], 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, lists, rows, held = sent.value, [], [], 0
 
         def flush():
-            shards, blobs = set_join.packed(lists, cuts)
-            return pa.RecordBatch.from_arrays([shards, *(pa.nulls(len(shards), t) for t in (pa.int64(), pa.int64(), pa.int32())), blobs], names)
+            row = np.concatenate(rows)
+            row = row[np.argsort(row["id"])]
+            every = set_join.distinct(np.concatenate(lists))
+            return pa.RecordBatch.from_arrays(set_join.both_packed(set_join.packed(row, row["id"], cuts), set_join.packed(every, every["word"], cuts)), ["shard", "rows", "postings"])
 
         for part in ts.slices(batches, "text"):
             doc, value, n, ids = _sets(*ts.buffer_of(part.column(1)), words)
-            m = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), part.column(0), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(m, pa.binary())], names)
-            out = set_join.postings(doc, value, n, ids, None, known, num, den)
-            lists.append(out)
-            held += len(out)
+            row = np.empty(part.num_rows, ROW)
+            row["id"], row["doc"], row["n"] = ids, part.column(0).to_numpy(zero_copy_only=False), n
+            rows.append(row)
+            lists.append(set_join.postings(doc, value, n, ids, None, known, num, den))
+            held += len(lists[-1])
             if held >= FLUSH:
                 yield flush()
-                lists, held = [], 0
-        if held:
+                lists, rows, held = [], [], 0
+        if rows:
             yield flush()
 
-    return docs.select("doc", "text").mapInArrow(run, "shard int, doc long, id long, n int, postings binary")
+    def find(pdf):
+        import pandas as pd
+
+        row = np.concatenate([set_join.from_bytes(b, ROW) for b in pdf["rows"]])
+        pairs, led = set_join.candidates(np.concatenate([set_join.from_bytes(b, set_join.posting(4)) for b in pdf["postings"]]), num, den)
+        both = np.concatenate([pairs, led])
+        empty = lambda n: pd.array([None] * n, dtype="Int64")
+        one = pd.DataFrame({"doc": pd.array(row["doc"], dtype="Int64"), "id": pd.array(row["id"].view(np.int64), dtype="Int64"), "n": pd.array(row["n"].astype(np.int64), dtype="Int64"), "a": empty(len(row)), "b": empty(len(row)), "led": False})
+        two = pd.DataFrame({"doc": empty(len(both)), "id": empty(len(both)), "n": empty(len(both)), "a": pd.array(both[:, 0], dtype="Int64"), "b": pd.array(both[:, 1], dtype="Int64"), "led": np.arange(len(both)) >= len(pairs)})
+        return pd.concat([one, two])
+
+    packed = docs.select("doc", "text").mapInArrow(gather, "shard int, rows binary, postings binary")
+    return packed.groupBy("shard").applyInPandas(find, "doc long, id long, n long, a long, b long, led boolean")
 
 
 def link(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
@@ -74,9 +90,8 @@ def link(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     size = volume(docs)
     known = survey(docs.select("text"), lambda data, at: ts.shingles(ts.Words(ts.LOWER[data], at, ts.NON_SPACE), words)[1], size // 6, BITS)
     scanned = cut(_scan(docs, known, shard_bits(size // 60), words, num, den))
-    rows = scanned.where("shard is null").select("doc", "id", "n")
-
-    found = set_join.find(scanned.where("shard is not null").select("shard", "postings"), num, den)
+    rows = scanned.where("a is null").select("doc", "id", "n")
+    found = scanned.where("a is not null").groupBy("a", "b").agg(F.max("led").alias("led"))
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     lead = cut(rows.where("n > 0").groupBy("id").agg(F.min("doc").alias("doc"), F.first("n").alias("n")).join(wanted, "id"))
     met = set_join.verify(found, _shingles(docs, lead, words), num, den)
@@ -104,7 +119,7 @@ def _shingles(docs: DataFrame, lead: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(value[inner].view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own)), part.column(0).take(pa.array(own)), part.column(2).take(pa.array(own)), lists], ["id", "key", "n", "tokens"])
 
-    return cut(found.mapInArrow(run, "id long, key long, n int, tokens array<long>").dropDuplicates(["id"]))
+    return cut(found.mapInArrow(run, "id long, key long, n long, tokens array<long>").dropDuplicates(["id"]))
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

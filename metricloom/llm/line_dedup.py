@@ -28,6 +28,7 @@ from .frequency import Survey, shard_bits, survey, volume
 from .storage import cut
 
 NUM, DEN = 4, 5
+SIGNS = 2
 BITS = 27
 FLUSH = 1 << 18  # classes that a task holds before it writes
 SENT = 2_000_000  # classes whose ids are sent to all tasks; with more, they are joined
@@ -67,71 +68,82 @@ class LineSets:
         return cls(doc[full], number[full], ts.mix(total + n.astype(np.uint64)), n, first, word, of)
 
 
-def _scan(docs: DataFrame, survey_: Survey, cuts: int, num: int, den: int) -> DataFrame:
-    """Rows of two kinds: a class's first line in a task (shard null), and packed postings of a shard."""
-    sent = docs.sparkSession.sparkContext.broadcast(survey_)
+CLASS = np.dtype([("id", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("number", "<u4"), ("n", "<u4")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        seen: list[tuple] = []
-        lists: list[np.ndarray] = []
-        held = 0
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """The first line of each class, sorted by class."""
+    x = x[np.lexsort((x["number"], x["text"], x["doc"], x["id"]))]
+    return x[np.concatenate([[True], x["id"][1:] != x["id"][:-1]])] if len(x) else x
+
+
+def _scan(docs: DataFrame, known: Survey, cuts: int, num: int, den: int) -> DataFrame:
+    """A row for each class (id, its first line's doc, text_hash and number, n; a null) and one for
+    each pair of classes to compare (a, b, led)."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, lists, rows, held = sent.value, [], [], 0
 
         def flush():
-            doc, text, number, id_, n = (np.concatenate(c) for c in zip(*seen, strict=True))
-            order = np.lexsort((number, text, doc, id_))
-            one = order[np.concatenate([[True], id_[order][1:] != id_[order][:-1]])]
-            m = len(one)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.array(id_[one].view(np.int64)), pa.array(doc[one]), pa.array(text[one]), pa.array(number[one].astype(np.int32)), pa.array(n[one].astype(np.int32)), pa.nulls(m, pa.binary())], NAMES)
-            shards, blobs = set_join.packed(lists, cuts)
-            none = [pa.nulls(len(shards), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([shards, *none, blobs], NAMES)
+            row, every = _firsts(np.concatenate(rows)), set_join.distinct(np.concatenate(lists))
+            return pa.RecordBatch.from_arrays(set_join.both_packed(set_join.packed(row, row["id"], cuts), set_join.packed(every, every["word"], cuts)), ["shard", "rows", "postings"])
 
         for part in ts.slices(batches, "text"):
             x = LineSets.read(*ts.buffer_of(part.column(2)))
             if not len(x.id):
                 continue
-            doc = part.column(0).to_numpy(zero_copy_only=False)[x.doc]
-            text = part.column(1).to_numpy(zero_copy_only=False)[x.doc]
-            order = np.lexsort((x.number, text, doc, x.id))
-            first = order[np.concatenate([[True], x.id[order][1:] != x.id[order][:-1]])]
-            seen.append((doc[first], text[first], x.number[first], x.id[first], x.n[first]))
+            row = np.empty(len(x.id), CLASS)
+            row["id"], row["number"], row["n"] = x.id, x.number, x.n
+            row["doc"] = part.column(0).to_numpy(zero_copy_only=False)[x.doc]
+            row["text"] = part.column(1).to_numpy(zero_copy_only=False)[x.doc]
+            # One line of each class is posted, and rank is its document's place in the order.
+            _, own = np.unique(x.id, return_index=True)
+            own.sort()
             new = np.full(len(x.n), -1)
-            new[np.sort(first)] = np.arange(len(first))
-            own = new[x.of] >= 0
-            kept = np.sort(first)
-            lists.append(set_join.postings(new[x.of[own]], x.word[own], x.n[kept], x.id[kept], doc[kept], known, num, den))
-            held += len(first)
+            new[own] = np.arange(len(own))
+            mine = new[x.of] >= 0
+            rows.append(_firsts(row))
+            lists.append(set_join.postings(new[x.of[mine]], x.word[mine], x.n[own], x.id[own], row["doc"][own], known, num, den, SIGNS))
+            held += len(rows[-1])
             if held >= FLUSH:
-                yield from flush()
-                seen, lists, held = [], [], 0
-        if seen:
-            yield from flush()
+                yield flush()
+                lists, rows, held = [], [], 0
+        if rows:
+            yield flush()
 
-    return docs.mapInArrow(run, "shard int, id long, doc long, text_hash long, number int, n int, postings binary")
+    def find(pdf):
+        import pandas as pd
 
+        row = _firsts(np.concatenate([set_join.from_bytes(b, CLASS) for b in pdf["rows"]]))
+        pairs, led = set_join.candidates(np.concatenate([set_join.from_bytes(b, set_join.posting(SIGNS)) for b in pdf["postings"]]), num, den)
+        both = np.concatenate([pairs, led])
+        some = lambda x: pd.array(x, dtype="Int64")
+        one = {"id": some(row["id"].view(np.int64)), "doc": some(row["doc"]), "text_hash": some(row["text"]), "number": some(row["number"].astype(np.int64)), "n": some(row["n"].astype(np.int64)), **{c: pd.array([None] * len(row), dtype="Int64") for c in "ab"}, "led": False}
+        two = {**{c: pd.array([None] * len(both), dtype="Int64") for c in ("id", "doc", "text_hash", "number", "n")}, "a": some(both[:, 0]), "b": some(both[:, 1]), "led": np.arange(len(both)) >= len(pairs)}
+        return pd.concat([pd.DataFrame(one), pd.DataFrame(two)])
 
-NAMES = ["shard", "id", "doc", "text_hash", "number", "n", "postings"]
+    packed = docs.select("doc", "text_hash", "text").mapInArrow(gather, "shard int, rows binary, postings binary")
+    return packed.groupBy("shard").applyInPandas(find, "id long, doc long, text_hash long, number long, n long, a long, b long, led boolean")
 
 
 def similar_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
-    """The classes (id, first line, n) and the links between different ones (a, b).
+    """The classes (id, first line, n) and enough of the links between different ones (a, b) that every
+    class that is similar to an earlier one has a link to an earlier one.
 
     docs: doc, text_hash, text."""
     size = volume(docs)
     known = survey(docs.select("text"), lambda data, at: ts.Words(ts.LOWER[data], at, ts.NON_SPACE).hash, size // 6, BITS)
-    cuts = shard_bits(size // 30)
-    rows = cut(_scan(docs, known, cuts, num, den))
-    classes = rows.where("shard is null").groupBy("id").agg(F.min(F.struct("doc", "text_hash", "number")).alias("first"), F.first("n").alias("n"))
-
-    found = set_join.find(rows.where("shard is not null").select("shard", "postings"), num, den)
+    scanned = cut(_scan(docs, known, shard_bits(size // 30), num, den))
+    classes = scanned.where("a is null").select("id", F.struct("doc", "text_hash", "number").alias("first"), "n")
+    found = scanned.where("a is not null").groupBy("a", "b").agg(F.max("led").alias("led"))
     wanted = cut(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", "n", "first.*"))
     met = set_join.verify(found, _sets(docs, wanted), num, den)
     links = met.where("linked").select("a", "b")
+    if met.where("led").isEmpty():
+        return classes, links
     lost = cut(removed(classes, links).withColumnRenamed("id", "a").withColumn("gone", F.lit(True)))
     led = met.where("led").join(lost, "a", "left").withColumns({"part": F.col("a"), "out": F.col("gone").isNull()})
-    if led.where("out").isEmpty():
-        return classes, links
     return classes, links.unionAll(set_join.unsettled(led, num, den))
 
 
@@ -157,9 +169,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if len(own):
                 n = x.n[own]
                 inner = np.repeat(x.first[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x.id[own].view(np.int64))] * 2, pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.word[inner].view(np.int64)))], ["id", "key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.id[own].view(np.int64))] * 2, pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.word[inner].view(np.int64)))], ["id", "key", "n", "tokens"])
 
-    return cut(found.mapInArrow(run, "id long, key long, n int, tokens array<long>").dropDuplicates(["id"]))
+    return cut(found.mapInArrow(run, "id long, key long, n long, tokens array<long>").dropDuplicates(["id"]))
 
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -167,7 +179,7 @@ def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     classes, links = similar_classes(keyed, num, den)
     lost = removed(classes, links)
-    return classes.join(lost, "id", "left_anti").groupBy("first.doc", "first.text_hash").agg(F.collect_list("first.number").alias("kept"))
+    return classes.join(lost, "id", "left_anti").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.col("first.number").cast("int")).alias("kept"))
 
 
 def dedup(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -3,9 +3,11 @@
 1. Tokens are ordered: those that occur once in the corpus first (they can't be shared and are
    never posted), then by rarity (frequency.py).  Sets of similarity t or more share a token among
    the first n - ceil(t n) + 1 of each, so each set is posted under these (prefix filter).
-2. In a short posting list pairs are left out by size (length filter), by place (positional
-   filter), and by how many of their tokens occur elsewhere at all.  A long list isn't paired: it
-   gets a leader, and each member is compared with the leader only.
+2. In a posting list pairs are left out by size (length filter), by place (positional filter), by
+   how many of their tokens occur elsewhere at all, and by signatures of 128 or 256 bits: bit h holds the
+   parity of a set's tokens of hash h, so signatures differ in no more bits than sets in tokens.
+   Where CLUSTER or more sets of a list may be similar to one, that is their leader, and they are
+   compared with it only, and with the sets outside.
 3. Pairs are verified on whole sets, and a member's differences to its leader are kept.
 4. Members that the leader did not settle are compared with the leader's group by what is known:
    with A(x) = leader - x and B(x) = x - leader,
@@ -24,13 +26,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textscan as ts
 from .frequency import Survey
 from .storage import cut
 
-LONG = 16  # sets in a posting list from which it gets a leader
+CLUSTER = 24  # sets that may be similar to one of a list, from which it leads them
+WINDOW = 48  # lists up to this length are paired as they are
+CELLS = 1 << 20  # pairs that are looked at together
 X_BLOCK, Z_BLOCK = 256, 4096
 
-POSTING = np.dtype([("word", "<u8"), ("set", "<u8"), ("rank", "<i8"), ("n", "<u4"), ("place", "<u4"), ("shared", "<u4")])
+
+
+def posting(signs: int) -> np.dtype:
+    """A posting with a signature of 64 * signs bits."""
+    return np.dtype([("word", "<u8"), ("set", "<u8"), ("rank", "<u4"), ("n", "<u4"), ("place", "<u4"), ("shared", "<u4"), ("sign", "<u8", (signs,))])
+
+
+def to_bytes(x: np.ndarray) -> bytes:
+    """Field after field, which compresses better than row after row."""
+    return b"".join(np.ascontiguousarray(x[f]).tobytes() for f in x.dtype.names)
+
+
+def from_bytes(blob: bytes, dtype: np.dtype) -> np.ndarray:
+    n, at = len(blob) // dtype.itemsize, 0
+    out = np.empty(n, dtype)
+    for f in dtype.names:
+        size = n * dtype[f].itemsize
+        out[f] = np.frombuffer(blob[at : at + size], dtype[f].base).reshape(out[f].shape)
+        at += size
+    return out
 
 
 def least_overlap(a, b, num: int, den: int):
@@ -38,12 +62,19 @@ def least_overlap(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
-def postings(of: np.ndarray, token: np.ndarray, n: np.ndarray, ids: np.ndarray, rank: np.ndarray | None, known: Survey, num: int, den: int) -> np.ndarray:
+def postings(of: np.ndarray, token: np.ndarray, n: np.ndarray, ids: np.ndarray, rank: np.ndarray | None, known: Survey, num: int, den: int, signs: int = 4) -> np.ndarray:
     """Prefix postings of sets: of (sorted) tells each token's set; n, ids and rank are by set.
 
     The set of least rank leads a long list; without rank, that with the fewest tokens of its own."""
     common = known.repeated(token)
     shared = np.bincount(of[common], minlength=len(n))
+    sign = np.zeros((len(n), signs), np.uint64)
+    if len(of):
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        h = ts.mix(token ^ np.uint64(0xA0761D6478BD642F))
+        bit, part = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(signs - 1)
+        for w in range(signs):
+            sign[of[starts], w] = np.bitwise_xor.reduceat(np.where(part == w, bit, np.uint64(0)), starts)
     able = common & (den * shared >= num * n)[of]
     of, token = of[able], token[able]
     order = np.argsort((of << 21) | known.rank(token), kind="stable")
@@ -51,9 +82,10 @@ def postings(of: np.ndarray, token: np.ndarray, n: np.ndarray, ids: np.ndarray,
     place = np.arange(len(of)) - np.searchsorted(of, of) + (n - shared)[of]
     kept = place < n[of] - (-(-num * n[of] // den)) + 1
     of = of[kept]
-    out = np.empty(len(of), POSTING)
+    out = np.empty(len(of), posting(signs))
     out["word"], out["set"], out["n"], out["place"], out["shared"] = token[kept], ids[of], n[of], place[kept], shared[of]
-    out["rank"] = (n - shared)[of] if rank is None else rank[of]
+    out["sign"] = sign[of]
+    out["rank"] = np.clip((n - shared)[of] if rank is None else rank[of], 0, 0xFFFFFFFF)
     return out
 
 
@@ -63,56 +95,78 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], (x["word"][1:] != x["word"][:-1]) | (x["set"][1:] != x["set"][:-1])])] if len(x) else x
 
 
-def packed(lists: list[np.ndarray], cuts: int) -> tuple[pa.Array, pa.Array]:
-    """(shard, postings): what a task has for each shard, as bytes."""
-    every = distinct(np.concatenate(lists))
-    edge = np.searchsorted((every["word"] >> np.uint64(64 - cuts)).astype(np.int64), np.arange((1 << cuts) + 1))
-    rows = [(s, every[a:b].tobytes()) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-    return pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())
+def packed(entries: np.ndarray, key: np.ndarray, cuts: int) -> dict[int, bytes]:
+    """Entries (sorted by key, 64 bits) of each shard, as bytes."""
+    edge = np.searchsorted((key >> np.uint64(64 - cuts)).astype(np.int64), np.arange((1 << cuts) + 1))
+    return {s: to_bytes(entries[a:b]) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a}
+
+
+def both_packed(first: dict[int, bytes], second: dict[int, bytes]) -> list[pa.Array]:
+    shards = sorted(first.keys() | second.keys())
+    return [pa.array(shards, pa.int32()), *(pa.array([x.get(s, b"") for s in shards], pa.binary()) for x in (first, second))]
+
+
+class Lists:
+    """Posting lists of a shard, and the filters for pairs of their entries."""
+
+    def __init__(self, x: np.ndarray, num: int, den: int):
+        x = distinct(x)
+        x = x[np.lexsort((x["set"], x["rank"], x["word"]))]
+        self.num, self.den, self.set, self.sign = num, den, x["set"], np.ascontiguousarray(x["sign"])
+        self.n, self.place, self.shared = (x[k].astype(np.int64) for k in ("n", "place", "shared"))
+        self.head = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]])) if len(x) else np.zeros(0, np.int64)
+        self.size = np.diff(np.concatenate([self.head, [len(x)]]))
+
+    def may(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether entries i and j (of one list, as arrays) can be similar."""
+        n, m = self.n[i], self.n[j]
+        need = least_overlap(n, m, self.num, self.den)
+        # Common tokens: none of one's own, and those before this place and from here on.
+        before = np.minimum(self.place[i] - n + self.shared[i], self.place[j] - m + self.shared[j])
+        good = np.flatnonzero((self.den * np.minimum(n, m) >= self.num * np.maximum(n, m)) & (before + np.minimum(n - self.place[i], m - self.place[j]) >= need) & (np.minimum(self.shared[i], self.shared[j]) >= need))
+        differ = np.bitwise_count(self.sign[i[good]] ^ self.sign[j[good]]).sum(1)
+        out = np.zeros(len(i), bool)
+        out[good] = differ <= (n + m - 2 * need)[good]
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Entries to compare: (i, j) as they are, and (member, leader)."""
+        plain, led = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+        short = np.flatnonzero((self.size > 1) & (self.size <= WINDOW))
+        for step in range(1, WINDOW):
+            own = short[self.size[short] > step]
+            if not len(own):
+                break
+            for a in range(0, len(own), CELLS // WINDOW):
+                part = own[a : a + CELLS // WINDOW]
+                times = self.size[part] - step
+                i = np.repeat(self.head[part] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+                plain.append(np.stack([i, i + step])[:, self.may(i, i + step)])
+        for k in np.flatnonzero(self.size > WINDOW):
+            left = np.arange(self.head[k], self.head[k] + self.size[k])  # by rank
+            while len(left) > 1:
+                first, rest = left[0], left[1:]
+                near = self.may(np.full(len(rest), first), rest)
+                if near.sum() < CLUSTER:
+                    plain.append(np.stack([np.full(int(near.sum()), first), rest[near]]))
+                    left = rest
+                    continue
+                members, left = rest[near], rest[~near]
+                led.append(np.stack([members, np.full(len(members), first)]))
+                for a in range(0, len(members), max(1, CELLS // max(1, len(left)))):
+                    part = members[a : a + max(1, CELLS // max(1, len(left)))]
+                    i, j = np.repeat(part, len(left)), np.tile(left, len(part))
+                    plain.append(np.stack([i, j])[:, self.may(i, j)])
+        return np.concatenate(plain, 1), np.concatenate(led, 1)
 
 
 def candidates(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one shard's postings: pairs to compare (a < b), and (member, leader) of the long lists."""
-    x = distinct(x)
-    x = x[np.lexsort((x["set"], x["n"], x["word"]))]
-    head = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]])) if len(x) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([head, [len(x)]]))
-    run = np.repeat(np.arange(len(head)), size)
-    short = (size < LONG)[run] & (size > 1)[run]
-    y, of = x[short], run[short]
-    n, place, shared = (y[k].astype(np.int64) for k in ("n", "place", "shared"))
-    pairs = [np.zeros((0, 2), np.uint64)]
-    for step in range(1, LONG):
-        i = np.flatnonzero(of[:-step] == of[step:]) if len(of) > step else np.zeros(0, np.int64)
-        if not len(i):
-            break
-        j = i + step
-        need = least_overlap(n[i], n[j], num, den)
-        good = (den * n[i] >= num * n[j]) & (np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (np.minimum(shared[i], shared[j]) >= need)
-        # What can be shared: nothing of one's own, and at most what stands from here on or before it.
-        own = np.minimum(place[i] - (n[i] - shared[i]), place[j] - (n[j] - shared[j]))
-        good &= own + np.minimum(n[i] - place[i], n[j] - place[j]) >= need
-        pairs.append(np.stack([np.minimum(y["set"][i], y["set"][j]), np.maximum(y["set"][i], y["set"][j])], 1)[good])
-    long = (size >= LONG)[run]
-    y, of = x[long], run[long]
-    order = np.lexsort((y["set"], y["rank"], of))
-    leader = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])] if len(order) else order
-    led = np.stack([y["set"], y["set"][np.repeat(leader, size[size >= LONG])]], 1)
-    led = led[led[:, 0] != led[:, 1]]
-    return tuple(np.unique(p, axis=0).view(np.int64) if len(p) else np.zeros((0, 2), np.int64) for p in (np.concatenate(pairs), led))
-
-
-def find(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b and led of all pairs to verify; rows: shard, postings."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pairs, led = candidates(np.frombuffer(b"".join(pdf["postings"]), POSTING), num, den)
-        both = np.concatenate([pairs, led])
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "led": np.arange(len(both)) >= len(pairs)})
-
-    return cut(rows.groupBy("shard").applyInPandas(run, "a long, b long, led boolean").groupBy("a", "b").agg(F.max("led").alias("led")))
+    """Of one shard's postings: pairs of sets to compare (a < b), and (member, leader)."""
+    lists = Lists(x, num, den)
+    (i, j), (m, leader) = lists.pairs()
+    a, b = lists.set[i], lists.set[j]
+    unique = lambda p: np.unique(np.ascontiguousarray(p), axis=0).view(np.int64) if len(p) else np.zeros((0, 2), np.int64)
+    return unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)), unique(np.stack([lists.set[m], lists.set[leader]], 1))
 
 
 def verify(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
