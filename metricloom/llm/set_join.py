@@ -21,6 +21,8 @@ Sets are known by a 64-bit hash of their tokens.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +32,9 @@ from . import textscan as ts
 from .frequency import Survey
 from .storage import cut
 
-CLUSTER = 24  # sets that may be similar to one of a list, from which it leads them
-WINDOW = 48  # lists up to this length are paired as they are
+CLUSTER = 24  # sets of a list that may be similar to one, from which it leads them
+WINDOW = 2048  # longer lists are looked through for leaders first
+TRIES = 8
 CELLS = 1 << 20  # pairs that are looked at together
 X_BLOCK, Z_BLOCK = 256, 4096
 
@@ -111,9 +114,10 @@ class Lists:
 
     def __init__(self, x: np.ndarray, num: int, den: int):
         x = distinct(x)
-        x = x[np.lexsort((x["set"], x["rank"], x["word"]))]
-        self.num, self.den, self.set, self.sign = num, den, x["set"], np.ascontiguousarray(x["sign"])
-        self.n, self.place, self.shared = (x[k].astype(np.int64) for k in ("n", "place", "shared"))
+        x = x[np.lexsort((x["rank"], x["n"], x["word"]))]
+        self.num, self.den, self.set, self.sign, self.rank = num, den, x["set"], np.ascontiguousarray(x["sign"]), x["rank"].astype(np.int64)
+        n, place, shared = (x[k].astype(np.int64) for k in ("n", "place", "shared"))
+        self.n, self.before, self.after = n, place - n + shared, n - place  # common tokens before this place, all from it on
         self.head = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]])) if len(x) else np.zeros(0, np.int64)
         self.size = np.diff(np.concatenate([self.head, [len(x)]]))
 
@@ -121,42 +125,85 @@ class Lists:
         """Whether entries i and j (of one list, as arrays) can be similar."""
         n, m = self.n[i], self.n[j]
         need = least_overlap(n, m, self.num, self.den)
-        # Common tokens: none of one's own, and those before this place and from here on.
-        before = np.minimum(self.place[i] - n + self.shared[i], self.place[j] - m + self.shared[j])
-        good = np.flatnonzero((self.den * np.minimum(n, m) >= self.num * np.maximum(n, m)) & (before + np.minimum(n - self.place[i], m - self.place[j]) >= need) & (np.minimum(self.shared[i], self.shared[j]) >= need))
-        differ = np.bitwise_count(self.sign[i[good]] ^ self.sign[j[good]]).sum(1)
-        out = np.zeros(len(i), bool)
-        out[good] = differ <= (n + m - 2 * need)[good]
-        return out
+        good = np.minimum(self.before[i], self.before[j]) + np.minimum(self.after[i], self.after[j]) >= need
+        good &= np.minimum(n, m) >= need
+        at = np.flatnonzero(good)
+        differ = np.bitwise_count(self.sign[i[at]] ^ self.sign[j[at]]).sum(1)
+        good[at] = differ <= (n + m - 2 * need)[at]
+        return good
+
+    def within(self, entries: np.ndarray, of: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of entries of one list that can be similar; entries rise by list (of), then by n."""
+        key = of * (1 << 33) + self.n[entries]
+        stop = np.searchsorted(key, of * (1 << 33) + self.n[entries] * self.den // self.num, "right")
+        times = np.maximum(stop - np.arange(len(entries)) - 1, 0)
+        total, a = np.cumsum(times), 0
+        while a < len(entries):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CELLS, "right")))
+            t = times[a:b]
+            i = np.repeat(np.arange(a, b), t)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(t) - t, t)
+            i, j = entries[i], entries[j]
+            yield np.stack([i, j])[:, self.may(i, j)]
+            a = b
+
+    def cluster(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one list: those that stay, and (member, leader) of its clusters; a cluster's
+        other pairs are left out."""
+        entries, at = np.unique(pairs, return_inverse=True)
+        at = at.reshape(2, -1)
+        u, v = np.concatenate([at[0], at[1]]), np.concatenate([at[1], at[0]])
+        order = np.argsort(u, kind="stable")
+        v, first = v[order], np.searchsorted(u[order], np.arange(len(entries) + 1))
+        own, led = np.full(len(entries), -1), [np.zeros((2, 0), np.int64)]
+        degree = np.diff(first)
+        for e in np.lexsort((self.set[entries], self.rank[entries])):
+            if own[e] >= 0 or degree[e] < CLUSTER:
+                continue
+            near = v[first[e] : first[e + 1]]
+            near = near[own[near] < 0]
+            if len(near) >= CLUSTER:
+                own[near] = own[e] = e
+                led.append(np.stack([entries[near], np.full(len(near), entries[e])]))
+        stays = (own[at[0]] < 0) | (own[at[0]] != own[at[1]])
+        return pairs[:, stays], np.concatenate(led, 1)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Entries to compare: (i, j) as they are, and (member, leader)."""
         plain, led = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
-        short = np.flatnonzero((self.size > 1) & (self.size <= WINDOW))
-        for step in range(1, WINDOW):
-            own = short[self.size[short] > step]
-            if not len(own):
-                break
-            for a in range(0, len(own), CELLS // WINDOW):
-                part = own[a : a + CELLS // WINDOW]
-                times = self.size[part] - step
-                i = np.repeat(self.head[part] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-                plain.append(np.stack([i, i + step])[:, self.may(i, i + step)])
+        lists = np.flatnonzero((self.size > 1) & (self.size <= WINDOW))
+        entries = np.repeat(self.head[lists] - (np.cumsum(self.size[lists]) - self.size[lists]), self.size[lists]) + np.arange(int(self.size[lists].sum()))
+        parts = [(entries, np.repeat(lists, self.size[lists]))]
         for k in np.flatnonzero(self.size > WINDOW):
-            left = np.arange(self.head[k], self.head[k] + self.size[k])  # by rank
-            while len(left) > 1:
-                first, rest = left[0], left[1:]
-                near = self.may(np.full(len(rest), first), rest)
+            left = np.arange(self.head[k], self.head[k] + self.size[k])
+            tried, misses = np.zeros(self.size[k], bool), 0
+            while len(left) > 1 and misses < TRIES and not tried.all():
+                pick = int(np.argmin(np.where(tried, np.iinfo(np.int64).max, self.rank[left])))
+                near = self.may(np.full(len(left), left[pick]), left)
+                near[pick] = False
                 if near.sum() < CLUSTER:
-                    plain.append(np.stack([np.full(int(near.sum()), first), rest[near]]))
-                    left = rest
+                    tried[pick] = True
+                    misses += 1
                     continue
-                members, left = rest[near], rest[~near]
-                led.append(np.stack([members, np.full(len(members), first)]))
-                for a in range(0, len(members), max(1, CELLS // max(1, len(left)))):
-                    part = members[a : a + max(1, CELLS // max(1, len(left)))]
-                    i, j = np.repeat(part, len(left)), np.tile(left, len(part))
+                members, leader = left[near], left[pick]
+                rest = ~near
+                rest[pick] = False
+                left, tried, misses = left[rest], tried[rest], 0
+                led.append(np.stack([members, np.full(len(members), leader)]))
+                step = max(1, CELLS // max(1, len(left)))
+                for a in range(0, len(members), step):
+                    i, j = np.repeat(members[a : a + step], len(left)), np.tile(left, len(members[a : a + step]))
                     plain.append(np.stack([i, j])[:, self.may(i, j)])
+            parts.append((left, np.full(len(left), k)))
+        for entries, of in parts:
+            found = np.concatenate([np.zeros((2, 0), np.int64), *self.within(entries, of)], 1)
+            which = np.searchsorted(self.head, found[0], "right") - 1
+            dense = np.bincount(which, minlength=len(self.head)) > CLUSTER * CLUSTER
+            plain.append(found[:, ~dense[which]])
+            for k in np.flatnonzero(dense):
+                kept, own = self.cluster(found[:, which == k])
+                plain.append(kept)
+                led.append(own)
         return np.concatenate(plain, 1), np.concatenate(led, 1)
 
 
