@@ -37,8 +37,8 @@ LENGTH, K = 400, 16
 BITS = 27
 SLICE = 1 << 20
 FLUSH = 1 << 18  # regions that a task holds
-TEXT_FLUSH = 32 << 20
-SHARD = 1 << 17  # regions
+TEXT_FLUSH = 6 << 20
+SHARD = 1 << 16  # regions
 
 REGION = np.dtype([("anchor", "<u8"), ("region", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("begin", "<i8"), ("span", "<i4"), ("off", "<i4")])
 
