@@ -1,0 +1 @@
+"""Log-to-metrics analytics on Apache Spark."""
