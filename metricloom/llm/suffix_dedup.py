@@ -251,18 +251,19 @@ def contested(docs: DataFrame, bitmap: np.ndarray, cuts: int, length: int) -> Da
         meta, first, size = meta[order], first[order], size[order]
         _, group = np.unique(meta["anchor"], return_inverse=True)
         off = meta["off"].astype(np.int64)
-        who, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # Columns fall, so a region's repeated starts are runs that grow to the left.
+        last, high, runs = np.full(len(meta), np.iinfo(np.int64).max), np.zeros(len(meta), np.int64), []
         for column, hit in Collection(data, group, first + off, -off, size - off).repeated(length):
-            who.append(hit)
-            low.append(off[hit] + column)
-        who, low = np.concatenate(who), np.concatenate(low)
-        order = np.lexsort((low, who))
-        who, low = who[order], low[order]
-        new = np.concatenate([[True], (who[1:] != who[:-1]) | (low[1:] != low[:-1] + 1)]) if len(who) else np.zeros(0, bool)
-        head = np.flatnonzero(new)
-        tail = np.concatenate([head[1:], [len(who)]]) - 1 if len(head) else head
-        w = who[head]
-        return pd.DataFrame({"doc": meta["doc"][w], "text_hash": meta["text"][w], "low": meta["begin"][w] + low[head], "high": meta["begin"][w] + low[tail] + length})
+            fresh = hit[last[hit] != column + 1]
+            done = fresh[last[fresh] < np.iinfo(np.int64).max]
+            if len(done):
+                runs.append(np.stack([done, last[done], high[done]]))
+            high[fresh] = column + length
+            last[hit] = column
+        done = np.flatnonzero(last < np.iinfo(np.int64).max)
+        who, low, upto = np.concatenate([*runs, np.stack([done, last[done], high[done]])], 1)
+        at = meta["begin"][who] + off[who]
+        return pd.DataFrame({"doc": meta["doc"][who], "text_hash": meta["text"][who], "low": at + low, "high": at + upto})
 
     return docs.mapInArrow(gather, "shard int, meta binary, bytes binary").groupBy("shard").applyInPandas(build, "doc long, text_hash long, low long, high long")
 
