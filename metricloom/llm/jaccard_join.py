@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .frequency import Survey, shard_bits, survey, volume
 from .storage import cut
 
 NUM, DEN, WORDS = 3, 4, 5
-BITS = 29
+BITS = 27
 FLUSH = 1 << 19  # postings that a task holds
 SENT = 2_000_000  # documents whose ids are sent to all tasks; with more, they are joined
 NULL_ID = -(1 << 63)
@@ -42,9 +43,8 @@ def _sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.
 ROW = np.dtype([("id", "<u8"), ("doc", "<i8"), ("n", "<u4")])
 
 
-def _scan(docs: DataFrame, known: Survey, cuts: int, words: int, num: int, den: int) -> DataFrame:
+def _scan(docs: DataFrame, sent: Broadcast[Survey], cuts: int, words: int, num: int, den: int) -> DataFrame:
     """A row for each document (doc, id, n; a null) and one for each pair of classes to compare (a, b, led)."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lists, rows, held = sent.value, [], [], 0
@@ -89,7 +89,10 @@ def link(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     leader are left out.  docs: doc (not null), text."""
     size = volume(docs)
     known = survey(docs.select("text"), lambda data, at: ts.shingles(ts.Words(ts.LOWER[data], at, ts.NON_SPACE), words)[1], size // 6, BITS)
-    scanned = cut(_scan(docs, known, shard_bits(size // 60), words, num, den))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    del known
+    scanned = cut(_scan(docs, sent, shard_bits(size // 60), words, num, den))
+    sent.destroy()
     rows = scanned.where("a is null").select("doc", "id", "n")
     found = scanned.where("a is not null").groupBy("a", "b").agg(F.max("led").alias("led"))
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()

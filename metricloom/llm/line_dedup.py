@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,10 +78,9 @@ def _firsts(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x["id"][1:] != x["id"][:-1]])] if len(x) else x
 
 
-def _scan(docs: DataFrame, known: Survey, cuts: int, num: int, den: int) -> DataFrame:
+def _scan(docs: DataFrame, sent: Broadcast[Survey], cuts: int, num: int, den: int) -> DataFrame:
     """A row for each class (id, its first line's doc, text_hash and number, n; a null) and one for
     each pair of classes to compare (a, b, led)."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lists, rows, held = sent.value, [], [], 0
@@ -134,7 +134,10 @@ def similar_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[Da
     docs: doc, text_hash, text."""
     size = volume(docs)
     known = survey(docs.select("text"), lambda data, at: ts.Words(ts.LOWER[data], at, ts.NON_SPACE).hash, size // 6, BITS)
-    scanned = cut(_scan(docs, known, shard_bits(size // 30), num, den))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    del known
+    scanned = cut(_scan(docs, sent, shard_bits(size // 30), num, den))
+    sent.destroy()
     classes = scanned.where("a is null").select("id", F.struct("doc", "text_hash", "number").alias("first"), "n")
     found = scanned.where("a is not null").groupBy("a", "b").agg(F.max("led").alias("led"))
     wanted = cut(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", "n", "first.*"))
