@@ -97,8 +97,9 @@ def _machine_ops(lines: DataFrame, program: Program, found: Analysis, options: O
                 out += [(program.name, m, list(labels), op, i, f, s, None if t is None else dt.datetime.fromtimestamp(t, dt.UTC), seq, k) for m, labels, op, i, f, s, t, k in ops]
                 if error is not None:
                     out.append((program.name, ERROR_METRIC, [], "error", 1, None, None, None, seq, len(ops)))
-            frame = pd.DataFrame(out, columns=names)
-            frame["i"] = pd.array(frame["i"].to_list(), dtype="Int64")
+            frame = pd.DataFrame(out, columns=names, dtype=object)
+            # Whole numbers of 64 bits must not pass through floats.
+            frame["i"] = pd.array([o[4] for o in out], dtype="Int64")
             frame["ts"] = pd.to_datetime(frame["ts"], utc=True)
             yield frame
 
