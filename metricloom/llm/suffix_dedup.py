@@ -35,9 +35,9 @@ from .storage import cut
 
 LENGTH, K = 400, 16
 BITS = 27
-SLICE = 1 << 20
-FLUSH = 1 << 18  # regions that a task holds
-TEXT_FLUSH = 6 << 20
+SLICE = 1 << 19
+FLUSH = 1 << 17  # regions that a task holds
+TEXT_FLUSH = 2 << 20
 SHARD = 1 << 16  # regions
 
 REGION = np.dtype([("anchor", "<u8"), ("region", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("begin", "<i8"), ("span", "<i4"), ("off", "<i4")])
@@ -67,7 +67,9 @@ def regions(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(ts._LETTER[data] * ts._power("up", n)[:n], out=total[1:])
     down = ts._power("down", n + 1)
-    value = ts.mix((total[k:] - total[:-k]) * down[: n - k + 1])
+    value = total[k:] - total[:-k]
+    value *= down[: n - k + 1]
+    value = ts.mix(value)
     low = np.uint64(max(1, n.bit_length()))
     anchor = _least((value >> low << low) | np.arange(n - k + 1, dtype=np.uint64), length - k + 1)
     place = (anchor & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
@@ -270,7 +272,9 @@ def contested(docs: DataFrame, bitmap: np.ndarray, cuts: int, length: int) -> Da
 
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices first[i], ..., first[i] + size[i] - 1 for each i in turn."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out = np.repeat(first - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 def merge_spans(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
