@@ -184,7 +184,7 @@ class Collection:
                 if not len(kept):
                     order, common = order[:0], common[:0]
                     continue
-                common = np.minimum.reduceat(common, np.concatenate([[0], kept[:-1] + 1]))
+                common = np.minimum.reduceat(common[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
                 order = order[kept]
             key = (self.group[order] << 8) | self.data[self.zero[order] + column]
             place = np.argsort(key, kind="stable")
