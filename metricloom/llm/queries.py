@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, jaccard_join, license_scan, line_crf, line_dedup, mixing, ngram_lm, pieces, suffix_dedup, topk
+from .storage import bounded
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

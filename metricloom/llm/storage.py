@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_ROWS = "1000"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most 1000 rows: texts are long, and a batch is held whole by
+    the JVM and by Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and written to the session's checkpoint folder, so that a lost executor costs
     no more than re-reading it.  Where none is set (tests on one machine) a temporary one is."""
