@@ -19,7 +19,6 @@ Languages are taken in groups of GROUP, one pass over the documents of each grou
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,18 +145,15 @@ def log_table(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-_tables: dict[object, np.ndarray] = {}
-
-
-def score(docs: DataFrame, model, token: str, thresholds: dict[str, tuple[float, float]] | None) -> DataFrame:
+def score(docs: DataFrame, model, thresholds: dict[str, tuple[float, float]] | None) -> DataFrame:
     """docs (with _lang) and COLUMNS; `model` is a broadcast of {language: (grams, counts)}."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(model.value)
-        if token not in _tables:
-            _tables.clear()
-            _tables[token] = np.concatenate([log_table(*model.value[x]) for x in names]) if names else np.zeros(0, np.float16)
-        table, index = _tables[token], {x: i for i, x in enumerate(names)}
+        # Built anew for each task: kept, it would take memory from whatever runs in this worker later.
+        table, index = np.empty(len(names) * GRAMS, np.float16), {x: i for i, x in enumerate(names)}
+        for i, x in enumerate(names):
+            table[i * GRAMS : (i + 1) * GRAMS] = log_table(*model.value[x])
         for part in ts.slices(batches, "text"):
             data, at = ts.buffer_of(part.column(part.schema.get_field_index("text")))
             size = np.diff(at)
@@ -213,14 +209,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
         for x in group:
             order = np.argsort(gram[own := np.flatnonzero(names == x)])
             held[x] = gram[own][order], n[own][order]
-        token = uuid.uuid4().hex
         sent = spark.sparkContext.broadcast(held)
-        unseen = score(trusted.where(held_out & F.col("_lang").isin(group)), sent, token, None).select("_lang", F.log("perplexity").alias("cost"), F.octet_length("text").alias("size"))
+        unseen = score(trusted.where(held_out & F.col("_lang").isin(group)), sent, None).select("_lang", F.log("perplexity").alias("cost"), F.octet_length("text").alias("size"))
         stats = unseen.groupBy("_lang").agg((F.sum(F.col("cost") * F.col("size")) / F.sum("size")).alias("m"), F.percentile_approx("cost", F.array(F.lit(0.5), F.lit(quantile)), F.lit(10000)).alias("q"))
         limits = {r["_lang"]: (-r["m"], float(np.exp(r["q"][0] + WIDER * (r["q"][1] - r["q"][0])))) for r in stats.collect()}
-        parts.append(score(docs.where(F.col("_lang").isin(group)), sent, token, limits))
+        parts.append(score(docs.where(F.col("_lang").isin(group)), sent, limits))
     rest = docs.where(~F.col("_lang").isin(languages)) if languages else docs
-    parts.append(score(rest, spark.sparkContext.broadcast({}), "none", None))
+    parts.append(score(rest, spark.sparkContext.broadcast({}), None))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
