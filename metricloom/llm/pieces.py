@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 1 << 20
+SLICE = 1 << 19
 NEAR = 36.74  # the largest -log(-log(u)) that _uniform can give
 SPACE = 0x20
 
@@ -342,12 +342,14 @@ class Texts:
             queue = tuple(np.concatenate([a[~first], b]) for a, b in zip((doc, bound, place, edge, parent), (*fresh, np.full(len(fresh[0]), len(made) - 1)), strict=True))
         threshold = np.full(self.n, -np.inf)
         if made[-1][2] is None:
-            threshold[made[-1][0]] = made[-1][1]
+            threshold[made[-1][0]] = np.round(made[-1][1], 9)
         for d, t, path in made:
             if path is None:
                 continue
             log_prob = np.zeros(self.n)
             np.add.at(log_prob, path.doc, x.log_cond[path.edge])
+            # Sums depend on a slice's other texts in their last digits.
+            log_prob, t = np.round(log_prob, 9), np.round(t, 9)
             with np.errstate(over="ignore"):
                 inclusion = -np.expm1(-np.exp(log_prob[d] - threshold[d]))
             yield d, log_prob[d], t, inclusion, path
@@ -375,7 +377,7 @@ class Texts:
 def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
     """A 64-bit key of each row from its id; null counts as an id of its own."""
     value = ids.cast(pa.int64()).fill_null(-(1 << 63) + 7).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    return ts.mix(value + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+    return ts.mix(value + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
 def sample(docs: DataFrame, k: int = 2, seed: int = 11, model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
