@@ -10,23 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm import jaccard_join, line_dedup, mixing, ngram_lm, pieces
-from metricloom.llm.storage import written
+from metricloom.llm.storage import bounded, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the n-gram model of trusted text does not reject."""
+    bounded(spark)
     return ngram_lm.classify(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line is similar to."""
+    bounded(spark)
     return line_dedup.dedup(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of linked ones."""
+    bounded(spark)
     docs = docs.select(COLUMNS)
     gone = jaccard_join.join(docs).where("doc_id <> component_id or (doc_id is not null and component_id is null)").select("doc_id").distinct().persist()
     small = gone.count() <= jaccard_join.SENT
@@ -40,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every row: doc_id, sample, n_pieces, a hash of the ids, and scores."""
+    bounded(spark)
     rows = pieces.sample(docs.select(COLUMNS))
     return rows.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob", "score", "inclusion")
 
