@@ -85,7 +85,8 @@ def regions(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K)
     begin, stop = start[head], start[np.concatenate([head[1:], [len(start)]]) - 1]
     out = np.empty(len(head), REGION)
     out["span"], out["off"] = stop - begin, place[head] - begin
-    out["anchor"] = value[place[head]]
+    # Least hashes are small ones: they are mixed again, to be dealt evenly.
+    out["anchor"] = ts.mix(value[place[head]] ^ np.uint64(0x2545F4914F6CDD1D))
     own = (total[stop + length] - total[begin]) * down[begin]
     out["region"] = ts.mix(own ^ ts.mix(out["span"].astype(np.uint64) << np.uint64(32) | out["off"].astype(np.uint64)))
     out["doc"], out["begin"] = doc[head], begin - at[doc[head]]
