@@ -133,15 +133,13 @@ def run(lines: DataFrame, programs: dict[str, str] | list[Program], options: Opt
     ops, found = op_stream(lines, compiled, options, seed)
     if seed is not None:
         ops = ops.unionByName(seed)
-    ordered = [name for name, a in found.items() if a.ordered or a.tier == "C" or seed is not None]
-    appended = any(m.type == "String" for m in metrics)
-    real = ops.where(F.col("op") != "error")
-    if not ordered:
-        cells = fold(real, metrics, False, appended)
-    elif len(ordered) == len(compiled):
-        cells = fold(real, metrics, True, appended)
-    else:
-        cells = fold(real.where(~F.col("program").isin(ordered)), metrics, False, appended).unionByName(fold(real.where(F.col("program").isin(ordered)), metrics, True, appended))
+    # Programs are folded together where they need the same of a fold.
+    need = {name: (True, True, True) if seed is not None else (a.ordered or a.tier == "C", a.mixed or a.tier == "C" and a.ordered, a.appended) for name, a in found.items()}
+    real, cells = ops.where(F.col("op") != "error"), None
+    for kind in sorted(set(need.values())):
+        own = [n for n, k in need.items() if k == kind]
+        part = fold(real if len(own) == len(need) else real.where(F.col("program").isin(own)), [m for m in metrics if m.program in own], *kind)
+        cells = part if cells is None else cells.unionByName(part)
     store = with_declared(spark, dress(spark, cells, metrics, options.clock()), metrics)
     if previous is not None:
         store = _with_histograms(store, previous)

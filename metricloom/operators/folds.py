@@ -1,9 +1,9 @@
 """From ops to the store: one row for each cell.
 
 Every fold is an aggregation with partial aggregates on the map side; no cell's ops are gathered in
-one place (but for appended strings).  Order matters only to cells that are set, deleted or expired: for
-these a first aggregate finds the last deletion and the last value set, and a second takes what
-comes after.
+one place (but for appended strings).  Where a metric is only set, or only added to, one aggregate
+does: the last value, or the sum.  Where cells are deleted, or set and added to, a first aggregate
+finds the last deletion and the last value set, and a second takes what comes after.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from ..store import MetricInfo, bounds
 KEY = ["program", "metric", "labels"]
 
 
-def fold(ops: DataFrame, metrics: list[MetricInfo], ordered: bool, appended: bool = False) -> DataFrame:
+def fold(ops: DataFrame, metrics: list[MetricInfo], ordered: bool, mixed: bool = True, appended: bool = False) -> DataFrame:
     """Cells by KEY with their value columns; ops as in plans.ops."""
     pos = F.struct("seq", "ord")
     is_ = lambda *names: F.col("op").isin(*names)
     ops = ops.withColumn("pos", pos)
-    if ordered:
+    if ordered and mixed:
         marks = ops.groupBy(*KEY).agg(F.max(F.when(is_("del"), F.col("pos"))).alias("gone"), F.max(F.when(is_("set"), F.col("pos"))).alias("last_set"), F.max_by(F.when(is_("set"), F.struct("i", "f", "s")), F.when(is_("set"), F.col("pos"))).alias("value"))
         marks = marks.withColumn("last_set", F.when(F.col("gone").isNull() | (F.col("last_set") > F.col("gone")), F.col("last_set")))
         marks = marks.withColumn("value", F.when(F.col("last_set").isNotNull(), F.col("value")))
@@ -35,7 +35,7 @@ def fold(ops: DataFrame, metrics: list[MetricInfo], ordered: bool, appended: boo
     total = {
         "inc": F.sum(F.when(late & is_("inc"), F.col("i"))).alias("inc"),
         "fadd": F.sum(F.when(late & is_("fadd"), F.col("f"))).alias("fadd"),
-        "value": F.any_value("value").alias("value"),
+        "value": (F.any_value("value") if mixed or not ordered else F.max_by(F.when(is_("set"), F.struct("i", "f", "s")), F.when(is_("set"), F.col("pos")))).alias("value"),
         "ts": F.max_by(F.when(wrote, F.struct("ts")), F.when(wrote, F.col("pos"))).alias("wrote"),
         "made": F.min_by(F.struct("ts"), F.col("pos")).alias("made"),
         "n": F.sum(F.when(is_("observe"), 1).otherwise(0)).alias("hist_count"),
