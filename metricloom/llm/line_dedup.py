@@ -74,7 +74,13 @@ CLASS = np.dtype([("id", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("number", "<u
 
 def _firsts(x: np.ndarray) -> np.ndarray:
     """The first line of each class, sorted by class."""
-    x = x[np.lexsort((x["number"], x["text"], x["doc"], x["id"]))]
+    x = x[np.argsort(x["id"])]
+    many = np.zeros(len(x), bool)
+    many[1:] = x["id"][1:] == x["id"][:-1]
+    many[:-1] |= many[1:]
+    at = np.flatnonzero(many)
+    own = x[at]
+    x[at] = own[np.lexsort((own["number"], own["text"], own["doc"], own["id"]))]
     return x[np.concatenate([[True], x["id"][1:] != x["id"][:-1]])] if len(x) else x
 
 

@@ -80,7 +80,7 @@ def postings(of: np.ndarray, token: np.ndarray, n: np.ndarray, ids: np.ndarray,
             sign[of[starts], w] = np.bitwise_xor.reduceat(np.where(part == w, bit, np.uint64(0)), starts)
     able = common & (den * shared >= num * n)[of]
     of, token = of[able], token[able]
-    order = np.argsort((of << 21) | known.rank(token), kind="stable")
+    order = _by_rank(of, known.rank(token))
     of, token = of[order], token[order]
     place = np.arange(len(of)) - np.searchsorted(of, of) + (n - shared)[of]
     kept = place < n[of] - (-(-num * n[of] // den)) + 1
@@ -92,10 +92,34 @@ def postings(of: np.ndarray, token: np.ndarray, n: np.ndarray, ids: np.ndarray,
     return out
 
 
+def _by_rank(of: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order of a set's tokens by rank, equal ranks as they stand; of is sorted."""
+    within = np.arange(len(of)) - np.searchsorted(of, of)
+    if len(of) and (of[-1] >= 1 << 21 or within.max() >= 1 << 21):
+        return np.lexsort((rank, of))
+    return np.argsort((of << 42) | (rank << 21) | within)  # no two are equal, so any sort will do
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
-    """One posting for each (word, set), that of least rank, in that order."""
-    x = x[np.lexsort((x["rank"], x["set"], x["word"]))]
-    return x[np.concatenate([[True], (x["word"][1:] != x["word"][:-1]) | (x["set"][1:] != x["set"][:-1])])] if len(x) else x
+    """One posting for each (word, set), in order of word."""
+    key = ts.mix(x["word"] ^ ts.mix(x["set"] + np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(key)
+    word, sets = x["word"][order], x["set"][order]
+    same = (word[1:] == word[:-1]) & (sets[1:] == sets[:-1])
+    if (same != (np.diff(key[order]) == 0)).any():  # two keys met
+        order = np.lexsort((x["set"], x["word"]))
+        word, sets = x["word"][order], x["set"][order]
+        same = (word[1:] == word[:-1]) & (sets[1:] == sets[:-1])
+    x = x[order[np.concatenate([[True], ~same])]] if len(x) else x
+    return x[np.argsort(x["word"])]
+
+
+def _listed(x: np.ndarray) -> np.ndarray:
+    """Postings in order of word, then n, then rank."""
+    _, word = np.unique(x["word"], return_inverse=True)
+    if len(x) >= 1 << 22 or len(x) and x["n"].max() >= 1 << 21:
+        return x[np.lexsort((x["rank"], x["n"], word))]
+    return x[np.argsort((word.astype(np.int64) << 41) | (x["n"].astype(np.int64) << 20) | (x["rank"] >> 12).astype(np.int64))]
 
 
 def packed(entries: np.ndarray, key: np.ndarray, cuts: int) -> dict[int, bytes]:
@@ -113,8 +137,7 @@ class Lists:
     """Posting lists of a shard, and the filters for pairs of their entries."""
 
     def __init__(self, x: np.ndarray, num: int, den: int):
-        x = distinct(x)
-        x = x[np.lexsort((x["rank"], x["n"], x["word"]))]
+        x = _listed(distinct(x))
         self.num, self.den, self.set, self.sign, self.rank = num, den, x["set"], np.ascontiguousarray(x["sign"]), x["rank"].astype(np.int64)
         n, place, shared = (x[k].astype(np.int64) for k in ("n", "place", "shared"))
         self.n, self.before, self.after = n, place - n + shared, n - place  # common tokens before this place, all from it on
