@@ -16,7 +16,7 @@ from .operators.interpreter import Machine
 from .operators.lower import lower
 from .plans.analysis import Analysis, analyse
 from .plans.ops import OP_FIELDS, OPS
-from .store import STORE, MetricInfo, as_ops, check_kinds, dress, infos, visible, with_declared
+from .store import STORE, MetricInfo, as_ops, check_kinds, declared_ops, dress, infos, visible
 
 ERROR_METRIC = -1
 
@@ -134,13 +134,13 @@ def run(lines: DataFrame, programs: dict[str, str] | list[Program], options: Opt
     if seed is not None:
         ops = ops.unionByName(seed)
     # Programs are folded together where they need the same of a fold.
-    need = {name: (True, True, True) if seed is not None else (a.ordered or a.tier == "C", a.mixed or a.tier == "C" and a.ordered, a.appended) for name, a in found.items()}
-    real, cells = ops.where(F.col("op") != "error"), None
+    need = {name: (True, True, True, True) if seed is not None else (a.ordered, a.mixed, a.appended, a.timed) for name, a in found.items()}
+    real, cells = ops.where(F.col("op") != "error").unionByName(declared_ops(spark, metrics)), None
     for kind in sorted(set(need.values())):
         own = [n for n, k in need.items() if k == kind]
         part = fold(real if len(own) == len(need) else real.where(F.col("program").isin(own)), [m for m in metrics if m.program in own], *kind)
         cells = part if cells is None else cells.unionByName(part)
-    store = with_declared(spark, dress(spark, cells, metrics, options.clock()), metrics)
+    store = dress(spark, cells, metrics, options.clock())
     if previous is not None:
         store = _with_histograms(store, previous)
     errors = ops.where(F.col("op") == "error").groupBy("program").agg(F.sum("i").alias("errors"))

@@ -16,54 +16,57 @@ from ..store import MetricInfo, bounds
 KEY = ["program", "metric", "labels"]
 
 
-def fold(ops: DataFrame, metrics: list[MetricInfo], ordered: bool, mixed: bool = True, appended: bool = False) -> DataFrame:
-    """Cells by KEY with their value columns; ops as in plans.ops."""
-    pos = F.struct("seq", "ord")
+def fold(ops: DataFrame, metrics: list[MetricInfo], ordered: bool, mixed: bool = True, appended: bool = False, timed: bool = True) -> DataFrame:
+    """Cells by KEY with their value columns; ops as in plans.ops.
+
+    Only what the metrics need is aggregated, and buffers are plain numbers where no text is kept, so
+    that the aggregate hashes.  A place is one number: 2 ** 51 lines, 4096 ops in each."""
+    types = {m.type for m in metrics}
     is_ = lambda *names: F.col("op").isin(*names)
-    ops = ops.withColumn("pos", pos)
+    ops = ops.withColumn("pos", F.shiftleft(F.col("seq"), 12) + F.col("ord"))
+    slots = [c for c, t in (("i", "Int"), ("f", "Float"), ("s", "String")) if t in types] if ordered else []
+    last = lambda c: F.max_by(c, F.when(is_("set"), F.col("pos"))).alias(f"v_{c}")
     if ordered and mixed:
-        marks = ops.groupBy(*KEY).agg(F.max(F.when(is_("del"), F.col("pos"))).alias("gone"), F.max(F.when(is_("set"), F.col("pos"))).alias("last_set"), F.max_by(F.when(is_("set"), F.struct("i", "f", "s")), F.when(is_("set"), F.col("pos"))).alias("value"))
-        marks = marks.withColumn("last_set", F.when(F.col("gone").isNull() | (F.col("last_set") > F.col("gone")), F.col("last_set")))
-        marks = marks.withColumn("value", F.when(F.col("last_set").isNotNull(), F.col("value")))
-        since = F.greatest("gone", "last_set")
+        marks = ops.groupBy(*KEY).agg(F.max(F.when(is_("del"), F.col("pos"))).alias("gone"), F.max(F.when(is_("set"), F.col("pos"))).alias("last_set"), *(last(c) for c in slots))
+        kept = F.col("gone").isNull() | (F.col("last_set") > F.col("gone"))
+        marks = marks.withColumns({**{f"v_{c}": F.when(kept, F.col(f"v_{c}")) for c in slots}, "since": F.greatest("gone", "last_set")})
         met = ops.join(marks.withColumnsRenamed({k: f"_{k}" for k in KEY}), F.expr(" AND ".join(f"{k} = _{k}" for k in KEY))).drop(*(f"_{k}" for k in KEY))
-        met = met.where("op <> 'del' AND (gone IS NULL OR pos > gone)").withColumn("late", since.isNull() | (F.col("pos") > since))
+        met = met.where("op <> 'del' AND (gone IS NULL OR pos > gone)").withColumn("late", F.col("since").isNull() | (F.col("pos") > F.col("since")))
+        values = [F.any_value(f"v_{c}").alias(f"v_{c}") for c in slots]
     else:
-        met = ops.withColumns({"late": F.lit(True), "value": F.lit(None).cast("struct<i:bigint,f:double,s:string>")})
-    late = F.col("late")
-    wrote = ~is_("touch", "expire")
-    total = {
-        "inc": F.sum(F.when(late & is_("inc"), F.col("i"))).alias("inc"),
-        "fadd": F.sum(F.when(late & is_("fadd"), F.col("f"))).alias("fadd"),
-        "value": (F.any_value("value") if mixed or not ordered else F.max_by(F.when(is_("set"), F.struct("i", "f", "s")), F.when(is_("set"), F.col("pos")))).alias("value"),
-        "ts": F.max_by(F.when(wrote, F.struct("ts")), F.when(wrote, F.col("pos"))).alias("wrote"),
-        "made": F.min_by(F.struct("ts"), F.col("pos")).alias("made"),
-        "n": F.sum(F.when(is_("observe"), 1).otherwise(0)).alias("hist_count"),
-        "sum": F.sum(F.when(is_("observe"), F.col("f"))).alias("hist_sum"),
-    }
+        met, values = ops.withColumn("late", F.lit(True)), [last(c) for c in slots]
+    late, wrote = F.col("late"), F.when(~is_("touch", "expire"), F.col("pos"))
+    micros = F.unix_micros("ts")
+    aggregates = [*values, F.max(wrote).alias("wrote"), F.min_by(micros, F.col("pos")).alias("made")]
+    if timed:
+        aggregates.append(F.max_by(micros, wrote).alias("at"))
+    if "Int" in types:
+        aggregates.append(F.sum(F.when(late & is_("inc"), F.col("i"))).alias("inc"))
+    if "Float" in types:
+        aggregates.append(F.sum(F.when(late & is_("fadd"), F.col("f"))).alias("fadd"))
     if ordered:
-        total["expiry"] = F.max_by(F.when(is_("expire"), F.col("f")), F.when(is_("expire"), F.col("pos"))).alias("expiry_s")
+        aggregates.append(F.max_by("f", F.when(is_("expire"), F.col("pos"))).alias("expiry"))
     if appended:
-        total["tail"] = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(late & is_("append"), F.struct("pos", "s")))), lambda x: x["s"]), "").alias("tail")
+        aggregates.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(late & is_("append"), F.struct("pos", "s")))), lambda x: x["s"]), "").alias("tail"))
     edges = {(m.program, m.index): bounds(m.buckets) for m in metrics if m.type == "Buckets"}
     longest = max((len(b) for b in edges.values()), default=0)
+    if edges:
+        aggregates += [F.sum(F.when(is_("observe"), 1).otherwise(0)).alias("hist_count"), F.sum(F.when(is_("observe"), F.col("f"))).alias("hist_sum")]
     for k in range(longest):
         inside = F.lit(False)
         for (program, index), b in edges.items():
             if k < len(b):
                 above = F.lit(True) if k == 0 else ~(F.col("f") <= b[k - 1][1])
                 inside = inside | ((F.col("program") == program) & (F.col("metric") == index) & above & (F.col("f") <= b[k][1]) & ~F.isnan("f"))
-        total[f"b{k}"] = F.sum(F.when(is_("observe") & inside, 1).otherwise(0)).alias(f"b{k}")
-    cells = met.groupBy(*KEY).agg(*total.values())
-    counts = F.array(*(F.col(f"b{k}") for k in range(longest))) if longest else F.array().cast("array<bigint>")
+        aggregates.append(F.sum(F.when(is_("observe") & inside, 1).otherwise(0)).alias(f"b{k}"))
+    cells = met.groupBy(*KEY).agg(*aggregates)
+    sum_of = lambda value, added, zero: F.coalesce(F.col(value) if value in cells.columns else F.lit(None), F.lit(zero)) + F.coalesce(F.col(added) if added in cells.columns else F.lit(None), F.lit(zero))
+    text = F.concat(F.coalesce("v_s", F.lit("")) if "v_s" in cells.columns else F.lit(""), F.col("tail") if appended else F.lit(""))
+    when = F.when(F.col("wrote").isNull(), F.col("made")).otherwise(F.col("at") if timed else F.lit(None))
     return cells.select(
         *KEY,
-        (F.coalesce("value.i", F.lit(0)) + F.coalesce("inc", F.lit(0))).alias("i"),
-        (F.coalesce("value.f", F.lit(0.0)) + F.coalesce("fadd", F.lit(0.0))).alias("f"),
-        F.concat(F.coalesce("value.s", F.lit("")), F.col("tail") if appended else F.lit("")).alias("s"),
-        counts.alias("counts"), "hist_count", F.coalesce("hist_sum", F.lit(0.0)).alias("hist_sum"),
-        F.coalesce(F.col("wrote"), F.col("made"))["ts"].alias("ts"),
-        (F.col("expiry_s").cast("bigint") if ordered else F.lit(None).cast("bigint")).alias("expiry_s"),
+        sum_of("v_i", "inc", 0).cast("bigint").alias("i"), sum_of("v_f", "fadd", 0.0).cast("double").alias("f"), text.alias("s"),
+        (F.array(*(F.col(f"b{k}") for k in range(longest))) if longest else F.array().cast("array<bigint>")).alias("counts"),
+        (F.col("hist_count") if edges else F.lit(0)).cast("bigint").alias("hist_count"), (F.coalesce("hist_sum", F.lit(0.0)) if edges else F.lit(0.0)).alias("hist_sum"),
+        F.timestamp_micros(when).alias("ts"), (F.col("expiry").cast("bigint") if ordered else F.lit(None).cast("bigint")).alias("expiry_s"),
     )
-
-

@@ -6,8 +6,12 @@ import datetime as dt
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .plans.ops import OPS
 
 STORE = (
     "program string, name string, kind string, type string, hidden boolean, source string, keys array<string>, labels array<string>, int_value bigint, float_value double, str_value string, "
@@ -56,21 +60,25 @@ def bounds(edges) -> list[tuple[float, float]]:
     return low + list(zip(edges, edges[1:], strict=False)) + [(edges[-1], math.inf)]
 
 
-def declared(spark: SparkSession, metrics: list[MetricInfo]) -> DataFrame:
-    """Cells that exist before any line: counters and histograms without keys, at the epoch."""
-    rows = []
-    for m in metrics:
-        if m.keys or m.kind not in ("counter", "histogram"):
-            continue
-        hist = m.type == "Buckets"
-        rows.append((m.program, m.name, m.kind, m.type, m.hidden, m.source, list(m.keys), [], 0 if m.type == "Int" else None, 0.0 if m.type == "Float" else None, "" if m.type == "String" else None, [(a, b, 0) for a, b in bounds(m.buckets)] if hist else None, 0 if hist else None, 0.0 if hist else None, EPOCH, None, m.limit or None))
-    return spark.createDataFrame(rows, STORE)
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation, which needs no job of its own."""
+    shape = spark.createDataFrame([], schema).schema
+    fields = to_arrow_schema(shape)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), shape)
+
+
+def declared_ops(spark: SparkSession, metrics: list[MetricInfo]) -> DataFrame:
+    """Touches, at the epoch and before every line, of cells that exist before any: those of counters
+    and histograms without keys."""
+    rows = [(m.program, m.index, [], "touch", None, None, None, EPOCH, -2, 0) for m in metrics if not m.keys and m.kind in ("counter", "histogram")]
+    return local(spark, rows, OPS)
 
 
 def dress(spark: SparkSession, cells: DataFrame, metrics: list[MetricInfo], now: dt.datetime) -> DataFrame:
     """Cells (see operators.folds) with their metric's description; `now` stamps those without a time."""
     rows = [(m.program, m.index, m.name, m.kind, m.type, m.hidden, m.source, list(m.keys), [[a, b] for a, b in bounds(m.buckets)] if m.type == "Buckets" else None, m.limit or None) for m in metrics]
-    about = F.broadcast(spark.createDataFrame(rows, "program string, metric int, name string, kind string, type string, hidden boolean, source string, keys array<string>, bounds array<array<double>>, `limit` bigint"))
+    about = F.broadcast(local(spark, rows, "program string, metric int, name string, kind string, type string, hidden boolean, source string, keys array<string>, bounds array<array<double>>, `limit` bigint"))
     met = cells.join(about, ["program", "metric"])
     of = lambda t, c: F.when(F.col("type") == t, F.col(c))
     buckets = F.transform("bounds", lambda b, k: F.struct(b[0].alias("min"), b[1].alias("max"), F.coalesce(F.get("counts", k), F.lit(0)).cast("bigint").alias("count")))
@@ -81,13 +89,6 @@ def dress(spark: SparkSession, cells: DataFrame, metrics: list[MetricInfo], now:
     )
 
 
-def with_declared(spark: SparkSession, store: DataFrame, metrics: list[MetricInfo]) -> DataFrame:
-    """The store, and declared cells that no line has touched."""
-    first = declared(spark, metrics)
-    missing = first.join(store.select("program", "source", "labels").where(F.size("labels") == 0), ["program", "source"], "left_anti")
-    return store.unionByName(missing.select(*store.columns))
-
-
 def gc(store: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Without cells that have expired at `as_of`, and with the newest `limit` cells of limited metrics."""
     live = store.where(F.col("expiry_s").isNull() | (F.unix_micros(F.lit(as_of)) - F.unix_micros("ts") <= F.col("expiry_s") * 1_000_000))
@@ -103,7 +104,7 @@ def visible(store: DataFrame) -> DataFrame:
 def as_ops(store: DataFrame, metrics: list[MetricInfo]) -> DataFrame:
     """A former store as ops before every line: cells of metrics with equal program, source, type and keys."""
     rows = [(m.program, m.source, m.type, list(m.keys), m.index) for m in metrics]
-    about = F.broadcast(store.sparkSession.createDataFrame(rows, "program string, source string, type string, keys array<string>, metric int"))
+    about = F.broadcast(local(store.sparkSession, rows, "program string, source string, type string, keys array<string>, metric int"))
     kept = store.where(F.col("type") != "Buckets").join(about, ["program", "source", "type", "keys"])
     common = ["program", "metric", "labels"]
     setter = kept.select(*common, F.lit("set").alias("op"), F.col("int_value").alias("i"), F.col("float_value").alias("f"), F.col("str_value").alias("s"), "ts", F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("ord"))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..api import Options, _compiled, op_stream, run
 from ..lang.lexer import ProgramError
 from ..plans.analysis import analyse
-from ..store import LoadError, gc, infos
+from ..store import LoadError, gc, infos, local
 
 
 def counters(lines: DataFrame, programs: dict[str, str], options: Options | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def counters(lines: DataFrame, programs: dict[str, str], options: Options | None
         raise ValueError(f"not order-free: {', '.join(wrong)}")
     ops, _ = op_stream(lines, compiled, options)
     about = [(m.program, m.index, m.name) for p in compiled for m in infos(p)]
-    names = F.broadcast(lines.sparkSession.createDataFrame(about, "program string, metric int, name string"))
+    names = F.broadcast(local(lines.sparkSession, about, "program string, metric int, name string"))
     value = F.coalesce(F.col("i").cast("double"), F.col("f"), F.lit(0.0))
     return ops.where("op in ('inc', 'fadd', 'touch')").join(names, ["program", "metric"]).groupBy("program", "name", "labels").agg(F.sum(value).alias("value"))
 
