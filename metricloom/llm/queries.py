@@ -102,5 +102,42 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, formatted)) AS loss_sha256,
   CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id
+""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM both_have JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+reach AS (
+  SELECT doc_id AS doc, doc_id AS r FROM documents UNION SELECT l.y, reach.r FROM reach JOIN links l ON l.x = reach.doc)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM documents d JOIN reach ON reach.doc = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op9_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line FROM l),
+sets AS (
+  SELECT doc_id, k, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM f WHERE full_line),
+classes AS (
+  SELECT row_number() OVER (ORDER BY first) AS id, ws, len(ws) AS n, first FROM (SELECT ws, min({'d': doc_id, 'k': k}) AS first FROM sets GROUP BY ws)),
+t AS (SELECT id, n, unnest(ws) AS word FROM classes),
+lost AS (
+  SELECT DISTINCT b.id FROM t a JOIN t b ON a.word = b.word AND a.id < b.id AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
+  GROUP BY a.id, b.id HAVING 9 * count(*) >= 4 * (any_value(a.n) + any_value(b.n))),
+kept AS (SELECT first.d AS doc_id, first.k AS k FROM classes WHERE id NOT IN (SELECT id FROM lost)),
+marked AS (SELECT f.*, kept.k IS NOT NULL AS stays FROM f LEFT JOIN kept ON kept.doc_id = f.doc_id AND kept.k = f.k),
+g AS (
+  SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (full_line AND NOT stays) AS n_removed,
+    string_agg(line, chr(10) ORDER BY k) FILTER (stays OR NOT full_line) AS left_over FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  sha256(CASE WHEN n_removed = 0 THEN text WHEN n_removed = n_lines THEN '' ELSE left_over END) AS kept_sha256
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
 """,
 }
