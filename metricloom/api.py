@@ -16,7 +16,7 @@ from .operators.interpreter import Machine
 from .operators.lower import lower
 from .plans.analysis import Analysis, analyse
 from .plans.ops import OP_FIELDS, OPS
-from .store import STORE, MetricInfo, as_ops, check_kinds, declared_ops, dress, infos, visible
+from .store import STORE, MetricInfo, as_ops, check_kinds, declared_ops, dress, infos, local, visible
 
 ERROR_METRIC = -1
 
@@ -53,9 +53,9 @@ def _compiled(programs: dict[str, str] | list[Program], options: Options) -> lis
 
 def _columns_ops(lines: DataFrame, programs: list[Program], options: Options, year: int) -> DataFrame:
     """Ops of all programs that need no state: one scan, one array for each line, one explode."""
-    df, arrays = lines.withColumn("now", F.lit(options.clock())), []
+    df, arrays, shared = lines.withColumn("now", F.lit(options.clock())), [], {}
     for k, p in enumerate(programs):
-        df, ops, failed = lower(p, df, k, year, options.zone)
+        df, ops, failed = lower(p, df, k, year, options.zone, shared)
         typed = ops.cast("array<struct<metric:int,labels:array<string>,op:string,i:bigint,f:double,s:string,ts:timestamp,ord:int>>")
         error = F.when(failed, F.array(F.struct(F.lit(ERROR_METRIC).alias("metric"), F.array().cast("array<string>").alias("labels"), F.lit("error").alias("op"), F.lit(1).cast("bigint").alias("i"), F.lit(None).cast("double").alias("f"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).alias("ord")))).otherwise(F.array().cast(typed_name))
         arrays.append(F.transform(F.concat(typed, error), _tagged(p.name)))
@@ -147,6 +147,17 @@ def run(lines: DataFrame, programs: dict[str, str] | list[Program], options: Opt
     return Result(store, errors, ops, metrics, {n: a.tier for n, a in found.items()})
 
 
+def stats(lines: DataFrame, result: Result) -> DataFrame:
+    """What a run did: name, label and value of lines_total, log_lines_total by file, and
+    runtime_errors_total by program (programs without errors too)."""
+    spark = lines.sparkSession
+    by_file = lines.groupBy("filename").agg(F.count(F.lit(1)).alias("value")).select(F.lit("log_lines_total").alias("name"), F.col("filename").alias("label"), "value")
+    programs = local(spark, [(n,) for n in result.tiers], "program string")
+    errors = programs.join(result.errors, "program", "left").select(F.lit("runtime_errors_total").alias("name"), F.col("program").alias("label"), F.coalesce("errors", F.lit(0)).cast("bigint").alias("value"))
+    total = by_file.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(F.lit("lines_total").alias("name"), F.lit("").alias("label"), "value")
+    return total.unionByName(by_file).unionByName(errors)
+
+
 def _with_histograms(store: DataFrame, previous: DataFrame) -> DataFrame:
     """Histograms of both stores, added up."""
     key = ["program", "source", "labels"]
@@ -158,4 +169,4 @@ def _with_histograms(store: DataFrame, previous: DataFrame) -> DataFrame:
     return met.withColumns(changed).select(*store.columns)
 
 
-__all__ = ["STORE", "Options", "Result", "compile_program", "op_stream", "run", "visible"]
+__all__ = ["STORE", "Options", "Result", "compile_program", "op_stream", "run", "stats", "visible"]

@@ -67,16 +67,17 @@ def convert(v: Value, a: str, b: str) -> Value:
 
 
 class Lowering:
-    def __init__(self, program: Program, lines: DataFrame, number: int, year: int, zone: str):
+    def __init__(self, program: Program, lines: DataFrame, number: int, year: int, zone: str, shared: dict[tuple, Column] | None = None):
         self.program, self.df, self.year, self.zone = program, lines, year, zone
         self.prefix = f"_p{number}_"
+        self.shared = {} if shared is None else shared  # matches and groups of the line itself, of all programs
         self.path, self.flag, self.time = F.lit(True), F.lit(False), F.lit(None).cast("timestamp")
         self.halts: list[tuple[Column, int]] = []
         self.ops: list[Column] = []
         self.ord = 0
         self.stops: set[int] = set()
         self.extracted: dict[tuple, Column] = {}
-        self.matches: dict[int, tuple[str, Column, Column]] = {}  # by site: names and paths
+        self.matches: dict[int, tuple] = {}  # by site: subject, match, path, whether it is the line
 
     def name(self, column: Column, what: str) -> Column:
         """The column under a name of its own, so that it is worked out once."""
@@ -243,22 +244,27 @@ class Lowering:
 
     def match(self, e: Expr, text: Column, plain: bool) -> Column:
         pattern = e.ref
+        java, literal = pattern.regex.java(), pattern.regex.literal()
         subject = text if plain else self.name(text, "t")
-        literal = pattern.regex.literal()
-        test = subject.rlike(pattern.regex.java())
-        if len(literal) > 2:
-            test = subject.contains(literal) & test
-        hit = self.name(_yes(test), "m")
-        self.matches[pattern.site] = (subject, hit, self.path)
+        hit = self.shared.get((java, -1)) if plain else None
+        if hit is None:
+            test = subject.rlike(java)
+            if len(literal) > 2:
+                test = subject.contains(literal) & test
+            hit = self.name(_yes(test), "m")
+            if plain:
+                self.shared[java, -1] = hit
+        self.matches[pattern.site] = (subject, hit, self.path, plain)
         return hit
 
     def capture(self, e: Expr) -> Value:
         ref: Capture = e.ref
-        subject, hit, path = self.matches[ref.pattern.site]
-        key = ref.pattern.site, ref.group
-        if key not in self.extracted:
-            self.extracted[key] = self.name(F.regexp_extract(subject, ref.pattern.regex.java(), ref.group), "g")
-        return convert(Value(self.extracted[key], ~(hit & path)), "String", e.type)
+        subject, hit, path, plain = self.matches[ref.pattern.site]
+        java = ref.pattern.regex.java()
+        known, key = (self.shared, (java, ref.group)) if plain else (self.extracted, (ref.pattern.site, ref.group))
+        if key not in known:
+            known[key] = self.name(F.regexp_extract(subject, java, ref.group), "g")
+        return convert(Value(known[key], ~(hit & path)), "String", e.type)
 
     def call(self, e: Expr) -> Value:
         name, items = e.value, e.items
@@ -295,9 +301,9 @@ class Lowering:
         return Value(F.replace(texts[2].column, texts[0].column, texts[1].column), fails)
 
 
-def lower(program: Program, lines: DataFrame, number: int, year: int, zone: str) -> tuple[DataFrame, Column, Column]:
+def lower(program: Program, lines: DataFrame, number: int, year: int, zone: str, shared: dict[tuple, Column] | None = None) -> tuple[DataFrame, Column, Column]:
     """lines with helper columns; the array of ops that happen; and whether the line failed."""
-    x = Lowering(program, lines, number, year, zone)
+    x = Lowering(program, lines, number, year, zone, shared)
     x.block(program.body)
     stop = x.name(F.least(F.lit(NEVER), *(F.when(c, F.lit(k)).otherwise(NEVER) for c, k in x.halts)) if x.halts else F.lit(NEVER), "halt")
     failing = [k for _, k in x.halts if k not in x.stops]

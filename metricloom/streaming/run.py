@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..api import Options, _compiled, op_stream, run
 from ..lang.lexer import ProgramError
 from ..plans.analysis import analyse
+from ..sinks.text import push
 from ..store import LoadError, gc, infos, local
 
 
@@ -30,6 +32,24 @@ def counters(lines: DataFrame, programs: dict[str, str], options: Options | None
     return ops.where("op in ('inc', 'fadd', 'touch')").join(names, ["program", "metric"]).groupBy("program", "name", "labels").agg(F.sum(value).alias("value"))
 
 
+class Pusher:
+    """Pushes a store to targets, (address, format), no more often than every `seconds`; give it to
+    StoreStream as on_store.  A target that can't be reached is tried again next time, and counted."""
+
+    def __init__(self, targets: list[tuple[str, Callable[[DataFrame], DataFrame]]], seconds: float = 60.0):
+        self.targets, self.seconds, self.last, self.failures = targets, seconds, float("-inf"), 0
+
+    def __call__(self, store: DataFrame, number: int) -> None:
+        if time.monotonic() - self.last < self.seconds:
+            return
+        self.last = time.monotonic()
+        for address, form in self.targets:
+            try:
+                push(form(store.where("kind <> 'text'")), address)
+            except OSError:
+                self.failures += 1
+
+
 class StoreStream:
     """A store kept up to date batch by batch, for programs of any tier.
 

@@ -239,3 +239,29 @@ def test_flagship_query(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stats_and_shared_patterns(spark):
+    from metricloom.api import stats
+    from metricloom.sources.lines import from_text
+
+    program = "counter a by k\n/^(\\w+) x$/ {\n  a[$1]++\n}\n"
+    lines = from_text(spark, "p x\nq x\nz\n", "f")
+    result = run(lines, {"one": program, "two": program.replace("counter a", "counter b").replace("a[", "b[")}, Options(now=WHEN))
+    assert {(r["name"], r["labels"][0]): r["int_value"] for r in result.store.collect()} == {(n, k): 1 for n in "ab" for k in "pq"}
+    assert {(r["name"], r["label"]): r["value"] for r in stats(lines, result).collect()} == {("lines_total", ""): 3, ("log_lines_total", "f"): 3, ("runtime_errors_total", "one"): 0, ("runtime_errors_total", "two"): 0}
+
+
+def test_pusher(store):
+    from metricloom.streaming.run import Pusher
+
+    p = Pusher([("tcp://127.0.0.1:9", text.statsd)], seconds=3600)
+    p(store, 0)
+    p(store, 1)
+    assert p.failures == 1
+
+
+def test_graph():
+    from metricloom.lang.parser import dot, parse
+
+    assert 'label="cond"' in dot(parse('counter c\n/x"y/ {\n  c++\n} else {\n  stop\n}\n'))
