@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,23 +76,29 @@ def _machine_ops(lines: DataFrame, program: Program, found: Analysis, options: O
     as the key deals them to."""
     now = options.clock()
     tracked = found.read
-    kept = lines.select("seq", "filename", "line")
+    cell = ["metric", "labels", "i", "f", "s"]
+    kinds = dict(OP_FIELDS)
+    kept = lines.select("seq", "filename", "line", *(F.lit(None).cast(kinds[c]).alias(c) for c in cell))
+    if seed is not None:  # cells of a former store come before all lines, dealt like them
+        former = seed.where((F.col("program") == program.name) & (F.col("op") == "set") & F.col("metric").isin([*tracked]))
+        kept = kept.unionByName(former.select("seq", F.lit("").alias("filename"), F.lit(None).cast("string").alias("line"), *cell))
     if found.key is not None:
         x = found.key.pattern.regex.java()
-        dealt = F.when(F.col("line").rlike(x), F.regexp_extract("line", x, found.key.group)).otherwise(F.concat(F.lit("-"), F.pmod("seq", F.lit(1024)).cast("string")))
+        dealt = F.when(F.col("metric").isNotNull(), F.get("labels", F.lit(0))).when(F.col("line").rlike(x), F.regexp_extract("line", x, found.key.group)).otherwise(F.concat(F.lit("-"), F.pmod("seq", F.lit(1024)).cast("string")))
         rows = kept.withColumn("_key", dealt).repartition("_key").sortWithinPartitions("seq").drop("_key")
     else:
         rows = kept.repartition(1).sortWithinPartitions("seq")
-    start = {}
-    if seed is not None:
-        start = {(r["metric"], tuple(r["labels"])): next(v for v in (r["i"], r["f"], r["s"]) if v is not None) for r in seed.where((F.col("program") == program.name) & (F.col("op") == "set") & F.col("metric").isin([*tracked])).toLocalIterator()}
     names = [c for c, _ in OP_FIELDS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = Machine(program, tracked, year, options.zone, now.timestamp())
-        machine.cells.update(start)
         for batch in batches:
             out = []
+            for k in np.flatnonzero(batch.metric.notna()):
+                row = batch.iloc[k]
+                value = int(row.i) if pd.notna(row.i) else float(row.f) if pd.notna(row.f) else row.s
+                machine.cells[int(row.metric), tuple(row["labels"])] = value
+            batch = batch[batch.metric.isna()]
             for seq, filename, line in zip(batch.seq.tolist(), batch.filename, batch.line, strict=True):
                 ops, error = machine.line(line or "", filename or "")
                 out += [(program.name, m, list(labels), op, i, f, s, None if t is None else dt.datetime.fromtimestamp(t, dt.UTC), seq, k) for m, labels, op, i, f, s, t, k in ops]

@@ -6,9 +6,10 @@ import os
 import re
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 500_000  # blocks of files; with more, their numbers are joined
 LINES = "filename string, line string, seq bigint"
 
 
@@ -35,11 +36,10 @@ def with_order(rows: DataFrame) -> DataFrame:
 
     Files are numbered by path in one small aggregate; within a file, the reader's row ids rise."""
     starts = rows.groupBy("filename", "_b").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     before = Window.orderBy("filename", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("filename").alias("_f"), F.col("_b").alias("_block"), "_first", "_base")
-    return rows.join(F.broadcast(starts), (F.col("filename") == F.col("_f")) & (F.col("_b") == F.col("_block"))).select("filename", "line", (F.col("_base") + F.col("_m") - F.col("_first")).alias("seq"))
+    starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("filename").alias("_f"), F.col("_b").alias("_block"), "_first", "_base").persist()
+    small = F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts
+    return rows.join(small, (F.col("filename") == F.col("_f")) & (F.col("_b") == F.col("_block"))).select("filename", "line", (F.col("_base") + F.col("_m") - F.col("_first")).alias("seq"))
 
 
 def from_text(spark: SparkSession, text: str | bytes, filename: str = "-") -> DataFrame:

@@ -131,6 +131,23 @@ def test_sessions_by_key(play):
     assert not any(k[0] == "opened" for k in cells)
 
 
+@pytest.mark.parametrize("key", ["pid", ""])
+def test_feedback_goes_on_from_a_former_store(spark, key):
+    import datetime as dt
+
+    from metricloom.api import Options, run
+    from metricloom.sources.lines import from_text
+
+    cell = "last[$pid]" if key else "last"
+    program = f"gauge last{' by pid' if key else ''}\ncounter up by pid\n/^(?P<pid>\\d+) (?P<v>\\d+)$/ {{\n  $v > {cell} {{\n    up[$pid]++\n  }}\n  {cell} = $v\n}}\n"
+    options, log = Options(now=dt.datetime(2024, 1, 1, tzinfo=dt.UTC)), "1 5\n2 7\n1 6\n2 3\n1 9\n2 4\n"
+    shown = lambda r: sorted(map(str, r.store.select("name", "labels", "int_value").collect()))
+    whole = run(from_text(spark, log), {"p": program}, options)
+    first = run(from_text(spark, log[:12]), {"p": program}, options)
+    second = run(from_text(spark, log[12:]), {"p": program}, options, first.store)
+    assert whole.tiers == {"p": "C"} and shown(whole) == shown(second)
+
+
 def test_multi_line_records(play):
     program = 'hidden text user\ncounter slow by user\n/^# User: (\\w+)$/ {\n  user = $1\n}\nuser == "" {\n  stop\n}\n/^SELECT/ {\n  slow[user]++\n  user = ""\n}\n'
     cells, _, _ = play(program, "SELECT 0\n# User: ann\nSELECT 1\nSELECT 2\n# User: bob\nSELECT 3\n")
