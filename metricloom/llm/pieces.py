@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 1 << 19
+SLICE = 1 << 20
 NEAR = 36.74  # the largest -log(-log(u)) that _uniform can give
 SPACE = 0x20
 
