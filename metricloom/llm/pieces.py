@@ -128,10 +128,12 @@ def _slots(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Lattice:
     """Nodes of all distinct chunks after one another (a chunk of n characters has n + 1); edges in
-    order of their start, the longest first.  `upto` sums a node's edge probabilities."""
+    order of what is left of the chunk, then of their start, the longest first.  `upto` sums a node's
+    edge probabilities."""
 
     source: np.ndarray
-    begin: np.ndarray  # by node (and one more): its first edge
+    begin: np.ndarray  # by node: its first edge
+    stop: np.ndarray  # by node: the edge after its last
     to: np.ndarray
     piece: np.ndarray  # -1: the character's bytes
     log_cond: np.ndarray
@@ -173,7 +175,7 @@ class Lattice:
         log_prob = np.where(piece >= 0, v.log_prob[piece], v.byte_log_prob * n_bytes[start])
         # Backward sums, all chunks together, by the number of characters that are left.
         left = (stop - np.arange(n))[start]
-        order = np.argsort(left * (n + 1) + start)
+        order = np.argsort((left * (n + 1) + start) * 1024 + (1023 - np.minimum(length, 1023)))
         start, length, piece, log_prob, left = start[order], length[order], piece[order], log_prob[order], left[order]
         source, to = node_of[start], node_of[start] + length
         beta = np.zeros(n + n_chunks)
@@ -187,15 +189,15 @@ class Lattice:
             total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, times)), heads))
             beta[source[a + heads]] = total
             value[a:b] = x - np.repeat(total, times)
-        order = np.argsort(source * 1024 + (1023 - np.minimum(length, 1023)))
-        source, to, piece, value = source[order], to[order], piece[order], value[order]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=n + n_chunks))])
+        begin, stop_ = np.zeros(n + n_chunks, np.int64), np.zeros(n + n_chunks, np.int64)
+        heads = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]])) if len(source) else np.zeros(0, np.int64)
+        begin[source[heads]], stop_[source[heads]] = heads, np.concatenate([heads[1:], [len(source)]])
         running = np.concatenate([[0.0], np.cumsum(np.exp(value))])
         point = np.zeros(n + n_chunks, np.int64)
         point[node_of] = points
         last = np.zeros(n + n_chunks, bool)
         last[np.cumsum(size) + np.arange(n_chunks)] = True
-        return cls(source, begin, to, piece, value, running[1:] - running[begin[source]], point, last)
+        return cls(source, begin, stop_, to, piece, value, running[1:] - running[begin[source]], point, last)
 
 
 def _uniform(key: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
@@ -247,7 +249,7 @@ class Texts:
         while len(chunk):
             place = self.start[chunk] + node - self.node[chunk] - origin[chunk]
             u = _uniform(key[chunk], place, salt)
-            edge, stop = x.begin[node], x.begin[node + 1] - 1
+            edge, stop = x.begin[node], x.stop[node] - 1
             on = np.flatnonzero((u > x.upto[edge]) & (edge < stop))
             while len(on):
                 edge[on] += 1
@@ -278,7 +280,7 @@ class Texts:
             least = above - reach if reach else np.where(worst < np.inf, worst, -np.inf) - NEAR
             rows = np.flatnonzero(before >= least[path.doc])
             node = x.source[path.edge[rows]]
-            times = x.begin[node + 1] - x.begin[node]
+            times = x.stop[node] - x.begin[node]
             row = np.repeat(np.arange(len(rows)), times)
             edge = np.repeat(x.begin[node], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             row = rows[row]
