@@ -51,7 +51,7 @@ class LineSets:
     def read(cls, data: np.ndarray, at: np.ndarray) -> LineSets:
         words = ts.Words(ts.LOWER[data], at, ts.NON_SPACE)
         begin, end, doc = ts.line_bounds(data, at)
-        line = np.searchsorted(end, words.start, "right")
+        line = np.repeat(np.arange(len(end)), np.diff(np.searchsorted(words.start, end), prepend=0))
         full = np.flatnonzero(np.bincount(line, minlength=len(end)))
         place = np.zeros(len(end), np.int64)
         place[full] = np.arange(len(full))

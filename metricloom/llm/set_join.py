@@ -82,7 +82,7 @@ def postings(of: np.ndarray, token: np.ndarray, n: np.ndarray, ids: np.ndarray,
     of, token = of[able], token[able]
     order = _by_rank(of, known.rank(token))
     of, token = of[order], token[order]
-    place = np.arange(len(of)) - np.searchsorted(of, of) + (n - shared)[of]
+    place = _within(of) + (n - shared)[of]
     kept = place < n[of] - (-(-num * n[of] // den)) + 1
     of = of[kept]
     out = np.empty(len(of), posting(signs))
@@ -92,9 +92,15 @@ def postings(of: np.ndarray, token: np.ndarray, n: np.ndarray, ids: np.ndarray,
     return out
 
 
+def _within(of: np.ndarray) -> np.ndarray:
+    """Each entry's place among those of its set; of is sorted."""
+    head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return np.arange(len(of)) - np.repeat(head, np.diff(np.concatenate([head, [len(of)]])))
+
+
 def _by_rank(of: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The order of a set's tokens by rank, equal ranks as they stand; of is sorted."""
-    within = np.arange(len(of)) - np.searchsorted(of, of)
+    within = _within(of)
     if len(of) and (of[-1] >= 1 << 21 or within.max() >= 1 << 21):
         return np.lexsort((rank, of))
     return np.argsort((of << 42) | (rank << 21) | within)  # no two are equal, so any sort will do
@@ -115,8 +121,8 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 def _listed(x: np.ndarray) -> np.ndarray:
-    """Postings in order of word, then n, then rank."""
-    _, word = np.unique(x["word"], return_inverse=True)
+    """Postings (in order of word) in order of word, then n, then rank."""
+    word = np.concatenate([[0], np.cumsum(x["word"][1:] != x["word"][:-1])]) if len(x) else np.zeros(0, np.int64)
     if len(x) >= 1 << 22 or len(x) and x["n"].max() >= 1 << 21:
         return x[np.lexsort((x["rank"], x["n"], word))]
     return x[np.argsort((word.astype(np.int64) << 41) | (x["n"].astype(np.int64) << 20) | (x["rank"] >> 12).astype(np.int64))]
