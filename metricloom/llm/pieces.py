@@ -9,9 +9,9 @@ maximum is drawn top-down (a child keeps its parent's maximum with its condition
 the other children's maxima are Gumbels cut off below it).  The best open node is taken, its path
 completed, and the children that the path passed by become open.
 
-Conditional probabilities come from backward sums over the lattice.  Pieces never cross a space
-or a newline, so the lattice is a chain of small ones, one for each chunk; equal chunks of a slice
-share theirs, and all texts of a slice step through them together in numpy.  All noise is a hash
+Conditional probabilities come from backward sums over the lattice.  Pieces hold spaces only as a
+run at their start and never cross a newline, so the lattice is a chain of small ones, one for each
+chunk (a run of spaces and what follows up to the next); equal chunks of a slice share theirs, and all texts of a slice step through them together in numpy.  All noise is a hash
 of the row's key, the place in the text and the number of the sample: results don't depend on
 how rows are batched.
 
@@ -54,12 +54,14 @@ class Vocabulary:
 
     @classmethod
     def load(cls, model: str = MODEL, offset: float = 10.0) -> Vocabulary:
-        """A merge model ranks its pieces; rank r gets a probability in proportion to 1 / (r + offset)."""
+        """A merge model ranks its pieces; rank r gets a probability in proportion to 1 / (r + offset).
+
+        Pieces without a rank (a score of -1e9: single spaces and runs of them) come after the last."""
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=model)
         n = p.get_piece_size()
-        byte_id, spelled, weight, usable = np.zeros(256, np.int64), [b""] * n, np.zeros(n), []
+        byte_id, spelled, weight, usable, unranked = np.zeros(256, np.int64), [b""] * n, np.zeros(n), [], []
         for i in range(n):
             text = p.id_to_piece(i)
             if p.is_byte(i):
@@ -67,9 +69,13 @@ class Vocabulary:
                 spelled[i] = bytes([int(text[3:5], 16)])
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 spelled[i] = text.replace("▁", " ").encode()
+                usable.append((i, text.replace("▁", " ")))
                 if p.get_score(i) > -1e8:
-                    usable.append((i, text.replace("▁", " ")))
                     weight[i] = 1 / (offset - p.get_score(i) if p.get_score(i) <= 0 else offset)
+                else:
+                    unranked.append(i)
+        lowest = 1 / weight[weight > 0].min() if weight.any() else offset
+        weight[unranked] = 1 / (lowest + np.arange(1, len(unranked) + 1))
         log_prob = np.log(np.maximum(weight / weight.sum(), 1e-300))
         nodes: dict[str, int] = {"": 0}
         steps: dict[int, int] = {}
@@ -224,6 +230,7 @@ class Texts:
         self.length = np.array([len(t) + 1 for t in texts], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])
         new = points == SPACE
+        new[1:] &= points[:-1] != SPACE
         new |= points == 10
         new[1:] |= points[:-1] == 10
         new[self.offset[:-1]] = True

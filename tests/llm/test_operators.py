@@ -366,6 +366,28 @@ def test_pieces_round_trip(docs, rows, nothing):
     assert pieces.sample(nothing).count() == 0
 
 
+def test_own_segmentation_is_a_path(spark, rows):
+    v = pieces.Vocabulary.load()
+
+    def is_path(t, ids):
+        x = pieces.Texts([t], pieces.row_keys(pa.array([0]), 1), v)
+        for node in x.node:
+            while not x.lattice.last[node]:
+                for e in range(x.lattice.begin[node], x.lattice.stop[node]):
+                    piece = int(x.lattice.piece[e])
+                    own = [piece] if piece >= 0 else v.byte_id[list(chr(x.lattice.point[node]).encode())].tolist()
+                    if ids[: len(own)] == own:
+                        ids, node = ids[len(own) :], x.lattice.to[e]
+                        break
+                else:
+                    return False
+        return not ids
+
+    texts = ["a 1 b", "1", " 17", "x  y", "x   2", "\n  1 \n \n", "end ", "end  ", " " * 40 + "z", " ", "  ", "a ▁ 1", "日本  語 9"] + [t for _, t, *_ in rows if t]
+    for r in pieces.encode(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        assert is_path(r["text"], r["ids"]), r["text"]
+
+
 def test_pieces_follow_their_distribution():
     import numpy as np
 
