@@ -10,9 +10,9 @@ every text would shuffle several times the input.)
    n-gram), where the shard is the first symbol of the context;
 2. discounts and continuation counts come from these counts, for each language;
 3. every document's whole text gets its perplexity under the model of its language;
-4. a document is rejected if that is above the language's threshold, which comes from quantiles
-   of the perplexities of trusted documents that the model was not trained on (one in HELD_OUT, by
-   hash of doc_id): the median and WIDER times the way from there to the upper quantile.
+4. a document is rejected if that is above the language's threshold, a quantile of the perplexities
+   of trusted documents that the model was not trained on (one in HELD_OUT, by hash of doc_id), or of
+   those of all languages together where a language has none.
 
 Languages are taken in groups of GROUP, one pass over the documents of each group.
 """
@@ -20,6 +20,7 @@ Languages are taken in groups of GROUP, one pass over the documents of each grou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,8 @@ from . import textscan as ts
 BITS, ORDER, SYMBOLS = 6, 4, 64
 GRAMS = SYMBOLS**ORDER
 GROUP = 6  # languages a pass; 32 MB each on an executor's worker
-QUANTILE = 0.995
-HELD_OUT, WIDER = 4, 1.5
-SMOOTH = 60  # symbols' worth of the language's mean that every document gets, for short ones
+QUANTILE = 0.98  # chosen on the labels of sf0.1, see README
+HELD_OUT = 4
 SENT_IDS = 4_000_000  # trusted ids that are sent to all executors; with more, they are joined
 
 COLUMNS = "perplexity double, threshold double, kept boolean"
@@ -145,7 +145,7 @@ def log_table(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model, thresholds: dict[str, tuple[float, float]] | None) -> DataFrame:
+def score(docs: DataFrame, model, thresholds: dict[str, float]) -> DataFrame:
     """docs (with _lang) and COLUMNS; `model` is a broadcast of {language: (grams, counts)}."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +162,8 @@ def score(docs: DataFrame, model, thresholds: dict[str, tuple[float, float]] | N
             own = np.repeat(np.maximum(known, 0).astype(np.int64) * GRAMS, size)
             log_p = table[own + grams(data, at)].astype(np.float64) if len(table) else np.zeros(len(data))
             total = ts_sum(log_p, at)
-            if thresholds is None:
-                mean = np.zeros(len(size))
-                limit = np.full(len(size), np.inf)
-                used = np.maximum(size, 1)
-            else:
-                mean = np.array([thresholds.get(x, (0.0, 0.0))[0] for x in lang])
-                limit = np.array([thresholds.get(x, (0.0, np.inf))[1] for x in lang])
-                total, used = total + mean * SMOOTH, size + SMOOTH
-            perplexity = np.exp(np.minimum(-total / used, 700))
+            limit = np.array([thresholds.get(x, np.inf) for x in lang])
+            perplexity = np.exp(np.minimum(-total / np.maximum(size, 1), 700))
             unknown = known < 0
             none = (size == 0) | unknown
             kept = (size > 0) & (unknown | (perplexity <= limit))
@@ -186,6 +179,16 @@ def ts_sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(total[at])
 
 
+def _limits(unseen: list[DataFrame], languages: list[str], quantile: float) -> dict[str, float]:
+    """Each language's threshold, from tables of (_lang, cost) of held-out documents."""
+    if not unseen:
+        return {}
+    costs = reduce(DataFrame.unionByName, unseen)
+    rows = costs.rollup("_lang").agg(F.percentile_approx("cost", F.lit(quantile), F.lit(10000)).alias("q")).collect()
+    found = {r["_lang"]: float(np.exp(r["q"])) for r in rows if r["q"] is not None}
+    return {x: found.get(x, found.get(None, np.inf)) for x in languages}
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The columns of docs and perplexity, threshold and kept (input columns of these names are replaced).
 
@@ -200,7 +203,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_OUT)) == 0
     counts = count(trusted.where(~held_out)).persist()
     languages = [r["_lang"] for r in counts.select("_lang").distinct().orderBy("_lang").collect()]
-    parts = []
+    models, unseen = [], []
     for a in range(0, len(languages), GROUP):
         group = languages[a : a + GROUP]
         rows = counts.where(F.col("_lang").isin(group)).select("_lang", "gram", "n").toArrow()
@@ -210,12 +213,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
             order = np.argsort(gram[own := np.flatnonzero(names == x)])
             held[x] = gram[own][order], n[own][order]
         sent = spark.sparkContext.broadcast(held)
-        unseen = score(trusted.where(held_out & F.col("_lang").isin(group)), sent, None).select("_lang", F.log("perplexity").alias("cost"), F.octet_length("text").alias("size"))
-        stats = unseen.groupBy("_lang").agg((F.sum(F.col("cost") * F.col("size")) / F.sum("size")).alias("m"), F.percentile_approx("cost", F.array(F.lit(0.5), F.lit(quantile)), F.lit(10000)).alias("q"))
-        limits = {r["_lang"]: (-r["m"], float(np.exp(r["q"][0] + WIDER * (r["q"][1] - r["q"][0])))) for r in stats.collect()}
-        parts.append(score(docs.where(F.col("_lang").isin(group)), sent, limits))
+        models.append((group, sent))
+        unseen.append(score(trusted.where(held_out & F.col("_lang").isin(group)), sent, {}).select("_lang", F.log("perplexity").alias("cost")))
+    limits = _limits(unseen, languages, quantile)
+    parts = [score(docs.where(F.col("_lang").isin(group)), sent, limits) for group, sent in models]
     rest = docs.where(~F.col("_lang").isin(languages)) if languages else docs
-    parts.append(score(rest, spark.sparkContext.broadcast({}), None))
+    parts.append(score(rest, spark.sparkContext.broadcast({}), {}))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -118,6 +118,24 @@ def test_classifier(spark, docs, nothing):
     assert ngram_lm.classify(docs, labels.where("false")).where("kept").count() == docs.where("length(text) > 0").count()
 
 
+def test_thresholds_are_quantiles(spark):
+    import random
+
+    r = random.Random(5)
+    words = "the rain in spain stays mainly plain said number of them all wind over sea and hills".split()
+    good = [(i, " ".join(r.choice(words) for _ in range(40)), "en") for i in range(400)]
+    junk = [(1000, "Xq Xq Xq", "en"), (1001, "Zj Zj Zj Zj Zj", "en"), (1002, "#|| 88", "en")]
+    alone = [(3000, good[0][1], "xx"), (3001, "Kq#% Wv|| 77 ZZ", "xx")]
+    df = spark.createDataFrame(good + junk + alone, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(400), 3000]], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in ngram_lm.classify(df, labels, 0.95).collect()}
+    held = {x["doc_id"] for x in df.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ngram_lm.HELD_OUT)) == 0).collect()}
+    unseen = [got[i] for i in range(400) if i in held]
+    assert 3000 not in held and 0.02 <= sum(not x["kept"] for x in unseen) / len(unseen) <= 0.06
+    assert not any(got[i]["kept"] for i in (1000, 1001, 1002))
+    assert got[3001]["threshold"] == pytest.approx(got[0]["threshold"]) and not got[3001]["kept"]
+
+
 def test_model_is_a_distribution():
     import numpy as np
 
