@@ -1,18 +1,20 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-The symbols are 64 classes of bytes (letters without case, capitals, digits, punctuation, parts of
-non-ASCII letters) and the order is 4, so that a language has at most 64 ** 4 n-grams whatever
-the size of the corpus: what is sent to the executors has a proven bound, and a text is scored
-where it is read.  (Counts of word n-grams grow with the corpus; joining them with every place of
-every text would shuffle several times the input.)
-
-1. n-grams of the trusted documents are counted in each partition and summed by (language, shard,
-   n-gram), where the shard is the first symbol of the context;
-2. discounts and continuation counts come from these counts, for each language;
-3. every document's whole text gets its perplexity under the model of its language;
-4. a document is rejected if that is above the language's threshold, a quantile of the perplexities
-   of trusted documents that the model was not trained on (one in HELD_OUT, by hash of doc_id), or of
-   those of all languages together where a language has none.
+"""Quality classifier: an interpolated modified Kneser-Ney word bigram model of trusted text.
+
+Words are runs of other than white space without ASCII case; a character of three bytes or more is
+a word of its own, so that scripts without spaces have words too.  The unigrams are interpolated
+with a model that spells words: n-grams of order 4 of 64 classes of bytes, at most 64 ** 4 a
+language, which is sent to the executors.  The word counts grow with the corpus and are never sent:
+
+1. class n-grams of the trusted documents are counted in each partition and summed by (language,
+   shard, n-gram), where the shard is the first symbol of the context;
+2. word bigrams of the trusted documents are counted; continuation counts, discounts and the
+   probabilities of all bigrams come from aggregates and joins of these;
+3. the distinct bigrams of every document are joined with them, and summed by text; the mean of this
+   and of what the class n-grams give to the whole text is the text's log probability (either alone
+   misses junk: words repeated or out of place, or odd letters and spaces);
+4. a document is rejected if its perplexity (by byte) is above the language's threshold, a quantile of
+   those of trusted documents that the model was not trained on (one in HELD_OUT, by hash of doc_id),
+   or of those of all languages together where a language has none.
 
 Languages are taken in groups of GROUP, one pass over the documents of each group.
 """
@@ -24,10 +26,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .storage import cut
 
 BITS, ORDER, SYMBOLS = 6, 4, 64
 GRAMS = SYMBOLS**ORDER
@@ -36,7 +39,7 @@ QUANTILE = 0.98  # chosen on the labels of sf0.1, see README
 HELD_OUT = 4
 SENT_IDS = 4_000_000  # trusted ids that are sent to all executors; with more, they are joined
 
-COLUMNS = "perplexity double, threshold double, kept boolean"
+EDGE = np.uint64(1)  # stands for a text's start and end
 
 
 def _classes() -> np.ndarray:
@@ -109,7 +112,10 @@ def count(docs: DataFrame) -> DataFrame:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """What is taken off counts of 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
+    return _discounts(*(float((counts == k).sum()) for k in (1, 2, 3, 4)))
+
+
+def _discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     if not (n1 and n2):
         return np.array([0.0, 0.5, 0.75, 0.75])
     y = n1 / (n1 + 2 * n2)
@@ -145,8 +151,23 @@ def log_table(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model, thresholds: dict[str, float]) -> DataFrame:
-    """docs (with _lang) and COLUMNS; `model` is a broadcast of {language: (grams, counts)}."""
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of every word."""
+    inside, follows = ts.NON_SPACE[data], ~ts.code_points(data)
+    lead = np.maximum.accumulate(np.where(follows, 0, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
+    wide = data[lead] >= 0xE0
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    new = first[:-1].copy()
+    new[1:] |= ~inside[:-1] | (~follows[1:] & (wide[1:] | wide[:-1]))
+    last = first[1:].copy()
+    last[:-1] |= ~inside[1:] | new[1:]
+    return np.flatnonzero(inside & new), np.flatnonzero(inside & last) + 1
+
+
+def bigrams(docs: DataFrame, model) -> DataFrame:
+    """_lang, _key, v, w and n for each distinct bigram of each text; `spell` is the spelling model's log
+    probability of w; in one row of each text, `one` is 1 and `whole` its log probability by that model.  `model` is a broadcast of {language: (grams, counts)}."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(model.value)
@@ -155,35 +176,63 @@ def score(docs: DataFrame, model, thresholds: dict[str, float]) -> DataFrame:
         for i, x in enumerate(names):
             table[i * GRAMS : (i + 1) * GRAMS] = log_table(*model.value[x])
         for part in ts.slices(batches, "text"):
-            data, at = ts.buffer_of(part.column(part.schema.get_field_index("text")))
-            size = np.diff(at)
-            lang = part.column(part.schema.get_field_index("_lang")).to_pylist()
-            known = np.array([index.get(x, -1) for x in lang])
-            own = np.repeat(np.maximum(known, 0).astype(np.int64) * GRAMS, size)
-            log_p = table[own + grams(data, at)].astype(np.float64) if len(table) else np.zeros(len(data))
-            total = ts_sum(log_p, at)
-            limit = np.array([thresholds.get(x, np.inf) for x in lang])
-            perplexity = np.exp(np.minimum(-total / np.maximum(size, 1), 700))
-            unknown = known < 0
-            none = (size == 0) | unknown
-            kept = (size > 0) & (unknown | (perplexity <= limit))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(perplexity, mask=none), pa.array(limit, mask=~np.isfinite(limit)), pa.array(kept)], [*part.schema.names, "perplexity", "threshold", "kept"])
-
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInArrow(run, kinds + COLUMNS)
-
-
-def ts_sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1)
-    np.cumsum(values, out=total[1:])
-    return np.diff(total[at])
-
-
-def _limits(unseen: list[DataFrame], languages: list[str], quantile: float) -> dict[str, float]:
-    """Each language's threshold, from tables of (_lang, cost) of held-out documents."""
-    if not unseen:
-        return {}
-    costs = reduce(DataFrame.unionByName, unseen)
+            data, at = ts.buffer_of(part.column(2))
+            own = np.repeat(np.array([index[x] for x in part.column(0).to_pylist()], np.int64) * GRAMS, np.diff(at))
+            total = np.concatenate([[0.0], np.cumsum(table[own + grams(data, at)].astype(np.float64))])
+            begin, end = words(data, at)
+            first = np.searchsorted(begin, at)
+            doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+            hashed = ts.span_hash(ts.LOWER[data], begin, end)
+            # The byte after a word tells that it ends.
+            spell = total[np.minimum(end + 1, at[1:][doc])] - total[begin]
+            v, w = np.insert(hashed, first[:-1], EDGE), np.insert(hashed, first[1:], EDGE)
+            spell, doc = np.insert(spell, first[1:], 0.0), np.insert(doc, first[1:], np.arange(part.num_rows))
+            order = np.lexsort((w, v, doc))
+            v, w, doc, spell = v[order], w[order], doc[order], spell[order]
+            text = np.concatenate([[True], doc[1:] != doc[:-1]])
+            head = np.flatnonzero(text | np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+            n = np.diff(np.concatenate([head, [len(doc)]]))
+            columns = [v[head].view(np.int64), w[head].view(np.int64), n.astype(np.int32), np.add.reduceat(spell, head) / n, text[head].astype(np.int32), np.where(text[head], np.diff(total[at])[doc[head]], 0.0)]
+            yield from pa.Table.from_arrays([part.column(0).take(pa.array(doc[head])), part.column(1).take(pa.array(doc[head])), *map(pa.array, columns)], ["_lang", "_key", "v", "w", "n", "spell", "one", "whole"]).to_batches(1 << 16)
+
+    return docs.select("_lang", "_key", "text").mapInArrow(run, "_lang string, _key long, v long, w long, n int, spell double, one int, whole double")
+
+
+def _off(count: str, d: str) -> Column:
+    """What is taken off a count, `d` being a column of the discounts."""
+    return F.col(d)[F.least(F.col(count), F.lit(3)).cast("int")]
+
+
+def word_model(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From bigrams of the training texts: log p of bigrams, what unseen ones back off with by v, log p of
+    words, and what words that weren't seen have before their spelling, by language."""
+    seen = cut(rows.groupBy("_lang", "v", "w").agg(F.sum("n").alias("c"), F.max("spell").alias("spell")))
+    heads = cut(seen.groupBy("_lang", "w").agg(F.count("*").alias("k"), F.max("spell").alias("spell")))
+    found = {}
+    for name, table, x in (("d2", seen, "c"), ("d1", heads, "k")):
+        for r in table.groupBy("_lang").agg(F.sum(x).alias("t"), *(F.count_if(F.col(x) == i).alias(f"n{i}") for i in (1, 2, 3, 4))).collect():
+            found.setdefault(r["_lang"], {})[name] = [float(y) for y in _discounts(*(r[f"n{i}"] for i in (1, 2, 3, 4)))], float(r["t"])
+    spark = rows.sparkSession
+    sizes = spark.createDataFrame([(x, f["d2"][0], f["d1"][0], f["d1"][1]) for x, f in found.items()], "_lang string, d2 array<double>, d1 array<double>, t1 double")
+    known = heads.join(F.broadcast(sizes), "_lang")
+    rest = known.groupBy("_lang").agg((F.sum(_off("k", "d1")) / F.max("t1")).alias("g1"))
+    p1 = cut(known.join(F.broadcast(rest), "_lang").select("_lang", "w", ((F.col("k") - _off("k", "d1")) / F.col("t1") + F.col("g1") * F.exp("spell")).alias("p1")))
+    whole = seen.join(F.broadcast(sizes), "_lang")
+    backed = cut(whole.groupBy("_lang", "v").agg(F.sum("c").alias("t2"), (F.sum(_off("c", "d2")) / F.sum("c")).alias("g2")))
+    p2 = whole.join(backed, ["_lang", "v"]).join(p1, ["_lang", "w"]).select("_lang", "v", "w", F.log((F.col("c") - _off("c", "d2")) / F.col("t2") + F.col("g2") * F.col("p1")).alias("log_p2"))
+    return p2, backed.select("_lang", "v", F.log("g2").alias("log_g2")), p1.select("_lang", "w", F.log("p1").alias("log_p1")), rest.select("_lang", F.log("g1").alias("log_g1"))
+
+
+def score(rows: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """_lang, _key and total, the mean of both models' log probability of the text."""
+    p2, backed, p1, rest = model
+    found = rows.join(p2, ["_lang", "v", "w"], "left").join(backed, ["_lang", "v"], "left").join(p1, ["_lang", "w"], "left").join(F.broadcast(rest), "_lang")
+    log_p = F.coalesce("log_p2", F.coalesce("log_g2", F.lit(0.0)) + F.coalesce("log_p1", F.col("log_g1") + F.col("spell")))
+    return found.groupBy("_lang", "_key").agg((F.sum(F.col("n") * log_p + F.col("whole")) / 2 / F.sum("one")).alias("total"))
+
+
+def _limits(costs: DataFrame, languages: list[str], quantile: float) -> dict[str, float]:
+    """Each language's threshold, from _lang and cost of held-out documents."""
     rows = costs.rollup("_lang").agg(F.percentile_approx("cost", F.lit(quantile), F.lit(10000)).alias("q")).collect()
     found = {r["_lang"]: float(np.exp(r["q"])) for r in rows if r["q"] is not None}
     return {x: found.get(x, found.get(None, np.inf)) for x in languages}
@@ -196,14 +245,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     language without trusted text has no model: its documents have no perplexity and are kept
     unless empty.  Equal rows give equal rows (and count as often as they stand in the table when
     the model is trained); an empty table gives an empty result."""
-    docs = _language(docs.drop("perplexity", "threshold", "kept", "_lang"))
+    docs = _language(docs.drop("perplexity", "threshold", "kept", "_lang")).withColumn("_key", F.xxhash64("text"))
     spark = docs.sparkSession
     ids = trusted_ids(labels).persist()
-    trusted = _only(docs.select("doc_id", "_lang", "text").where("length(text) > 0"), ids)
+    trusted = _only(docs.select("doc_id", "_lang", "_key", "text").where("length(text) > 0"), ids)
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_OUT)) == 0
     counts = count(trusted.where(~held_out)).persist()
     languages = [r["_lang"] for r in counts.select("_lang").distinct().orderBy("_lang").collect()]
-    models, unseen = [], []
+    trained, every = [], []
     for a in range(0, len(languages), GROUP):
         group = languages[a : a + GROUP]
         rows = counts.where(F.col("_lang").isin(group)).select("_lang", "gram", "n").toArrow()
@@ -213,13 +262,17 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
             order = np.argsort(gram[own := np.flatnonzero(names == x)])
             held[x] = gram[own][order], n[own][order]
         sent = spark.sparkContext.broadcast(held)
-        models.append((group, sent))
-        unseen.append(score(trusted.where(held_out & F.col("_lang").isin(group)), sent, {}).select("_lang", F.log("perplexity").alias("cost")))
-    limits = _limits(unseen, languages, quantile)
-    parts = [score(docs.where(F.col("_lang").isin(group)), sent, limits) for group, sent in models]
-    rest = docs.where(~F.col("_lang").isin(languages)) if languages else docs
-    parts.append(score(rest, spark.sparkContext.broadcast({}), {}))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.drop("_lang")
+        trained.append(bigrams(trusted.where(~held_out & F.col("_lang").isin(group)), sent))
+        every.append(bigrams(docs.where(F.col("_lang").isin(group) & (F.length("text") > 0)), sent))
+    none = F.lit(None).cast("double")
+    if not languages:
+        return docs.withColumns({"perplexity": none, "threshold": none, "kept": F.coalesce(F.length("text") > 0, F.lit(False))}).drop("_lang", "_key")
+    totals = cut(score(reduce(DataFrame.unionByName, every), word_model(reduce(DataFrame.unionByName, trained))))
+    sent_totals = F.broadcast(totals) if totals.count() <= SENT_IDS else totals
+    cost = -F.col("total") / F.octet_length("text")
+    limits = _limits(trusted.where(held_out).join(sent_totals, ["_lang", "_key"]).select("_lang", cost.alias("cost")), languages, quantile)
+    thresholds = spark.createDataFrame([(x, y) for x, y in limits.items() if np.isfinite(y)], "_lang string, threshold double")
+    names = [x for x in docs.columns if x not in ("_lang", "_key")]
+    out = docs.join(sent_totals, ["_lang", "_key"], "left").join(F.broadcast(thresholds), "_lang", "left").withColumn("perplexity", F.when(F.col("total").isNotNull(), F.exp(F.least(cost, F.lit(700.0)))))
+    kept = (F.length("text") > 0) & (F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
+    return out.select(*names, "perplexity", "threshold", F.coalesce(kept, F.lit(False)).alias("kept"))

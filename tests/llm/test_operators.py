@@ -136,6 +136,22 @@ def test_thresholds_are_quantiles(spark):
     assert got[3001]["threshold"] == pytest.approx(got[0]["threshold"]) and not got[3001]["kept"]
 
 
+def test_words_out_of_place_are_rejected(spark):
+    import random
+
+    r = random.Random(7)
+    # Three bytes before a noun are the same in both phrases: only whole words tell that the nouns are swapped.
+    good = [(i, " ".join(r.choice(["golden valley", "wooden harbour"]) for _ in range(20)), "en") for i in range(200)]
+    kanji = [(2000 + i, "今日は良い天気です" * (1 + i % 3), "ja") for i in range(200)]
+    odd = [(1000, "golden harbour wooden valley " * 10, "en"), (3000, "天で良すは気い日今" * 2, "ja")]
+    df = spark.createDataFrame(good + kanji + odd, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in good + kanji], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in ngram_lm.classify(df, labels).collect()}
+    assert not got[1000]["kept"] and not got[3000]["kept"]
+    assert sum(got[r[0]]["kept"] for r in good + kanji) >= 390
+    assert got[1000]["perplexity"] > 1.08 * max(got[x[0]]["perplexity"] for x in good)
+
+
 def test_model_is_a_distribution():
     import numpy as np
 
