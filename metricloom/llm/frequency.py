@@ -66,8 +66,8 @@ def volume(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def shard_bits(n_tokens: int, least: int = 5, most: int = 15) -> int:
-    return min(most, max(least, int(n_tokens // SHARD_TOKENS).bit_length()))
+def shard_bits(n_tokens: int, least: int = 5) -> int:
+    return max(least, int(n_tokens // SHARD_TOKENS).bit_length())
 
 
 def survey(docs: DataFrame, tokens_of: Callable[[np.ndarray, np.ndarray], np.ndarray], n_tokens: int, bits: int, hot: int = 1 << 20) -> Survey:

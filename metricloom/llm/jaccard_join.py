@@ -25,7 +25,7 @@ from .storage import cut
 
 NUM, DEN, WORDS = 3, 4, 5
 BITS = 27
-FLUSH = 1 << 19  # postings that a task holds
+FLUSH = 1 << 17  # postings that a task holds
 SENT = 2_000_000  # documents whose ids are sent to all tasks; with more, they are joined
 NULL_ID = -(1 << 63)
 
@@ -68,19 +68,16 @@ def _scan(docs: DataFrame, sent: Broadcast[Survey], cuts: int, words: int, num:
         if rows:
             yield flush()
 
-    def find(pdf):
-        import pandas as pd
-
-        row = np.concatenate([set_join.from_bytes(b, ROW) for b in pdf["rows"]])
-        pairs, led = set_join.candidates(np.concatenate([set_join.from_bytes(b, set_join.posting(4)) for b in pdf["postings"]]), num, den)
+    def find(table: pa.Table) -> pa.Table:
+        row = np.concatenate([set_join.from_bytes(b, ROW) for b in set_join.blobs(table, "rows")])
+        pairs, led = set_join.candidates(np.concatenate([set_join.from_bytes(b, set_join.posting(4)) for b in set_join.blobs(table, "postings")]), num, den)
         both = np.concatenate([pairs, led])
-        empty = lambda n: pd.array([None] * n, dtype="Int64")
-        one = pd.DataFrame({"doc": pd.array(row["doc"], dtype="Int64"), "id": pd.array(row["id"].view(np.int64), dtype="Int64"), "n": pd.array(row["n"].astype(np.int64), dtype="Int64"), "a": empty(len(row)), "b": empty(len(row)), "led": False})
-        two = pd.DataFrame({"doc": empty(len(both)), "id": empty(len(both)), "n": empty(len(both)), "a": pd.array(both[:, 0], dtype="Int64"), "b": pd.array(both[:, 1], dtype="Int64"), "led": np.arange(len(both)) >= len(pairs)})
-        return pd.concat([one, two])
+        one = pa.table({"doc": row["doc"], "id": row["id"].view(np.int64), "n": row["n"].astype(np.int64)})
+        two = pa.table({"a": both[:, 0], "b": both[:, 1], "led": np.arange(len(both)) >= len(pairs)})
+        return pa.concat_tables([one, two], promote_options="default")
 
     packed = docs.select("doc", "text").mapInArrow(gather, "shard int, rows binary, postings binary")
-    return packed.groupBy("shard").applyInPandas(find, "doc long, id long, n long, a long, b long, led boolean")
+    return packed.groupBy("shard").applyInArrow(find, "doc long, id long, n long, a long, b long, led boolean")
 
 
 def link(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
@@ -91,10 +88,10 @@ def link(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     known = survey(docs.select("text"), lambda data, at: ts.shingles(ts.Words(ts.LOWER[data], at, ts.NON_SPACE), words)[1], size // 6, BITS)
     sent = docs.sparkSession.sparkContext.broadcast(known)
     del known
-    scanned = cut(_scan(docs, sent, shard_bits(size // 60), words, num, den))
+    scanned = cut(_scan(docs, sent, shard_bits(size // 15), words, num, den))
     sent.destroy()
     rows = scanned.where("a is null").select("doc", "id", "n")
-    found = scanned.where("a is not null").groupBy("a", "b").agg(F.max("led").alias("led"))
+    found = cut(scanned.where("a is not null").groupBy("a", "b").agg(F.max("led").alias("led")))
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     lead = cut(rows.where("n > 0").groupBy("id").agg(F.min("doc").alias("doc"), F.first("n").alias("n")).join(wanted, "id"))
     met = set_join.verify(found, _shingles(docs, lead, words), num, den)

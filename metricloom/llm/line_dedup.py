@@ -7,9 +7,13 @@ A line is the set of its words (A-Z lower-cased); a line is removed if an earlie
    stay.  Classes are first merged within each task, so a line that stands in a third of all
    documents costs one row for each task.
 2. Classes are joined exactly as set_join.py says: words ordered by rarity over the whole corpus,
-   prefix, length and positional filters, whole sets verified.  The leader of a long posting list
-   is its earliest class: what it removes needs no other look.
+   prefix, length and positional filters, whole sets verified.  In a dense posting list each class
+   meets the first one it may be similar to; only if that one doesn't remove it, it meets all others
+   that stand before it.  So pairs grow with a group of near copies, not with its square.
 3. A class whose first line has an earlier similar class loses that line too.
+
+A task holds FLUSH classes; a shard's postings grow no further, as there are more shards with more
+text.  A text is held whole, at about 60 times its bytes, by the task that reads it.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ from pyspark.sql import functions as F
 
 from . import set_join
 from . import textscan as ts
-from .frequency import Survey, shard_bits, survey, volume
+from .frequency import Survey, shard_bits, survey
 from .storage import cut
 
 NUM, DEN = 4, 5
 SIGNS = 2
 BITS = 27
-FLUSH = 1 << 18  # classes that a task holds before it writes
+NULL_ID = -(1 << 63)
+FLUSH = 1 << 17  # classes that a task holds before it writes
 SENT = 2_000_000  # classes whose ids are sent to all tasks; with more, they are joined
 
 
@@ -84,9 +89,13 @@ def _firsts(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x["id"][1:] != x["id"][:-1]])] if len(x) else x
 
 
-def _scan(docs: DataFrame, sent: Broadcast[Survey], cuts: int, num: int, den: int) -> DataFrame:
-    """A row for each class (id, its first line's doc, text_hash and number, n; a null) and one for
-    each pair of classes to compare (a, b, led)."""
+KINDS = f"id long, doc long, text_hash long, number long, size long, a long, b long, {set_join.ENTRY}"
+
+
+def _scan(docs: DataFrame, sent: Broadcast[Survey], low: int, shift: int, cuts: int, num: int, den: int) -> DataFrame:
+    """A row for each class (id, its first line's doc, text_hash and number, and its size), one for each pair
+    of classes to compare (a, b), and one for each entry of a dense list (set_join.ENTRY); the other
+    columns are null.  A line's rank is its document's place above `low`, in steps of 2 ** shift."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lists, rows, held = sent.value, [], [], 0
@@ -103,14 +112,15 @@ def _scan(docs: DataFrame, sent: Broadcast[Survey], cuts: int, num: int, den: in
             row["id"], row["number"], row["n"] = x.id, x.number, x.n
             row["doc"] = part.column(0).to_numpy(zero_copy_only=False)[x.doc]
             row["text"] = part.column(1).to_numpy(zero_copy_only=False)[x.doc]
-            # One line of each class is posted, and rank is its document's place in the order.
+            # One line of each class is posted.
             _, own = np.unique(x.id, return_index=True)
             own.sort()
             new = np.full(len(x.n), -1)
             new[own] = np.arange(len(own))
             mine = new[x.of] >= 0
+            rank = np.where(row["doc"][own] < low, 0, (row["doc"][own] - low).view(np.uint64) >> np.uint64(shift)).astype(np.int64)
             rows.append(_firsts(row))
-            lists.append(set_join.postings(new[x.of[mine]], x.word[mine], x.n[own], x.id[own], row["doc"][own], known, num, den, SIGNS))
+            lists.append(set_join.postings(new[x.of[mine]], x.word[mine], x.n[own], x.id[own], rank, known, num, den, SIGNS))
             held += len(rows[-1])
             if held >= FLUSH:
                 yield flush()
@@ -118,42 +128,42 @@ def _scan(docs: DataFrame, sent: Broadcast[Survey], cuts: int, num: int, den: in
         if rows:
             yield flush()
 
-    def find(pdf):
-        import pandas as pd
+    names = [c.split()[0] for c in KINDS.split(", ")]
 
-        row = _firsts(np.concatenate([set_join.from_bytes(b, CLASS) for b in pdf["rows"]]))
-        pairs, led = set_join.candidates(np.concatenate([set_join.from_bytes(b, set_join.posting(SIGNS)) for b in pdf["postings"]]), num, den)
-        both = np.concatenate([pairs, led])
-        some = lambda x: pd.array(x, dtype="Int64")
-        one = {"id": some(row["id"].view(np.int64)), "doc": some(row["doc"]), "text_hash": some(row["text"]), "number": some(row["number"].astype(np.int64)), "n": some(row["n"].astype(np.int64)), **{c: pd.array([None] * len(row), dtype="Int64") for c in "ab"}, "led": False}
-        two = {**{c: pd.array([None] * len(both), dtype="Int64") for c in ("id", "doc", "text_hash", "number", "n")}, "a": some(both[:, 0]), "b": some(both[:, 1]), "led": np.arange(len(both)) >= len(pairs)}
-        return pd.concat([pd.DataFrame(one), pd.DataFrame(two)])
+    def find(table: pa.Table) -> pa.Table:
+        row = _firsts(np.concatenate([set_join.from_bytes(b, CLASS) for b in set_join.blobs(table, "rows")]))
+        pairs, entries = set_join.first_candidates(np.concatenate([set_join.from_bytes(b, set_join.posting(SIGNS)) for b in set_join.blobs(table, "postings")]), num, den)
+        one = pa.table({"id": row["id"].view(np.int64), "doc": row["doc"], "text_hash": row["text"], "number": row["number"].astype(np.int64), "size": row["n"].astype(np.int64)})
+        every = pa.concat_tables([one, pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}), pa.Table.from_batches([entries])], promote_options="default")
+        return every.select(names)
 
     packed = docs.select("doc", "text_hash", "text").mapInArrow(gather, "shard int, rows binary, postings binary")
-    return packed.groupBy("shard").applyInPandas(find, "id long, doc long, text_hash long, number long, n long, a long, b long, led boolean")
+    return packed.groupBy("shard").applyInArrow(find, KINDS)
 
 
 def similar_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
-    """The classes (id, first line, n) and enough of the links between different ones (a, b) that every
-    class that is similar to an earlier one has a link to an earlier one.
+    """The classes (id, first line) and the lost ones (id): those that are similar to an earlier one.
 
     docs: doc, text_hash, text."""
-    size = volume(docs)
+    total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), *(f(F.when(F.col("doc") != NULL_ID, F.col("doc"))).alias(f.__name__) for f in (F.min, F.max))).first()
+    size, low = total["bytes"] or 0, total["min"] or 0
     known = survey(docs.select("text"), lambda data, at: ts.Words(ts.LOWER[data], at, ts.NON_SPACE).hash, size // 6, BITS)
     sent = docs.sparkSession.sparkContext.broadcast(known)
     del known
-    scanned = cut(_scan(docs, sent, shard_bits(size // 30), num, den))
+    scanned = cut(_scan(docs, sent, low, max(0, ((total["max"] or 0) - low).bit_length() - 32), shard_bits(size // 30), num, den))
     sent.destroy()
-    classes = scanned.where("a is null").select("id", F.struct("doc", "text_hash", "number").alias("first"), "n")
-    found = scanned.where("a is not null").groupBy("a", "b").agg(F.max("led").alias("led"))
-    wanted = cut(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", "n", "first.*"))
-    met = set_join.verify(found, _sets(docs, wanted), num, den)
-    links = met.where("linked").select("a", "b")
-    if met.where("led").isEmpty():
-        return classes, links
-    lost = cut(removed(classes, links).withColumnRenamed("id", "a").withColumn("gone", F.lit(True)))
-    led = met.where("led").join(lost, "a", "left").withColumns({"part": F.col("a"), "out": F.col("gone").isNull()})
-    return classes, links.unionAll(set_join.unsettled(led, num, den))
+    classes = scanned.where("id is not null").select("id", F.struct("doc", "text_hash", "number").alias("first"), F.col("size").alias("n"))
+    found = cut(scanned.where("a is not null").select("a", "b").distinct())
+    entries = scanned.where("word is not null").select(*(c.split()[0] for c in set_join.ENTRY.split(", ")))
+    ids = found.select(F.explode(F.array("a", "b")).alias("id")).unionAll(entries.select(F.col("set").alias("id"))).distinct()
+    wanted = cut(ids.join(classes, "id"))
+    sets = _sets(docs, wanted)
+    linked = lambda pairs: set_join.verify(pairs.withColumn("led", F.lit(False)), sets, num, den).where("linked").select("a", "b")
+    lost = cut(removed(wanted, linked(found)))
+    if entries.isEmpty():
+        return classes, lost
+    open_ = entries.join(lost.select(F.col("id").alias("set"), F.lit(True).alias("gone")), "set", "left").withColumn("out", F.col("gone").isNull()).drop("gone")
+    return classes, lost.unionAll(removed(wanted, linked(set_join.later(open_, num, den)))).distinct()
 
 
 def removed(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -165,7 +175,7 @@ def removed(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, key (its id), n and tokens of the wanted classes, read again from their first lines."""
-    at = wanted.groupBy("doc", "text_hash").agg(F.collect_list("id").alias("ids"))
+    at = wanted.groupBy("first.doc", "first.text_hash").agg(F.collect_list("id").alias("ids"))
     found = docs.join(F.broadcast(at) if wanted.count() <= SENT else at, ["doc", "text_hash"]).select("text", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +195,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc, text_hash and the numbers of the lines that stay, of the documents that keep a line with a word."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    classes, links = similar_classes(keyed, num, den)
-    lost = removed(classes, links)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    classes, lost = similar_classes(keyed, num, den)
     return classes.join(lost, "id", "left_anti").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.col("first.number").cast("int")).alias("kept"))
 
 
@@ -200,7 +209,7 @@ def dedup(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     named n_lines or n_removed are replaced; an empty table gives an empty result."""
     docs = docs.drop("n_lines", "n_removed")
     kept = kept_lines(docs, num, den).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text"), F.col("kept").alias("_kept"))
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64("text")})
+    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_t": F.xxhash64("text")})
     met = rows.join(kept, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_text")), "left").drop("_d", "_t", "_doc", "_text")
     lines = F.split("text", "\n", -1)
     full = lambda line: line.rlike(r"[^\x20\x09-\x0D]")

@@ -6,8 +6,10 @@
 2. In a posting list pairs are left out by size (length filter), by place (positional filter), by
    how many of their tokens occur elsewhere at all, and by signatures of 128 or 256 bits: bit h holds the
    parity of a set's tokens of hash h, so signatures differ in no more bits than sets in tokens.
-   Where CLUSTER or more sets of a list may be similar to one, that is their leader, and they are
-   compared with it only, and with the sets outside.
+   Where only the first similar set counts (lines), each set of a dense list is compared with the first
+   that it may be similar to, and with the others before it only if that one isn't (`later`).
+   Where all links count (documents) and CLUSTER or more sets of a list may be similar to one, that is
+   their leader, and they are compared with it only, and with the sets outside.
 3. Pairs are verified on whole sets, and a member's differences to its leader are kept.
 4. Members that the leader did not settle are compared with the leader's group by what is known:
    with A(x) = leader - x and B(x) = x - leader,
@@ -35,9 +37,9 @@ from .storage import cut
 CLUSTER = 24  # sets of a list that may be similar to one, from which it leads them
 WINDOW = 2048  # longer lists are looked through for leaders first
 TRIES = 8
-CELLS = 1 << 20  # pairs that are looked at together
+CELLS = 1 << 18  # pairs that are looked at together
 X_BLOCK, Z_BLOCK = 256, 4096
-
+SMALL, FIRSTS = 32, 256  # lists that are not looked through for first ones; how many first ones are tried
 
 
 def posting(signs: int) -> np.dtype:
@@ -50,7 +52,8 @@ def to_bytes(x: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(x[f]).tobytes() for f in x.dtype.names)
 
 
-def from_bytes(blob: bytes, dtype: np.dtype) -> np.ndarray:
+def from_bytes(blob: bytes | pa.Buffer, dtype: np.dtype) -> np.ndarray:
+    blob = memoryview(blob)
     n, at = len(blob) // dtype.itemsize, 0
     out = np.empty(n, dtype)
     for f in dtype.names:
@@ -60,6 +63,11 @@ def from_bytes(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
+def blobs(table: pa.Table, name: str) -> list[pa.Buffer]:
+    """A binary column's values, without copies."""
+    return [x.as_buffer() for x in table.column(name)]
+
+
 def least_overlap(a, b, num: int, den: int):
     """The smallest overlap at which sets of sizes a and b have similarity num / den."""
     return -(-num * (a + b) // (num + den))
@@ -147,6 +155,7 @@ class Lists:
         self.num, self.den, self.set, self.sign, self.rank = num, den, x["set"], np.ascontiguousarray(x["sign"]), x["rank"].astype(np.int64)
         n, place, shared = (x[k].astype(np.int64) for k in ("n", "place", "shared"))
         self.n, self.before, self.after = n, place - n + shared, n - place  # common tokens before this place, all from it on
+        self.word = x["word"]
         self.head = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]])) if len(x) else np.zeros(0, np.int64)
         self.size = np.diff(np.concatenate([self.head, [len(x)]]))
 
@@ -176,6 +185,41 @@ class Lists:
             yield np.stack([i, j])[:, self.may(i, j)]
             a = b
 
+    def firsts(self, k: int) -> np.ndarray:
+        """(entry, the first entry by rank that it may be similar to) of list k, for those that have one among
+        the FIRSTS first."""
+        own = np.arange(self.head[k], self.head[k] + self.size[k])
+        own = own[np.lexsort((self.set[own], self.rank[own]))]
+        partner = np.full(len(own), -1)
+        for a in range(0, min(FIRSTS, len(own)), SMALL):
+            lead, left = np.arange(a, min(a + SMALL, len(own))), np.flatnonzero(partner < 0)
+            left = left[left > a]
+            step = CELLS // SMALL
+            for c in range(0, len(left), step):
+                x = left[c : c + step]
+                i, j = np.repeat(x, len(lead)), np.tile(lead, len(x))
+                hit = (j < i).reshape(len(x), -1)
+                hit[hit] = self.may(own[i[hit.ravel()]], own[j[hit.ravel()]])
+                some = hit.any(1)
+                partner[x[some]] = a + hit[some].argmax(1)
+        at = np.flatnonzero(partner >= 0)
+        return np.stack([own[at], own[partner[at]]])
+
+    def earliest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of entries to compare, and the entries of dense lists, whose pairs with first ones are
+        among them and whose other pairs `later` gives."""
+        pairs, dense = [np.zeros((2, 0), np.int64)], np.zeros(len(self.size), bool)
+        for k in np.flatnonzero(self.size > SMALL):
+            found = self.firsts(k)
+            if found.shape[1] >= max(SMALL, self.size[k] >> 3):
+                dense[k] = True
+                pairs.append(found)
+        lists = np.flatnonzero((self.size > 1) & ~dense)
+        size = self.size[lists]
+        entries = np.repeat(self.head[lists] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        pairs += self.within(entries, np.repeat(lists, size))
+        return np.concatenate(pairs, 1), np.flatnonzero(np.repeat(dense, self.size))
+
     def cluster(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of one list: those that stay, and (member, leader) of its clusters; a cluster's
         other pairs are left out."""
@@ -236,13 +280,66 @@ class Lists:
         return np.concatenate(plain, 1), np.concatenate(led, 1)
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[new], b[new]], 1).view(np.int64)
+
+
 def candidates(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one shard's postings: pairs of sets to compare (a < b), and (member, leader)."""
     lists = Lists(x, num, den)
     (i, j), (m, leader) = lists.pairs()
     a, b = lists.set[i], lists.set[j]
-    unique = lambda p: np.unique(np.ascontiguousarray(p), axis=0).view(np.int64) if len(p) else np.zeros((0, 2), np.int64)
-    return unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)), unique(np.stack([lists.set[m], lists.set[leader]], 1))
+    return _distinct_pairs(np.minimum(a, b), np.maximum(a, b)), _distinct_pairs(lists.set[m], lists.set[leader])
+
+
+ENTRY = "word long, set long, rank long, n long, before long, after long, sign binary"
+
+
+def first_candidates(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Of one shard's postings: pairs of sets to compare (a < b), and the dense lists' entries as rows of ENTRY."""
+    lists = Lists(x, num, den)
+    (i, j), own = lists.earliest()
+    a, b = lists.set[i], lists.set[j]
+    width = lists.sign.shape[1] * 8
+    sign = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(own), [None, pa.py_buffer(np.ascontiguousarray(lists.sign[own]))]).cast(pa.binary())
+    columns = [lists.word[own].view(np.int64), lists.set[own].view(np.int64), lists.rank[own], lists.n[own], lists.before[own], lists.after[own]]
+    return _distinct_pairs(np.minimum(a, b), np.maximum(a, b)), pa.RecordBatch.from_arrays([*map(pa.array, columns), sign], [c.split()[0] for c in ENTRY.split(", ")])
+
+
+def later(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a < b) of the entries with `out` and those of their list that don't rank after them, in blocks
+    of each list, so that no task holds all of a long one.  entries: ENTRY and out."""
+    per = entries.groupBy("word").agg(F.count_if("out").alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0")
+    per = per.select("word", F.ceil(F.col("n_out") / X_BLOCK).cast("int").alias("xb"), F.ceil(F.col("n_all") / Z_BLOCK).cast("int").alias("zb"))
+    met = entries.join(per, "word")
+    block = lambda seed, n: F.pmod(F.xxhash64("set", F.lit(seed)), F.col(n)).cast("int")
+    x = met.where("out").withColumns({"i": block(1, "xb"), "j": F.explode(F.sequence(F.lit(0), F.col("zb") - 1)), "side": F.lit(True)})
+    z = met.withColumns({"j": block(2, "zb"), "i": F.explode(F.sequence(F.lit(0), F.col("xb") - 1)), "side": F.lit(False)})
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(len(side), -1)
+        sets, rank, n, before, after = (table.column(c).to_numpy() for c in ("set", "rank", "n", "before", "after"))
+        left, right, out = np.flatnonzero(side), np.flatnonzero(~side), [np.zeros((2, 0), np.int64)]
+        step = max(1, CELLS // max(1, len(right)))
+        for a in range(0, len(left), step):
+            i, j = np.repeat(left[a : a + step], len(right)), np.tile(right, len(left[a : a + step]))
+            need = least_overlap(n[i], n[j], num, den)
+            good = (rank[j] <= rank[i]) & (sets[i] != sets[j]) & (np.minimum(n[i], n[j]) >= need)
+            good &= np.minimum(before[i], before[j]) + np.minimum(after[i], after[j]) >= need
+            i, j, need = i[good], j[good], need[good]
+            near = np.bitwise_count(sign[i] ^ sign[j]).sum(1) <= n[i] + n[j] - 2 * need
+            out.append(np.stack([sets[i[near]], sets[j[near]]]))
+        a, b = np.concatenate(out, 1)
+        pairs = _distinct_pairs(np.minimum(a, b), np.maximum(a, b))
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    both = x.drop("xb", "zb", "out").unionByName(z.drop("xb", "zb", "out"))
+    return both.repartition("word", "i", "j").groupBy("word", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def verify(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -307,4 +404,5 @@ def unsettled(led: DataFrame, num: int, den: int) -> DataFrame:
                 out += compare_block(take(own), [z[k] for k in fit], int(pdf.b_n.iloc[0]), num, den)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return x.select(*columns).unionByName(z.select(*columns)).groupBy("b", "i", "j").applyInPandas(run, "a long, b long")
+    # Without this exchange the join's, by b alone, would serve, and one task would get all blocks.
+    return x.select(*columns).unionByName(z.select(*columns)).repartition("b", "i", "j").groupBy("b", "i", "j").applyInPandas(run, "a long, b long")
