@@ -39,12 +39,20 @@ class Survey:
         at = tokens >> np.uint64(64 - self.bits)
         return (self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
+    def __post_init__(self):
+        self.width = 32 - min(20, max(1, len(self.hot).bit_length()))
+        self.edge = np.searchsorted(self.hot, np.arange(1 << (32 - self.width), dtype=np.int64) << self.width).astype(np.int32)
+        self.hot = np.append(self.hot, np.uint32(0xFFFFFFFF))
+
     def rank(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.hot):
-            return np.zeros(len(tokens), np.int64)
         key = (tokens >> np.uint64(32)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)
-        return np.where(self.hot[at] == key, self.hot_rank[at], 0).astype(np.int64)
+        at = self.edge[key >> np.uint32(self.width)]  # hashes are even, so the key is a few places on, if anywhere
+        on = np.flatnonzero(self.hot[at] < key)
+        while len(on):
+            at[on] += 1
+            on = on[self.hot[at[on]] < key[on]]
+        at = np.minimum(at, len(self.hot) - 2)
+        return np.where(self.hot[at] == key, self.hot_rank[at], 0).astype(np.int64) if len(self.hot_rank) else np.zeros(len(tokens), np.int64)
 
 
 def pack(keys: np.ndarray) -> bytes:

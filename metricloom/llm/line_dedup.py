@@ -150,31 +150,28 @@ def similar_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[Da
     known = survey(docs.select("text"), lambda data, at: ts.Words(ts.LOWER[data], at, ts.NON_SPACE).hash, size // 6, BITS)
     sent = docs.sparkSession.sparkContext.broadcast(known)
     del known
-    scanned = cut(_scan(docs, sent, low, max(0, ((total["max"] or 0) - low).bit_length() - 32), shard_bits(size // 30), num, den))
+    scanned = cut(_scan(docs, sent, low, max(0, ((total["max"] or 0) - low).bit_length() - 32), shard_bits(size // 8), num, den))
     sent.destroy()
     classes = scanned.where("id is not null").select("id", F.struct("doc", "text_hash", "number").alias("first"), F.col("size").alias("n"))
     found = cut(scanned.where("a is not null").select("a", "b").distinct())
     entries = scanned.where("word is not null").select(*(c.split()[0] for c in set_join.ENTRY.split(", ")))
     ids = found.select(F.explode(F.array("a", "b")).alias("id")).unionAll(entries.select(F.col("set").alias("id"))).distinct()
-    wanted = cut(ids.join(classes, "id"))
-    sets = _sets(docs, wanted)
-    linked = lambda pairs: set_join.verify(pairs.withColumn("led", F.lit(False)), sets, num, den).where("linked").select("a", "b")
-    lost = cut(removed(wanted, linked(found)))
+    sets = _sets(docs, cut(ids.join(classes, "id")))
+    lost = cut(_removed(found, sets, num, den))
     if entries.isEmpty():
         return classes, lost
     open_ = entries.join(lost.select(F.col("id").alias("set"), F.lit(True).alias("gone")), "set", "left").withColumn("out", F.col("gone").isNull()).drop("gone")
-    return classes, lost.unionAll(removed(wanted, linked(set_join.later(open_, num, den)))).distinct()
+    return classes, lost.unionAll(_removed(set_join.later(open_, num, den), sets, num, den)).distinct()
 
 
-def removed(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """id of each class that is linked to a class with an earlier first line."""
-    first = lambda c: classes.select(F.col("id").alias(c), F.col("first").alias(f"{c}_first"))
-    met = links.join(first("a"), "a").join(first("b"), "b")
-    return met.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+def _removed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """id of each class that is similar to one of an earlier first line, of the pairs (a, b)."""
+    linked = set_join.verify(pairs.withColumn("led", F.lit(False)), sets, num, den).where("linked")
+    return linked.select(F.greatest("a", "b")["id"].alias("id")).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, key (its id), n and tokens of the wanted classes, read again from their first lines."""
+    """id, key (first line, then id), n and tokens of the wanted classes, read again from their first lines."""
     at = wanted.groupBy("first.doc", "first.text_hash").agg(F.collect_list("id").alias("ids"))
     found = docs.join(F.broadcast(at) if wanted.count() <= SENT else at, ["doc", "text_hash"]).select("text", "ids")
 
@@ -188,9 +185,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if len(own):
                 n = x.n[own]
                 inner = np.repeat(x.first[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x.id[own].view(np.int64))] * 2, pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.word[inner].view(np.int64)))], ["id", "key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.id[own].view(np.int64)), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.word[inner].view(np.int64)))], ["id", "n", "tokens"])
 
-    return cut(found.mapInArrow(run, "id long, key long, n long, tokens array<long>").dropDuplicates(["id"]))
+    key = wanted.select("id", F.struct("first.*", "id").alias("key"))
+    return cut(found.mapInArrow(run, "id long, n long, tokens array<long>").dropDuplicates(["id"]).join(key, "id"))
 
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -39,7 +39,8 @@ WINDOW = 2048  # longer lists are looked through for leaders first
 TRIES = 8
 CELLS = 1 << 18  # pairs that are looked at together
 X_BLOCK, Z_BLOCK = 256, 4096
-SMALL, FIRSTS = 32, 256  # lists that are not looked through for first ones; how many first ones are tried
+SPARSE = 8  # pairs for each entry of a list, above which it is dense
+SMALL, FIRSTS = 32, 256  # first ones of a long list that are tried, together and in all
 
 
 def posting(signs: int) -> np.dtype:
@@ -115,7 +116,7 @@ def _by_rank(of: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
-    """One posting for each (word, set), in order of word."""
+    """One posting for each (word, set), of its least rank, in order of word."""
     key = ts.mix(x["word"] ^ ts.mix(x["set"] + np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(key)
     word, sets = x["word"][order], x["set"][order]
@@ -124,7 +125,12 @@ def distinct(x: np.ndarray) -> np.ndarray:
         order = np.lexsort((x["set"], x["word"]))
         word, sets = x["word"][order], x["set"][order]
         same = (word[1:] == word[:-1]) & (sets[1:] == sets[:-1])
-    x = x[order[np.concatenate([[True], ~same])]] if len(x) else x
+    if not len(x):
+        return x
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    rank = np.minimum.reduceat(x["rank"][order], head)
+    x = x[order[head]]
+    x["rank"] = rank
     return x[np.argsort(x["word"])]
 
 
@@ -209,15 +215,28 @@ class Lists:
         """Pairs of entries to compare, and the entries of dense lists, whose pairs with first ones are
         among them and whose other pairs `later` gives."""
         pairs, dense = [np.zeros((2, 0), np.int64)], np.zeros(len(self.size), bool)
-        for k in np.flatnonzero(self.size > SMALL):
+        for k in np.flatnonzero(self.size > WINDOW):
             found = self.firsts(k)
-            if found.shape[1] >= max(SMALL, self.size[k] >> 3):
-                dense[k] = True
-                pairs.append(found)
-        lists = np.flatnonzero((self.size > 1) & ~dense)
-        size = self.size[lists]
-        entries = np.repeat(self.head[lists] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        pairs += self.within(entries, np.repeat(lists, size))
+            dense[k] = found.shape[1] >= self.size[k] >> 3
+            pairs += [found] if dense[k] else self.within(np.arange(self.head[k], self.head[k] + self.size[k]), np.full(self.size[k], k))
+        lists = np.flatnonzero((self.size > 1) & (self.size <= WINDOW))
+        group = np.cumsum(self.size[lists] ** 2) // (CELLS * 4)
+        for some in np.split(lists, np.flatnonzero(np.diff(group)) + 1):
+            size = self.size[some]
+            entries = np.repeat(self.head[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            found = np.concatenate([np.zeros((2, 0), np.int64), *self.within(entries, np.repeat(some, size))], 1)
+            which = np.searchsorted(self.head, found[0], "right") - 1
+            many = np.bincount(which, minlength=len(self.head)) > SPARSE * self.size
+            at = many[which]
+            pairs.append(found[:, ~at])
+            if at.any():
+                dense |= many
+                i, j = found[:, at]
+                late = (self.rank[i] > self.rank[j]) | ((self.rank[i] == self.rank[j]) & (self.set[i] > self.set[j]))
+                i, j = np.where(late, i, j), np.where(late, j, i)
+                order = np.lexsort((self.set[j], self.rank[j], i))
+                i, j = i[order], j[order]
+                pairs.append(np.stack([i, j])[:, np.concatenate([[True], i[1:] != i[:-1]])])
         return np.concatenate(pairs, 1), np.flatnonzero(np.repeat(dense, self.size))
 
     def cluster(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

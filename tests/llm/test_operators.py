@@ -380,6 +380,59 @@ def test_line_dedup(spark, docs, rows, nothing, num, den):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def near_lines(n, seed=4):
+    """Lines of 40 words, of which up to 5 are changed: similar to the first, to some others, or to none."""
+    import random
+
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(40)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in range(r.randint(0, 5)):
+            w[r.randrange(40)] = f"x{i % 40}_{k}" if r.random() < 0.5 else f"y{i}_{k}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("window", [2048, 100])
+def test_line_dedup_of_a_large_group(spark, monkeypatch, window):
+    """Dense lists, found pair by pair or looked through for first ones, and what these leave open."""
+    from metricloom.llm import set_join
+
+    monkeypatch.setattr(set_join, "WINDOW", window)
+    monkeypatch.setattr(set_join, "X_BLOCK", 16)
+    monkeypatch.setattr(set_join, "Z_BLOCK", 64)
+    lines = near_lines(400)
+    data = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(100)]
+    kept, seen = defaultdict(list), []
+    for i, line in enumerate(lines):
+        s = frozenset(line.split())
+        if not any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
+            kept[i // 4].append(line)
+        if s not in seen:
+            seen.append(s)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: "\n".join(kept[i]) for i in range(100)} and 5 < sum(map(len, kept.values())) < 200
+
+
+def test_pairs_grow_with_a_group(spark):
+    """Twice the lines of a group of near copies give about twice the pairs to verify, not four times."""
+    from metricloom.llm import set_join
+    from metricloom.llm.frequency import Survey
+
+    made = []
+    for n in (500, 1000, 2000):
+        x = line_dedup.LineSets.read(*textscan.buffer_of(pa.array(["\n".join(near_lines(n))])))
+        import numpy as np
+
+        known = Survey(8, np.full(32, 255, np.uint8), np.zeros(0, np.uint32), np.zeros(0, np.int32))
+        pairs, entries = set_join.first_candidates(set_join.postings(x.of, x.word, x.n, x.id, np.arange(len(x.n)), known, 4, 5, 2), 4, 5)
+        made.append(len(pairs))
+        assert entries.num_rows
+    assert made[1] < 3 * made[0] and made[2] < 3 * made[1] and made[2] < 40 * 2000
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
