@@ -39,6 +39,7 @@ WINDOW = 2048  # longer lists are looked through for leaders first
 TRIES = 8
 CELLS = 1 << 18  # pairs that are looked at together
 X_BLOCK, Z_BLOCK = 256, 4096
+GROUPS = 500_000  # groups whose sizes are sent to all tasks; with more, they are joined
 SPARSE = 8  # pairs for each entry of a list, above which it is dense
 SMALL, FIRSTS = 32, 256  # first ones of a long list that are tried, together and in all
 
@@ -329,12 +330,18 @@ def first_candidates(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, pa.
     return _distinct_pairs(np.minimum(a, b), np.maximum(a, b)), pa.RecordBatch.from_arrays([*map(pa.array, columns), sign], [c.split()[0] for c in ENTRY.split(", ")])
 
 
+def _sent(per: DataFrame) -> DataFrame:
+    """A small row for each group: sent to all tasks if there are few, so that no group's rows must meet."""
+    per = cut(per)
+    return F.broadcast(per) if per.count() <= GROUPS else per
+
+
 def later(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a < b) of the entries with `out` and those of their list that don't rank after them, in blocks
     of each list, so that no task holds all of a long one.  entries: ENTRY and out."""
     per = entries.groupBy("word").agg(F.count_if("out").alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0")
     per = per.select("word", F.ceil(F.col("n_out") / X_BLOCK).cast("int").alias("xb"), F.ceil(F.col("n_all") / Z_BLOCK).cast("int").alias("zb"))
-    met = entries.join(per, "word")
+    met = entries.join(_sent(per), "word")
     block = lambda seed, n: F.pmod(F.xxhash64("set", F.lit(seed)), F.col(n)).cast("int")
     x = met.where("out").withColumns({"i": block(1, "xb"), "j": F.explode(F.sequence(F.lit(0), F.col("zb") - 1)), "side": F.lit(True)})
     z = met.withColumns({"j": block(2, "zb"), "i": F.explode(F.sequence(F.lit(0), F.col("xb") - 1)), "side": F.lit(False)})
@@ -404,7 +411,7 @@ def unsettled(led: DataFrame, num: int, den: int) -> DataFrame:
     led = cut(led.select("a", "b", "a_n", "b_n", "lack", "more", "part", "out", far.alias("far")))
     per = led.groupBy("b").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all"), F.min(F.when(F.col("out"), F.col("far"))).alias("nearest")).where("n_out > 0 and n_all > 1")
     per = per.withColumns({"xb": F.ceil(F.col("n_out") / X_BLOCK).cast("int"), "zb": F.ceil(F.col("n_all") / Z_BLOCK).cast("int")})
-    met = led.join(per, "b")
+    met = led.join(_sent(per), "b")
     block = lambda seed, n: F.pmod(F.xxhash64("a", F.lit(seed)), F.col(n)).cast("int")
     reach = 1 - num / den + 1e-9
     x = met.where("out").withColumns({"i": block(1, "xb"), "j": F.explode(F.sequence(F.lit(0), F.col("zb") - 1)), "side": F.lit(0)})
