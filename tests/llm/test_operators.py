@@ -152,13 +152,69 @@ def test_words_out_of_place_are_rejected(spark):
     assert got[1000]["perplexity"] > 1.08 * max(got[x[0]]["perplexity"] for x in good)
 
 
-def test_model_is_a_distribution():
-    import numpy as np
+def kneser_ney(texts, trained):
+    """Perplexity by word of each text, from counts in dictionaries."""
+    import math
+
+    read = [re.findall(SPACED, lower(t)) for t in texts]
+    count = Counter(w for i in trained for w in read[i])
+    read = [["<edge>", *(w if count[w] > 1 else "<unknown>" for w in t), "<edge>"] for t in read]
+    pairs = Counter(p for i in trained for p in zip(read[i], read[i][1:], strict=False))
+    firsts, after, k = Counter(), defaultdict(list), Counter()
+    for (v, w), c in pairs.items():
+        firsts[v] += c
+        after[v].append(c)
+        k[w] += 1
+    unknown = math.log(sum(c for (_, w), c in pairs.items() if w == "<unknown>") + 1)
+
+    def discounts(values):
+        n = Counter(values)
+        if not n[1] or not n[2]:
+            return [0, 0.5, 0.75, 0.75]
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1]
+        return [min(max(x, low), high) for x, low, high in zip(d, (0, 0.01, 0.01, 0.01), (0, 1, 2, 3), strict=True)]
+
+    d2, d1 = discounts(pairs.values()), discounts(k.values())
+    rest = sum(d1[min(x, 3)] for x in k.values()) / len(pairs) / (len(k) + 1)
+    out = []
+    for t in read:
+        total = 0.0
+        for v, w in zip(t, t[1:], strict=False):
+            p = (k[w] - d1[min(k[w], 3)]) / len(pairs) + rest
+            if firsts[v]:
+                p = p * sum(d2[min(c, 3)] for c in after[v]) / firsts[v]
+                p += (pairs[v, w] - d2[min(pairs[v, w], 3)]) / firsts[v] if pairs[v, w] else 0
+            total -= math.log(p) - unknown * (w == "<unknown>")
+        out.append(math.exp(total / (len(t) - 1)))
+    return out
 
-    raw = np.frombuffer(("the cat sat on the mat. " * 50 + "A dog!").encode(), np.uint8)
-    gram, n = np.unique(ngram_lm.grams(raw, np.array([0, len(raw)])), return_counts=True)
-    total = np.exp(ngram_lm.log_table(gram, n).astype(float)).reshape(-1, 64).sum(1)
-    assert np.allclose(total, 1, atol=0.02)
+
+@pytest.mark.parametrize("hot,flush,slot", [(1 << 20, 1 << 20, 4 << 30), (4, 300, 1000)])
+def test_perplexity(spark, monkeypatch, hot, flush, slot):
+    """All terms hot, or nearly all asked of shards, over several chunks and slots."""
+    import random
+
+    monkeypatch.setattr(ngram_lm, "HOT", {"pair": hot, "first": hot, "word": hot})
+    monkeypatch.setattr(ngram_lm, "FLUSH", flush)
+    monkeypatch.setattr(ngram_lm, "SLOT", slot)
+    r = random.Random(9)
+    lists = {x: [x + "".join(r.choice("abcdé") for _ in range(3)) for _ in range(60)] for x in ("en", "de")}
+    data = []
+    for i in range(240):
+        lang = r.choice(["en", "de"])
+        data.append((i, " ".join(r.choice(lists[lang][: r.choice([5, 60])]) for _ in range(r.randint(0, 60))).upper() + (" rare%d" % i) * (i % 3), lang))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    held = {x["doc_id"] for x in df.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ngram_lm.HELD_OUT)) == 0).collect()}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["perplexity"] for x in ngram_lm.classify(df, labels).collect()}
+    for lang in lists:
+        own = [i for i, t, x in data if x == lang and t]
+        # A word is known if all languages together have it twice.
+        trained = [j for j, i in enumerate(own) if i < 150 and i not in held]
+        want = kneser_ney([data[i][1] for i in own], trained)
+        assert [got[i] for i in own] == pytest.approx(want, rel=1e-4)
+    assert all(got[i] is None for i, t, _ in data if not t)
 
 
 # 4 ---------------------------------------------------------------------------------------------
