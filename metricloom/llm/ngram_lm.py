@@ -48,10 +48,10 @@ from .storage import cut
 
 QUANTILE = 0.98  # chosen on the labels of sf0.1, see README
 HELD_OUT = 4
-SENT_IDS = 4_000_000  # trusted ids that are sent to all executors; with more, they are joined
+SENT_IDS = 2_000_000  # ids or scores that are sent to all executors; with more, they are joined
 WORD_BITS = 27  # the bitmaps' addresses
 ID_BITS = 48  # of a word's and a bigram's hash
-HOT = {"pair": 1 << 20, "first": 1 << 18, "word": 1 << 18}
+HOT = {"pair": 1 << 20, "first": 1 << 19, "word": 1 << 19}
 FLUSH = 1 << 20  # bigrams that a task holds, counted or asked for
 FLUSH_TEXTS = 1 << 16
 SLOT = 4 << 30  # bytes of text whose questions one slot of a shard gets, for each 32 shards
