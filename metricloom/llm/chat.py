@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LONGEST = 1e12  # seconds; longer ones count as this, and others that are no number as none
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 PART = T.StructType(
@@ -94,7 +95,8 @@ class PartVisitor:
         out.attach("image", part.get("ref"), max(1, across * down))
 
     def visit_audio(self, part: dict, out: Flattened) -> None:
-        out.attach("audio", part.get("ref"), max(1, math.ceil((part.get("seconds") or 0.0) * self.audio_rate)))
+        seconds = part.get("seconds") or 0.0
+        out.attach("audio", part.get("ref"), max(1, math.ceil(min(seconds, LONGEST) * self.audio_rate)) if math.isfinite(seconds) else 1)
 
     def visit_document(self, part: dict, out: Flattened) -> None:
         out.attach("document", part.get("ref"), max(1, (part.get("pages") or 0) * self.page_tokens))
@@ -145,17 +147,18 @@ def read_turn(formatted: str) -> tuple[str, str]:
 
 class _Digest:
     def __init__(self, conv_id):
-        self.conv_id, self.turns, self.loss, self.n, self.loss_n, self.chars = conv_id, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.conv_id, self.turns, self.loss, self.n, self.loss_n, self.chars, self.attached, self.tokens = conv_id, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0
 
-    def add(self, formatted: str, begin: int, end: int) -> None:
+    def add(self, formatted: str, begin: int, end: int, attached: int, tokens: int) -> None:
         role, text = read_turn(formatted)
         self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
         masked = unescape(formatted[begin:end])
         self.loss.update(masked.encode("utf-8", "surrogatepass"))
         self.n, self.loss_n, self.chars = self.n + 1, self.loss_n + len(masked), self.chars + len(formatted)
+        self.attached, self.tokens = self.attached + attached, self.tokens + tokens
 
     def row(self) -> tuple:
-        return self.conv_id, self.n, self.turns.hexdigest(), self.loss_n, self.loss.hexdigest(), self.chars
+        return self.conv_id, self.n, self.turns.hexdigest(), self.loss_n, self.loss.hexdigest(), self.chars, self.attached, self.tokens
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -165,23 +168,23 @@ def digests(turns: DataFrame) -> DataFrame:
     conv_id are one conversation.  Turns stream through in sorted order and only running digests
     are held, so that a conversation with a third of all rows takes no more memory than others."""
     id_kind = turns.schema["conv_id"].dataType.simpleString()
-    ordered = turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    ordered = turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end", F.size("attachments").cast("long").alias("attached"), "expanded_tokens").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done, kind = None, [], None
 
         def out():
             cols = list(zip(*done, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4]), pa.array(cols[5], pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4]), *(pa.array(c, pa.int64()) for c in cols[5:])], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens"])
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for conv, text, begin, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            for conv, text, *rest in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
                 if now is None or conv != now.conv_id:
                     if now is not None:
                         done.append(now.row())
                     now = _Digest(conv)
-                now.add(text, begin, end)
+                now.add(text, *rest)
             if len(done) > 5000:
                 yield out()
                 done = []
@@ -189,4 +192,4 @@ def digests(turns: DataFrame) -> DataFrame:
             done.append(now.row())
             yield out()
 
-    return ordered.mapInArrow(run, f"conv_id {id_kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(run, f"conv_id {id_kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long")

@@ -111,39 +111,44 @@ def survey(docs: DataFrame, tokens_of: Callable[[np.ndarray, np.ndarray], np.nda
 
     section = bits - cuts
 
-    def merge(pdf):
-        import pandas as pd
-
-        keys = [unpack(b) for b in pdf["keys"]]
+    def merge(table: pa.Table) -> pa.Table:
+        keys = [unpack(x.as_buffer()) for x in table.column("keys")]
         times = [np.ones(len(k), np.int64) for k in keys]
-        for t, m in zip(times, pdf["many"], strict=True):
-            at, n = np.frombuffer(m, np.uint32).reshape(2, -1)
+        for t, m in zip(times, table.column("many"), strict=True):
+            at, n = np.frombuffer(m.as_buffer(), np.uint32).reshape(2, -1)
             t[at] = n
         every, n = np.concatenate(keys), np.concatenate(times)
+        del keys, times
         order = np.argsort(every, kind="stable")
         every, n = every[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         every, n = every[first], np.add.reduceat(n, first)
         flags = np.zeros(1 << section, bool)
         flags[every[n > 1] >> (width - section)] = True
-        shard = int(pdf["shard"].iloc[0])
+        shard = table.column("shard")[0].as_py()
         top = n >= HOT_FROM
         hist = np.bincount(np.log2(n[top]).astype(np.int64), minlength=64)
-        return pd.DataFrame({"shard": [shard], "bitmap": [np.packbits(flags, bitorder="little").tobytes()], "keys": [(every[top] + (shard << width)).astype(np.uint32).tobytes()], "n": [n[top].astype(np.int64).tobytes()], "hist": [hist.tolist()]})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "bitmap": [np.packbits(flags, bitorder="little").tobytes()], "keys": [(every[top] + (shard << width)).astype(np.uint32).tobytes()], "n": [n[top].astype(np.int64).tobytes()], "hist": [hist.tolist()]})
 
-    merged = cut(docs.select("text").mapInArrow(gather, "shard int, keys binary, many binary").groupBy("shard").applyInPandas(merge, "shard int, bitmap binary, keys binary, n binary, hist array<long>"))
+    merged = cut(docs.select("text").mapInArrow(gather, "shard int, keys binary, many binary").groupBy("shard").applyInArrow(merge, "shard int, bitmap binary, keys binary, n binary, hist array<long>"))
     bitmap, hist = np.zeros((1 << cuts, max(1, 1 << section >> 3)), np.uint8), np.zeros(64, np.int64)
     for row in merged.select("shard", "bitmap", "hist").toLocalIterator():
         bitmap[row["shard"]] = np.frombuffer(row["bitmap"], np.uint8)
         hist += np.array(row["hist"])
     above = np.cumsum(hist[::-1])[::-1]
     level = int(np.argmax(above <= hot))  # counts from 2 ** level on fit
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                k, t = np.frombuffer(k.as_buffer(), np.uint32), np.frombuffer(t.as_buffer(), np.int64)
+                kept = t >= 1 << level
+                yield pa.RecordBatch.from_arrays([pa.array([k[kept].tobytes()], pa.binary()), pa.array([t[kept].tobytes()], pa.binary())], ["keys", "n"])
+
     keys, n = [], []
-    for row in merged.select("keys", "n").toLocalIterator():
-        k, t = np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["n"], np.int64)
-        kept = t >= 1 << level
-        keys.append(k[kept])
-        n.append(t[kept])
+    for row in merged.select("keys", "n").mapInArrow(frequent, "keys binary, n binary").toLocalIterator():
+        keys.append(np.frombuffer(row["keys"], np.uint32))
+        n.append(np.frombuffer(row["n"], np.int64))
     key, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, n))
     rank = np.empty(len(key), np.int64)
     rank[np.lexsort((key, count))] = np.arange(1, len(key) + 1)

@@ -1,16 +1,18 @@
 """License scans with a positional rare-token index.
 
-Templates are short licence texts; a base phrase is a template that is nothing but its key
-phrase.  From the document frequency of every template word over all files, each template keeps
-its rarest words in an index: word -> (template, position).  A file's occurrences of indexed
-words are looked up; an occurrence at p of a word at q of a template proposes that the template
-starts at p - q.  Proposals that enough of the file's rarest words agree on are verified: the
-template's mandatory key phrases must stand there, word after word.
+Templates are licence texts, given as a table of (label, text, mandatory key phrases); a base phrase is
+a template that is nothing but its key phrase.  The index holds every word of every template: word ->
+(template, position).  For each file and each template whose key words it has, the file's INDEXED words of
+highest IDF (over all files) among the template's are looked up; an occurrence at p of a word at q of
+the template proposes that the template starts at p - q, be it before the file's first word, where a
+head is cut off.  A proposal is verified: the template's mandatory key phrases must stand there, word
+after word, at most SLACK words off their places.
+
+A task holds a text at about 60 times its bytes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,10 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ("hereby granted free of charge", "without restriction")),
     ("mit", "released under the mit license", ("mit license",)),
+    ("gpl", "gnu general public license", ("gnu general public license",)),
+    ("lgpl", "gnu lesser general public license", ("gnu lesser general public license",)),
+    ("agpl", "gnu affero general public license", ("gnu affero general public license",)),
+    ("mpl-2", "mozilla public license", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ("endorse or promote products",)),
@@ -45,8 +51,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
 ]
 
-INDEXED = 6  # rarest words of a template that its postings hold
-AGREE = 2  # of them at one start, or all if there are fewer, or one whose key phrases then stand
+INDEXED = 6  # words of a template that are looked up in a file, the rarest that it has
 SLACK = 3  # words by which a key phrase may be off its place
 
 COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -101,27 +106,30 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
 
 @dataclass
 class Index:
-    """Postings sorted by word: template and place of each indexed word."""
+    """Postings sorted by template, then word: place of each word of each template."""
 
     templates: list[Template]
-    word: np.ndarray
-    template: np.ndarray
+    vocabulary: np.ndarray  # sorted
+    idf: np.ndarray  # by word of the vocabulary
+    has: np.ndarray  # word, template: whether the template has the word
+    key: np.ndarray  # word, template: whether a key phrase of the template has it
+    begin: np.ndarray  # word, template: its first posting
+    times: np.ndarray  # word, template: how many there are
     place: np.ndarray
-    rarity: np.ndarray
-    needed: np.ndarray  # by template
 
     @classmethod
-    def build(cls, all_: list[Template], idf: dict[int, float]) -> Index:
-        rows = []
-        needed = []
+    def build(cls, all_: list[Template], vocabulary: np.ndarray, idf: np.ndarray) -> Index:
+        size = len(vocabulary), len(all_)
+        times, key, places = np.zeros(size, np.int64), np.zeros(size, bool), {}
         for t, x in enumerate(all_):
-            ranked = sorted(range(len(x.words)), key=lambda i: (-idf[int(x.words[i])], i))
-            kept = ranked[:1] if x.base else ranked[:INDEXED]
-            needed.append(min(AGREE, len(kept)))
-            rows += [(int(x.words[i]), t, i, idf[int(x.words[i])]) for i in kept]
-        rows.sort()
-        w, t, p, r = (list(c) for c in zip(*rows, strict=True))
-        return cls(all_, np.array(w, np.uint64), np.array(t), np.array(p), np.array(r), np.array(needed))
+            for q, w in enumerate(np.searchsorted(vocabulary, x.words).tolist()):
+                times[w, t] += 1
+                places.setdefault((w, t), []).append(q)
+            for phrase, _ in x.keys:
+                key[np.searchsorted(vocabulary, phrase), t] = True
+        begin = (np.cumsum(times.ravel()) - times.ravel()).reshape(size)
+        place = np.array([q for at in sorted(places) for q in places[at]], np.int64)
+        return cls(all_, vocabulary, idf, times > 0, key, begin, times, place)
 
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, others=TEMPLATES) -> DataFrame:
@@ -134,8 +142,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, others=TEMPLATES) -> Data
     all_ = templates(base, others)
     vocabulary = np.unique(np.concatenate([t.words for t in all_]))
     seen, n_docs = document_frequency(docs, vocabulary)
-    idf = {int(w): math.log((n_docs + 1) / (df + 0.5)) for w, df in zip(vocabulary, seen, strict=True)}
-    index = Index.build(all_, idf)
+    index = Index.build(all_, vocabulary, np.log((n_docs + 1) / (seen + 0.5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ts.slices(batches, "text"):
@@ -144,24 +151,36 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, others=TEMPLATES) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
 
 
-def _proposals(words: ts.Words, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(template, start as an index into all words) that the files' rare words agree on."""
-    low, high = np.searchsorted(index.word, words.hash, "left"), np.searchsorted(index.word, words.hash, "right")
-    at = np.flatnonzero(high > low)
-    times = (high - low)[at]
-    here = np.repeat(at, times)
-    posting = np.repeat(low[at], times) + np.arange(len(here)) - np.repeat(np.cumsum(times) - times, times)
-    t, start = index.template[posting], here - index.place[posting]
-    inside = (start >= words.first[words.doc[here]]) if len(here) else np.zeros(0, bool)
-    key, votes = np.unique(t[inside].astype(np.int64) * (len(words.hash) + 1) + start[inside], return_counts=True)
-    t, start = key // (len(words.hash) + 1), key % (len(words.hash) + 1)
-    enough = votes >= index.needed[t]
-    return t[enough], start[enough]
-
-
-def _stands(words: ts.Words, phrase: np.ndarray, start: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Whether the phrase's words stand from each start, before limit."""
-    good = (start >= 0) & (start + len(phrase) <= limit)
+def _proposals(words: ts.Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template, text, start as an index into all words, which may lie before the text's first)."""
+    at = np.minimum(np.searchsorted(index.vocabulary, words.hash), len(index.vocabulary) - 1)
+    here = np.flatnonzero(index.vocabulary[at] == words.hash)
+    word, doc = at[here], words.doc[here]
+    in_text = np.zeros((len(words.count), len(index.vocabulary)), bool)
+    in_text[doc, word] = True
+    wanted = np.zeros((len(index.templates), *in_text.shape), bool)  # template, text, word: to be looked up
+    for t, x in enumerate(index.templates):
+        able = np.flatnonzero(in_text[:, index.key[:, t]].all(1))
+        own = np.flatnonzero(index.has[:, t])
+        own = own[np.lexsort((own, -index.idf[own]))]
+        some = in_text[np.ix_(able, own)]
+        some &= np.cumsum(some, 1) <= (1 if x.base else INDEXED)
+        wanted[t][np.ix_(able, own)] = some
+    found = []
+    for t in np.flatnonzero(wanted.any((1, 2))):
+        k = np.flatnonzero(wanted[t, doc, word])
+        times = index.times[word[k], t]
+        row = np.repeat(k, times)
+        q = index.place[np.repeat(index.begin[word[k], t], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)]
+        pair = np.unique(np.stack([doc[row], here[row] - q]), axis=1)
+        found.append(np.concatenate([np.full((1, pair.shape[1]), t), pair]))
+    t, doc, start = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+    return t, doc, start
+
+
+def _stands(words: ts.Words, phrase: np.ndarray, start: np.ndarray, first: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether the phrase's words stand from each start, from first and before limit."""
+    good = (start >= first) & (start + len(phrase) <= limit)
     for j, w in enumerate(phrase):
         good[good] = words.hash[start[good] + j] == w
     return good
@@ -170,25 +189,23 @@ def _stands(words: ts.Words, phrase: np.ndarray, start: np.ndarray, limit: np.nd
 def label(part: pa.RecordBatch, index: Index) -> pa.RecordBatch:
     words, _ = _scan(part)
     n = part.num_rows
-    t, start = _proposals(words, index)
+    t, docs, starts = _proposals(words, index)
     n_base, first, last, score = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n)
     base_of: list[set[str]] = [set() for _ in range(n)]
     all_of: list[set[str]] = [set() for _ in range(n)]
     for k in np.unique(t):
-        x, s = index.templates[k], start[t == k]
-        doc = words.doc[s]
-        limit = words.first[doc + 1]
+        x, s, doc = index.templates[k], starts[t == k], docs[t == k]
+        begin, limit = words.first[doc], words.first[doc + 1]
         ok = np.ones(len(s), bool)
         for phrase, place in x.keys:
             found = np.zeros(len(s), bool)
             for off in [0] if x.base else range(-SLACK, SLACK + 1):
-                moved = s + place + off
-                found |= _stands(words, phrase, moved, limit) & (moved >= words.first[doc])
+                found |= _stands(words, phrase, s + place + off, begin, limit)
             ok &= found
-        s, doc, limit = s[ok], doc[ok], limit[ok]
+        s, doc, begin, limit = s[ok], doc[ok], begin[ok], limit[ok]
         match = np.zeros(len(s))
         for j, w in enumerate(x.words):
-            there = s + j < limit
+            there = (s + j >= begin) & (s + j < limit)
             match[there] += words.hash[s[there] + j] == w
         np.maximum.at(score, doc, match / len(x.words))
         for d in np.unique(doc):

@@ -172,12 +172,14 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """A field fitted on at most `sample` labelled documents (bounded, so it is read by the driver)."""
+    """A field fitted on the whole texts of at most `sample` labelled documents, those of least hash of doc_id
+    (bounded, so they are read by the driver); of rows that share a doc_id or a label, any may be among them,
+    but the same ones each time."""
     chosen = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").limit(2 * sample).orderBy("doc_id").toPandas()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(sample).toPandas()
     if rows.empty or rows.quality.nunique() < 2:
         return Chain()
-    data, at = ts.buffer_of(pa.array(rows.text.str.slice(0, 200_000)))
+    data, at = ts.buffer_of(pa.array(rows.text))
     lines = read_lines(data, at)
     return Chain().fit(lines.features, lines.doc, (rows.quality.to_numpy()[lines.doc] == 0))
 

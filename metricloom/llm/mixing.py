@@ -142,13 +142,13 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs only.
 
-    Which of several rows with equal doc_id, source and size gets a copy more is left open."""
+    Of several rows with equal doc_id, source and size, those of least hash over all columns get a copy more."""
     choice = decide(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "same", "copies_of_all")
     rows = sized(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("r_id"), F.col("source").cast("string").alias("r_source"), "text")).drop("text")
     met = rows.join(choice, F.col("r_id").eqNullSafe(F.col("m_id")) & F.col("r_source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")))
     if choice.where("same > 1").isEmpty():
         copies = F.col("copies_of_all").cast("int")
     else:
-        met = met.withColumn("nth", F.row_number().over(Window.partitionBy("r_id", "r_source", "size").orderBy(F.lit(0))))
+        met = met.withColumn("nth", F.row_number().over(Window.partitionBy("r_id", "r_source", "size").orderBy(F.xxhash64("row"), F.col("row").cast("string"))))
         copies = _copies(F.col("nth"))
     return met.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select("row.*")

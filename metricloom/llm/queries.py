@@ -60,7 +60,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.sample(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob", "score", "inclusion")
+    return rows.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob", "score", "inclusion", "round_trip")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -100,7 +100,7 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, formatted)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, formatted)) AS loss_sha256,
-  CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+  CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM written GROUP BY conv_id
 """,
     "op7_jaccard_join": r"""

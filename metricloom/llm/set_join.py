@@ -38,7 +38,7 @@ CLUSTER = 24  # sets of a list that may be similar to one, from which it leads t
 WINDOW = 2048  # longer lists are looked through for leaders first
 TRIES = 8
 CELLS = 1 << 18  # pairs that are looked at together
-X_BLOCK, Z_BLOCK = 256, 4096
+X_BLOCK, Z_BLOCK = 256, 1024
 GROUPS = 500_000  # groups whose sizes are sent to all tasks; with more, they are joined
 SPARSE = 8  # pairs for each entry of a list, above which it is dense
 SMALL, FIRSTS = 32, 256  # first ones of a long list that are tried, together and in all

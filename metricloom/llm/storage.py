@@ -20,7 +20,8 @@ def bounded(spark: SparkSession) -> SparkSession:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and written to the session's checkpoint folder, so that a lost executor costs
-    no more than re-reading it.  Where none is set (tests on one machine) a temporary one is."""
+    no more than re-reading it.  Where none is set, a temporary one is if all runs on one machine; on a
+    cluster that is an error, as executors don't share such a folder."""
     spark = df.sparkSession
     _ready(spark)
     return df.checkpoint(eager=True)
@@ -29,7 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
 def _ready(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metricloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="metricloom-"))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ SHARD = 1 << 16  # regions
 
 REGION = np.dtype([("anchor", "<u8"), ("region", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("begin", "<i8"), ("span", "<i4"), ("off", "<i4")])
 
-COLUMNS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+COLUMNS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:
@@ -291,7 +291,7 @@ def merge_spans(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, text_hash, low and high (bytes) of repeated strings; they may overlap.  docs: doc, text_hash, text."""
-    cuts = min(14, max(5, int(volume(docs) // 190 // SHARD).bit_length()))
+    cuts = max(5, int(volume(docs) // 190 // SHARD).bit_length())
     counted = cut(count_regions(docs, cuts, length))
     bitmap = np.zeros((1 << cuts, 1 << (BITS - cuts) >> 3), np.uint8)
     for row in counted.where("bitmap is not null").select("shard", "bitmap").toLocalIterator():
@@ -300,14 +300,16 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> DataFrame:
-    """The columns of docs (less text), n_bytes, n_removed, n_spans and kept_sha256; with keep_bytes, kept too.
+    """The columns of docs, n_bytes, n_removed, n_spans and kept_sha256; with keep_bytes, kept too.
+
+    `text` is what is left, as UTF-8 (U+FFFD where a cut goes through a character); `kept` is its bytes.
 
     Texts are UTF-8 bytes; a null text is empty; texts under `length` bytes lose nothing.  Strings
     are judged on the input, within one text too, where they may overlap.  Rows equal in doc_id
     and text are repeats of each other, as any equal texts are.  Input columns with an output's
     name are replaced; an empty table gives an empty result."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    docs = docs.drop(*names, "kept", "_d", "_t", "_spans")
+    docs = docs.drop(*names[:-1], "kept", "_d", "_t", "_spans")
     key = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64("text")}
     keyed = docs.withColumns(key)
     spans = repeated_intervals(keyed.select(F.col("_d").alias("doc"), F.col("_t").alias("text_hash"), F.col("text").cast("string").alias("text")), length)
@@ -325,13 +327,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> Da
                 digest, kept, at = hashlib.sha256(), [], 0
                 for a, b in [*runs, (len(raw), len(raw))]:
                     digest.update(raw[at:a])
-                    if keep_bytes:
-                        kept.append(raw[at:a])
+                    kept.append(raw[at:a])
                     at = b
-                rows.append((len(raw), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), b"".join(kept)))
+                left = b"".join(kept)
+                rows.append((len(raw), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), left.decode("utf-8", "replace"), left))
             own = [c for c in batch.schema.names if c not in ("text", "_low", "_high")]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            arrays = [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), *([pa.array(cols[4], pa.binary())] if keep_bytes else [])]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            arrays = [*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:5]), *([pa.array(cols[5], pa.binary())] if keep_bytes else [])]
             yield pa.RecordBatch.from_arrays([*(column(c) for c in own), *arrays], [*own, *names, *(["kept"] if keep_bytes else [])])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")

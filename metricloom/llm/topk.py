@@ -5,7 +5,8 @@ coordinates carry most of the length.  A partition holds vectors of falling norm
 blocks.  For a block, each query's exact k-th best score so far is compared with upper bounds
 from Cauchy-Schwarz: |q| |v| for the block's longest vector (none later can do better: the query
 is finished here), then the partial product of the first coordinates plus the product of the
-lengths that remain.  Pairs that pass are scored exactly in integers.
+lengths that remain.  Pairs that pass are scored exactly in integers, in Python's own where 64 bits
+don't hold the products.
 
 Queries go out in chunks of at most CHUNK_MB; each chunk is one pass over the vectors, so that
 what is sent to the executors is bounded whatever the number of queries.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 SCALE = 1024
-LARGEST = 1 << 24  # of a scaled component: products of 64 dimensions stay exact in 64 bits
+MOST = (1 << 63) - 1  # a score beyond 64 bits counts as this or its negative
 BLOCK = 1024
 HEAD = 16  # turned coordinates in the partial sums
 CHUNK_MB = 32
@@ -32,9 +33,10 @@ SEEDS = 2048  # longest vectors that give the first lower bounds
 
 
 def integers(vectors: DataFrame, id_: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, dim, norm and v (64-bit integers, packed) of the vectors that take part.
+    """vec_id, dim, norm and v (whole numbers as doubles, packed) of the vectors that take part.
 
-    Those null, empty, or with a null, non-finite or (scaled) over LARGEST component take no part."""
+    Those null, empty, or with a null or non-finite component take no part; neither do rows without
+    vec_id.  A component that `scale` makes infinite counts as the largest double."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,22 +45,22 @@ def integers(vectors: DataFrame, id_: str = "vec_id", column: str = "embedding",
             flat = lists.flatten()
             values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
             with np.errstate(invalid="ignore", over="ignore"):
-                scaled = np.floor(values * scale)
-            wrong = ~(np.abs(scaled) <= LARGEST)
+                scaled = np.nan_to_num(np.floor(values * scale))
+            wrong = ~np.isfinite(values)
             end = np.cumsum(size)
             bad = np.concatenate([[0], np.cumsum(wrong)])
             good = (bad[end] == bad[end - size]) & (size > 0) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
-            whole = np.where(wrong, 0, scaled).astype(np.int64)
             rows = np.flatnonzero(good)
-            packed = [whole[end[i] - size[i] : end[i]].tobytes() for i in rows]
-            norm = np.array([np.sqrt(float(np.dot(x, x))) for x in (whole[end[i] - size[i] : end[i]].astype(np.float64) for i in rows)])
+            packed = [scaled[end[i] - size[i] : end[i]].tobytes() for i in rows]
+            with np.errstate(over="ignore"):
+                norm = np.array([np.sqrt(float(np.dot(x, x))) for x in (scaled[end[i] - size[i] : end[i]] for i in rows)])
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(size[rows], pa.int32()), pa.array(norm, pa.float64()), pa.array(packed, pa.binary())], ["vec_id", "dim", "norm", "v"])
 
     return vectors.select(F.col(id_).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, dim int, norm double, v binary")
 
 
 def _unpack(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
 def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -68,8 +70,9 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
         total = np.zeros((dim, dim))
         for batch in batches:
             if batch.num_rows:
-                x = _unpack(batch.column(0), dim).astype(np.float64)
-                total += x.T @ x
+                x = _unpack(batch.column(0), dim)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +85,32 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     parts = vectors.select("v").mapInArrow(run, "m binary")
     sums = parts.coalesce(16).mapInArrow(add, "m binary").collect()
     total = sum((np.frombuffer(r["m"], np.float64) for r in sums), np.zeros(dim * dim)).reshape(dim, dim)
-    return np.linalg.svd(total)[2].T
+    return np.linalg.svd(total)[2].T if np.isfinite(total).all() else np.eye(dim)
+
+
+def _large(x: np.ndarray) -> np.ndarray:
+    return np.abs(x).max(-1, initial=0)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of a's rows with b's."""
+    top = _large(a) * _large(b) * a.shape[1]
+    if top.max(initial=0) < 2**53:
+        return np.rint(np.einsum("ij,ij->i", a, b)).astype(np.int64)
+    out = np.empty(len(a), np.int64)
+    near = top < 2**62
+    out[near] = np.einsum("ij,ij->i", a[near].astype(np.int64), b[near].astype(np.int64))
+    for i in np.flatnonzero(~near).tolist():
+        score = sum(int(x) * int(y) for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True))
+        out[i] = max(-MOST, min(MOST, score))
+    return out
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All inner products; in doubles where these are exact."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if top < 2**53:
-        return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if float(_large(a).max(initial=0)) * float(_large(b).max(initial=0)) * a.shape[1] < 2**53:
+        return np.rint(a @ b.T).astype(np.int64)
+    return paired(np.repeat(a, len(b), 0), np.tile(b, (len(a), 1))).reshape(len(a), len(b))
 
 
 class Best:
@@ -128,10 +148,14 @@ def search(vectors: DataFrame, queries, k: int = 10, chunk_mb: int = CHUNK_MB) -
         longest = own.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
         seeds = _unpack(longest.column("v"), dim), np.array(longest.column("vec_id").to_pylist(), np.int64)
         chunks = max(1, -(-n_queries * dim * 8 // (chunk_mb << 20)))
+        width = 2 * max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+        by_norm = own.select("vec_id", "v", "norm").repartition(width, F.xxhash64("vec_id", "norm")).sortWithinPartitions(F.desc("norm"), "vec_id").select("vec_id", "v")
+        if chunks > 1:
+            by_norm = cut(by_norm)  # sorted once, read once for each chunk
         for c in range(chunks):
             rows = own.where(queries).where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).select("vec_id", "v").distinct().orderBy("vec_id", "v").toArrow()
             if rows.num_rows:
-                part = _pass(own, _unpack(rows.column("v"), dim), np.array(rows.column("vec_id").to_pylist(), np.int64), turn, seeds, k)
+                part = _pass(by_norm, _unpack(rows.column("v"), dim), np.array(rows.column("vec_id").to_pylist(), np.int64), turn, seeds, k)
                 found = part if found is None else found.unionAll(part)
     if found is None:
         return vectors.where("false").select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
@@ -139,7 +163,16 @@ def search(vectors: DataFrame, queries, k: int = 10, chunk_mb: int = CHUNK_MB) -
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pass(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, turn: np.ndarray, seeds: tuple, k: int) -> DataFrame:
+def _high(x: np.ndarray) -> np.ndarray:
+    """Bounds; what doubles can't tell (or hold) bounds nothing."""
+    return np.where(np.isfinite(x), x, np.inf)
+
+
+def _norm(x: np.ndarray) -> np.ndarray:
+    return _high(np.sqrt((x**2).sum(1)))
+
+
+def _pass(by_norm: DataFrame, queries: np.ndarray, ids: np.ndarray, turn: np.ndarray, seeds: tuple, k: int) -> DataFrame:
     """The best of each partition, for one chunk of queries (nth tells queries of one id apart)."""
     lower = np.full(len(ids), np.iinfo(np.int64).min)
     for a in range(0, len(ids), 1024):
@@ -147,37 +180,40 @@ def _pass(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, turn: np.nda
         score[ids[a : a + 1024, None] == seeds[1][None]] = np.iinfo(np.int64).min
         if score.shape[1] >= k:
             lower[a : a + 1024] = np.partition(score, -k, axis=1)[:, -k]
-    sent = vectors.sparkSession.sparkContext.broadcast((queries.astype(np.int32), ids, turn, lower))
+    sent = by_norm.sparkSession.sparkContext.broadcast((queries.astype(np.float32) if _large(queries).max(initial=0) <= 1 << 24 else queries, ids, turn, lower))
     dim = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, ids, turn, lower = sent.value
-        queries = queries.astype(np.int64)
-        turned = queries.astype(np.float64) @ turn
-        length = np.sqrt((turned**2).sum(1))
-        rest = np.sqrt((turned[:, HEAD:] ** 2).sum(1))
-        best = Best(len(ids), k)
+        queries = queries.astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            turned = queries @ turn
+            length = _norm(turned)
+            rest = _norm(turned[:, HEAD:])
+        best, over = Best(len(ids), k), False
         for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK):
+            for a in range(0, 0 if over else batch.num_rows, BLOCK):
                 v = _unpack(batch.column(1).slice(a, BLOCK), dim)
                 v_ids = batch.column(0).slice(a, BLOCK).to_numpy(zero_copy_only=False)
-                t = v.astype(np.float64) @ turn
-                v_length, v_rest = np.sqrt((t**2).sum(1)), np.sqrt((t[:, HEAD:] ** 2).sum(1))
-                need = np.maximum(lower, best.score[:, -1]).astype(np.float64)
-                slack = 1e-9 * length * v_length.max(initial=0) + 1e-6
-                live = np.flatnonzero(length * v_length.max(initial=0) + slack >= need)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    t = v @ turn
+                    v_length, v_rest = _norm(t), _norm(t[:, HEAD:])
+                    need = np.maximum(lower, best.score[:, -1]).astype(np.float64)
+                    reach = _high(length * v_length.max(initial=0))
+                    slack = 1e-9 * reach + 1e-6
+                    live = np.flatnonzero(reach + slack >= need)
+                over = not len(live)  # nor can any later, shorter vector be among the best
                 for b in range(0, len(live), 512):
                     q = live[b : b + 512]
-                    bound = turned[q, :HEAD] @ t[:, :HEAD].T + rest[q, None] * v_rest[None]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        bound = _high(turned[q, :HEAD] @ t[:, :HEAD].T + rest[q, None] * v_rest[None])
                     row, col = np.nonzero((bound + slack[q, None] >= need[q, None]) & (ids[q, None] != v_ids[None]))
                     if len(row):
-                        score = np.einsum("ij,ij->i", queries[q[row]], v[col])
+                        score = paired(queries[q[row]], v[col])
                         good = score >= np.maximum(lower, best.score[:, -1])[q[row]]
                         if good.any():
                             best.put(q[row[good]], score[good], v_ids[col[good]])
         row, col = np.nonzero(best.id != np.iinfo(np.int64).max)
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(row.astype(np.int32)), pa.array(best.id[row, col]), pa.array(best.score[row, col])], ["query_id", "nth", "vec_id", "score"])
 
-    width = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
-    by_norm = vectors.select("vec_id", "v", "norm").repartition(width * 2, F.xxhash64("vec_id", "norm")).sortWithinPartitions(F.desc("norm"), "vec_id").select("vec_id", "v")
     return by_norm.mapInArrow(run, "query_id long, nth int, vec_id long, score long")

@@ -71,6 +71,7 @@ def test_mixed_rows(docs, nothing):
     want = mixing.taken(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"))
     assert got.columns == docs.columns and got.count() == want.agg(F.sum("n")).first()[0]
     assert mixing.mixed(nothing).count() == 0
+    assert sorted(map(repr, mixing.mixed(docs.repartition(7)).collect())) == sorted(map(repr, got.collect()))
 
 
 def test_mixing_plan_is_native(docs):
@@ -101,6 +102,38 @@ def test_license_templates_are_found(spark):
     assert set(filter(None, got[0]["base_labels"].split(","))) <= set(got[0]["labels"].split(","))
 
 
+def test_license_search_beside_an_exhaustive_one(spark):
+    """Templates whole, cut at either end, with words put in, between other words: what any start would give."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    filler = "the of to in and or software use any for with code word other file".split()
+    texts = []
+    for _, text, _ in license_scan.TEMPLATES * 12:
+        w = text.split()
+        w = w[r.choice([0, 0, 1, 3, 6]) : len(w) - r.choice([0, 0, 1, 3, 6])]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            w.insert(r.randrange(len(w) + 1), r.choice(filler))
+        texts.append(" ".join([r.choice(filler) for _ in range(r.choice([0, 0, 5, 40]))] + w + [r.choice(filler) for _ in range(r.choice([0, 5]))]))
+    texts += [" ".join(r.choice(filler) for _ in range(60)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: set(filter(None, x["labels"].split(","))) for x in license_scan.scan(df).collect()}
+    want, all_ = {}, license_scan.templates()
+    for i, text in enumerate(texts):
+        h = license_scan._hashes(text)
+        stands = lambda phrase, at, h=h: at >= 0 and at + len(phrase) <= len(h) and np.array_equal(h[at : at + len(phrase)], phrase)
+        reach = lambda x: range(0 if x.base else -license_scan.SLACK, 1 if x.base else license_scan.SLACK + 1)
+        want[i] = {x.label for x in all_ if any(all(any(stands(phrase, s + place + off) for off in reach(x)) for phrase, place in x.keys) for s in range(-len(x.words), len(h) + 1))}
+    assert all(got[i] <= want[i] for i in got)
+    found, there = sum(len(got[i]) for i in got), sum(len(x) for x in want.values())
+    assert there > 90 and found >= 0.98 * there
+    heads = ["GNU General Public License", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1", "subject to the terms of the Mozilla Public License v 2.0"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(heads)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["labels"] for x in rows] == ["gpl", "lgpl", "mpl-2"]
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
@@ -248,6 +281,11 @@ def test_chat_parts(spark):
     assert first["formatted"] == "<|im_start|>assistant\nlook <\\|<|image_1|><|audio_2|><|document_3|>end<|im_end|>\n"
     assert [(a["kind"], a["ref"], a["tokens"]) for a in first["attachments"]] == [("image", "i.png", 4), ("audio", "a.wav", 38), ("document", "d.pdf", 1536)]
     assert all(first["formatted"][a["at"] :].startswith(f"<|{a['kind']}_") for a in first["attachments"]) and first["expanded_tokens"] == 4 + 38 + 1536
+    lengths = [float("nan"), float("inf"), -5.0, 1e300]
+    odd = chat.format_turns(spark.createDataFrame([(1, i, "user", [part("audio", seconds=x)]) for i, x in enumerate(lengths)], schema), "content").orderBy("turn").collect()
+    assert [x["expanded_tokens"] for x in odd] == [1, 1, 1, 25 * 10**12]
+    whole = chat.digests(chat.format_turns(df, "content")).first()
+    assert (whole["n_attachments"], whole["expanded_tokens"]) == (3, 4 + 38 + 1536)
     assert first["formatted"][first["loss_start"] : first["loss_end"]].endswith("end") and second["loss_start"] == second["loss_end"]
 
 
@@ -275,6 +313,27 @@ def test_topk(spark):
     assert topk.search(topk.integers(df.where("false")), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_large_components(spark, monkeypatch):
+    """Scores in 64 bits, beyond them, and bounds that doubles can't hold; in several chunks."""
+    import math
+    import random
+
+    r = random.Random(8)
+    scale = [1.0, 16384.0, 1e6, 1e12, 1e200]
+    vectors = [(i, [r.gauss(0, 1) * scale[i % 5 if i < 200 else 0] for _ in range(6)]) for i in range(400)] + [(1000, [1.0, 2.0]), (1001, [20000.0, 1.0]), (1002, [3.0, 1.0]), (1003, [1.7e308, -1.7e308])]
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5)
+    got = defaultdict(list)
+    for x in topk.search(topk.integers(df), F.col("vec_id") % 100 == 0, chunk_mb=1).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    whole = [(i, [int(max(-1.7976931348623157e308, min(1.7976931348623157e308, 1024 * x))) if math.isinf(1024 * x) else math.floor(1024 * x) for x in v]) for i, v in vectors]
+    for q, v in whole:
+        if q % 100 == 0:
+            scored = sorted(((max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in whole if i != q and len(w) == len(v)), key=lambda s: (-s[0], s[1]))[:10]
+            assert got[q] == [(i, s) for s, i in scored], q
+    assert got[1000][0] == (1003, topk.MOST) or got[1000][0][0] == 1001
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
@@ -503,7 +562,7 @@ def test_pieces_round_trip(docs, rows, nothing):
         same = sum((a, b) == (d, t) for a, b, *_ in rows)
         assert len({tuple(r["ids"]) for r in own}) * same == len(own) <= 3 * same
         ranked = sorted(own, key=lambda r: r["sample"])
-        assert all(a["score"] >= b["score"] for a, b in zip(ranked, ranked[1:], strict=False)) and all(0 <= r["inclusion"] <= 1 and r["n_pieces"] == len(r["ids"]) for r in own)
+        assert all(a["score"] >= b["score"] for a, b in zip(ranked, ranked[1:], strict=False)) and all(0 <= r["inclusion"] <= 1 and r["n_pieces"] == len(r["ids"]) and r["round_trip"] for r in own)
     encoded = pieces.decode(pieces.encode(docs).drop("text")).collect()
     assert Counter((r["doc_id"], r["text"]) for r in encoded) == Counter((d, t or "") for d, t, *_ in rows)
     assert pieces.sample(nothing).count() == 0
@@ -575,6 +634,24 @@ def test_words_and_shingles(rows):
     assert len(set(words.hash.tolist())) == len(set(flat)) and len({(h, w) for h, w in zip(words.hash.tolist(), flat, strict=True)}) == len(set(flat))
 
 
+def test_one_document_of_each_group_stays(spark, docs, rows, nothing, tmp_path):
+    """Repeated ids, ids that are null, repeated rows: each row is a document."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    apart = list(dict.fromkeys(rows))
+    sets = [shingles(r[1]) for r in apart]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    of = groups(range(len(sets)), links)
+    want = {}
+    for i in sorted(range(len(apart)), key=lambda i: (apart[i][0] is None, apart[i][0] or 0)):
+        want.setdefault(of[i], apart[i][0])
+    assert Counter(r["doc_id"] for r in got) == Counter(want.values()) and len(got) < len(apart)
+    unique = docs.where("doc_id > 17 and doc_id <> 21")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, unique, str(tmp_path)).collect()}
+    assert kept == {r["doc_id"] for r in jaccard_join.join(unique).where("doc_id = component_id").collect()}
+    assert corpus_pipeline.near_duplicates(spark, nothing, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     labels = spark.createDataFrame([(100 + 2 * i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
