@@ -64,20 +64,39 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces whose texts take about `limit` bytes (a longer text stands alone)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, at = buffer_of(batch.column(batch.schema.get_field_index(column)))
-        begin = 0
-        while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, "right")) - 1)
-            yield batch.slice(begin, end - begin)
-            begin = end
-    release()
+    _returning(SCANNING)
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, at = buffer_of(batch.column(batch.schema.get_field_index(column)))
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, "right")) - 1)
+                yield batch.slice(begin, end - begin)
+                begin = end
+    finally:
+        _returning(RESTING)
+        release()
+
+
+def _returning(size: int) -> None:
+    """From now on arrays of `size` bytes or more go back to the system as soon as they are freed (a Python worker
+    lives on after its task, beside others and their JVM); smaller ones are reused, which is faster."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, size)  # M_MMAP_THRESHOLD, which rises by itself if it isn't set
+        libc.mallopt(-1, 4 * size)  # M_TRIM_THRESHOLD
+
+
+SCANNING, RESTING = 32 << 20, 1 << 20
+_returning(RESTING)
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def release() -> None:
-    """Gives freed memory back to the system: a Python worker lives on after its task."""
+    """Gives freed memory back to the system."""
+    _powers.update({k: v[: 1 << 16].copy() for k, v in _powers.items() if len(v) > 1 << 22})
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
