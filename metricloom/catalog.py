@@ -4,6 +4,8 @@ store is returned.  ORACLE_SQL computes the same from the columns."""
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .api import Options, run
 from .sinks import text as sinks
+from .sources.lines import read_lines
 from .store import gc
 
 NOW = dt.datetime(2024, 6, 1, tzinfo=dt.UTC)
@@ -263,3 +266,87 @@ _query(
     "histogram_cumulative", events, "histogram h buckets 10, 50, 90\n/ k=(?P<k>\\d+) / {\n  h = $k\n}\n", lambda s: sinks.prometheus(s, False).where("part = 1 and line like '%bucket%'").select("line"),
     f"SELECT 'h_bucket{{le=\"' || le || '\"}} ' || n AS line FROM (SELECT '10' AS le, count(*) FILTER ({K} <= 10) AS n FROM events UNION ALL SELECT '50', count(*) FILTER ({K} <= 50) FROM events UNION ALL SELECT '90', count(*) FILTER ({K} <= 90) FROM events UNION ALL SELECT '+Inf', count(*) FROM events)",
 )
+
+
+def _files(spark: SparkSession, sf_dir: str, patterns: list[str], ignore: str | None = None) -> DataFrame:
+    """The lines of `orders`, written as text files (a folder for each status, in order) and read again."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metricloom-logs-")
+    if not spark.sparkContext.master.startswith("local[") and not spark.conf.get("spark.checkpoint.dir", None):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{path}/logs-{uuid.uuid4().hex}"
+    lines = orders(spark, sf_dir)
+    for s in "FOP":
+        own = lines.where(F.col("filename").endswith(f".{s}"))
+        own.repartitionByRange(2, "seq").sortWithinPartitions("seq").select("line").write.text(f"{path}/status={s}")
+    return read_lines(spark, [p.format(path=path) for p in patterns], ignore)
+
+
+_STATUS = "gauge last by status\ncounter n by status\n/orders\\[(?P<id>\\d+)\\].* status (?P<s>\\S+) / {\n  last[$s] = $id\n  n[$s]++\n}\n"
+_STATUS_SQL = "SELECT 'n' AS name, o_orderstatus AS k1, '' AS k2, CAST(count(*) AS BIGINT) AS value FROM orders {where} GROUP BY ALL UNION ALL SELECT 'last', o_orderstatus, '', CAST(max(o_orderkey) AS BIGINT) FROM orders {where} GROUP BY ALL"
+_query("files_folder", lambda s, d: _files(s, d, ["{path}/status=F", "{path}/status=O", "{path}/status=P"]), _STATUS, _ints, _STATUS_SQL.format(where=""))
+_query("files_glob", lambda s, d: _files(s, d, ["{path}/status=[FO]/part-*"]), _STATUS, _ints, _STATUS_SQL.format(where="WHERE o_orderstatus IN ('F', 'O')"))
+_query("files_ignored", lambda s, d: _files(s, d, ["{path}/status=*/part-*"], r"^part-00001"), "counter n\n/$/ {\n  n++\n  getfilename() =~ /part-00001/ {\n    n += 1000000\n  }\n}\nhidden counter files by name\n/^/ {\n  files[getfilename()]++\n}\n",
+       lambda s: s.where("name = 'n'").select("name", (F.col("int_value") < 1000000).alias("only_first")), "SELECT 'n' AS name, true AS only_first")
+_query("quoted_name", events, "counter \"quoted\" by type\n/\\] (?P<type>\\S+) / {\n  quoted[$type]++\n}\n", _ints, f"SELECT 'quoted' AS name, {GROUPS}, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY event_type")
+_query("renamed_metric", events, "counter c by type as \"hits-by-type\"\n/\\] (?P<type>\\S+) / {\n  c[$type]++\n}\n", _ints, f"SELECT 'hits-by-type' AS name, {GROUPS}, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY event_type")
+_query("attribute_order", events, "histogram h buckets 10, 50, 90 by type as \"sizes\"\n/\\] (?P<type>\\S+) .* k=(?P<k>\\d+)/ {\n  h[$type] = $k\n}\n", _sums, f"SELECT 'sizes' AS name, event_type AS k1, CAST(count(*) AS BIGINT) AS n, round(CAST(sum({K}) AS DOUBLE), 2) AS total FROM events GROUP BY event_type")
+_query("declared_inside", events, "/\\] (?P<type>\\S+) / {\n  counter inner by type\n  inner[$type]++\n}\n", _ints, f"SELECT 'inner' AS name, {GROUPS}, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY event_type")
+_query("float_mod", events, "gauge r\n" + VALUE + " {\n  r += $value % 7.5\n}\n", _floats, "SELECT 'r' AS name, '' AS k1, '' AS k2, round(sum(value % 7.5), 2) AS value FROM events")
+_query("float_pow", events, "gauge r\n" + VALUE + " {\n  r += $value ** 0.5\n}\n", _floats, "SELECT 'r' AS name, '' AS k1, '' AS k2, round(sum(sqrt(value)), 2) AS value FROM events")
+_query("string_append", events, "text trail by user\n/\\[(?P<user>\\d+)\\] (?P<type>\\S+) / {\n  trail[$user] += $type\n}\n", _texts, "SELECT 'trail' AS name, CAST(user_id AS VARCHAR) AS k1, '' AS k2, string_agg(event_type, '' ORDER BY event_id) AS value FROM events GROUP BY user_id")
+_query("bool_condition", events, "counter odd\n/ k=(?P<k>\\d+) / {\n  bool($k % 2) {\n    odd++\n  }\n}\n", _ints, f"SELECT 'odd' AS name, '' AS k1, '' AS k2, CAST(count(*) AS BIGINT) AS value FROM events WHERE {K} % 2 = 1")
+_query("string_of_float", events, "counter c by v\n" + VALUE + " {\n  $value < 10.0 {\n    c[string($value)]++\n  }\n}\n", _ints, "SELECT 'c' AS name, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS k1, '' AS k2, CAST(count(*) AS BIGINT) AS value FROM events WHERE value < 10 GROUP BY ALL")
+_query("decrement", events, "gauge g by type\n/\\] (?P<type>\\S+) .* k=(?P<k>\\d+)/ {\n  $k < 30 {\n    g[$type]--\n  } else {\n    g[$type]++\n  }\n}\n", _ints, f"SELECT 'g' AS name, {GROUPS}, CAST(sum(CASE WHEN {K} < 30 THEN -1 ELSE 1 END) AS BIGINT) AS value FROM events GROUP BY event_type")
+
+
+def _dated(pattern: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Lines that begin with the event's time in a pattern, then its type and id."""
+
+    def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = F.concat(*(F.lpad(_time("ts", "d"), 2, " ") if part == "_2" else _time("ts", part) for part in pattern.split("|")))
+        line = F.concat(at, F.lit(" "), "event_type", F.lit(" "), F.col("event_id").cast("string"))
+        return _table(spark, sf_dir, "events").select(F.lit("dated.log").alias("filename"), line.alias("line"), F.col("event_id").alias("seq"))
+
+    return lines
+
+
+def _stamped(name: str, pattern: str, matched: str, layout: str, epoch: str, options: Options = OPTIONS) -> None:
+    program = f"counter seen by type\n/^(?P<date>{matched}) (?P<type>[a-z_]+) \\d+$/ {{\n  strptime($date, \"{layout}\")\n  seen[$type]++\n}}\n"
+    _query(name, _dated(pattern), program, _stamps, f"SELECT 'seen' AS name, event_type AS k1, CAST(arg_max({epoch}, event_id) AS BIGINT) AS at FROM events GROUP BY event_type", options)
+
+
+_SECONDS = "epoch(date_trunc('second', ts))"
+_stamped("layout_apache", "dd/MMM/yyyy:HH:mm:ss '+0200'", "\\S+ \\+\\d+", "02/Jan/2006:15:04:05 -0700", f"{_SECONDS} - 7200")
+_stamped("layout_padded_day", "yyyy |MMM |_2| HH:mm:ss.SSS", ".{24}", "2006 Jan _2 15:04:05.000", _SECONDS)
+_stamped("layout_without_year", "MMM |_2| HH:mm:ss", ".{15}", "Jan _2 15:04:05", "epoch(make_timestamp(2024, month(ts), day(ts), hour(ts), minute(ts), second(ts)::DOUBLE)) - (second(ts)::DOUBLE - floor(second(ts)::DOUBLE))")
+_stamped("other_timezone", "yyyy-MM-dd HH:mm:ss", "\\S+ \\S+", "2006-01-02 15:04:05", f"{_SECONDS} - 19800", Options(year=2024, now=NOW, zone="Asia/Kolkata"))
+
+_DOC_LINES = "(SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
+for _name, _pattern in {
+    "re2_ungreedy": r"(?U)^\w+ \w+[.,]",
+    "re2_class_bracket": r"[[|]\s?[A-Z]",
+    "re2_unicode_class": r"^\p{Lu}\pL*[\x{e0}-\x{ff}]\pL*\b",
+    "re2_quoted": r"\Q. \E[A-Z]\w+",
+    "re2_fold": r"(?i)\bTHE (?P<next_word>[a-m]\w*)",
+}.items():
+    _query(_name, documents, "counter c\n/" + _pattern + "/ {\n  c++\n}\n", _ints, f"SELECT 'c' AS name, '' AS k1, '' AS k2, CAST(count(*) AS BIGINT) AS value FROM {_DOC_LINES} WHERE regexp_matches(line, '{_pattern}')")
+
+_HISTOGRAM = "histogram h by type buckets 10, 50, 90\n/\\] (?P<type>\\S+) .* k=(?P<k>\\d+)/ {\n  h[$type] = $k\n}\n"
+_HIST_ROWS = f"(SELECT event_type AS t, count(*) FILTER ({K} <= 10) AS a, count(*) FILTER ({K} <= 50) AS b, count(*) FILTER ({K} <= 90) AS c, count(*) AS n, CAST(sum({K}) AS BIGINT) AS total FROM events GROUP BY event_type)"
+#: A whole number as the formats write a float (below 10 ** 21).
+_G = "CASE WHEN {x} >= 1000000 THEN regexp_replace(rtrim(rtrim(left({x}::VARCHAR, 1) || '.' || substr({x}::VARCHAR, 2), '0'), '.') || 'e+' || lpad((length({x}::VARCHAR) - 1)::VARCHAR, 2, '0'), ' ', '') ELSE {x}::VARCHAR END"
+_query(
+    "prometheus_document", events, {"p": _HISTOGRAM}, lambda s: sinks.prometheus(s, False).select("line"),
+    f"""SELECT unnest(['h_bucket{{type="' || t || '",le="10"}} ' || a, 'h_bucket{{type="' || t || '",le="50"}} ' || b, 'h_bucket{{type="' || t || '",le="90"}} ' || c, 'h_bucket{{type="' || t || '",le="+Inf"}} ' || n,
+      'h_sum{{type="' || t || '"}} ' || {_G.format(x="total")}, 'h_count{{type="' || t || '"}} ' || n]) AS line FROM {_HIST_ROWS}
+    UNION ALL SELECT unnest(['# HELP h defined at p:1:11', '# TYPE h histogram'])""",
+)
+_query(
+    "graphite_histogram", events, {"p": _HISTOGRAM}, sinks.graphite,
+    f"""SELECT unnest(['p.h.type.' || t || ' ' || {_G.format(x="total")} || ' 1717200000', 'p.h.type.' || t || '.bin_10 ' || a || ' 1717200000', 'p.h.type.' || t || '.bin_50 ' || (b - a) || ' 1717200000',
+      'p.h.type.' || t || '.bin_90 ' || (c - b) || ' 1717200000', 'p.h.type.' || t || '.bin_inf ' || (n - c) || ' 1717200000', 'p.h.type.' || t || '.count ' || n || ' 1717200000']) AS line FROM {_HIST_ROWS}""",
+)
+_query(
+    "json_histogram", events, {"p": _HISTOGRAM}, lambda s: sinks.json_cells(s).select(F.explode(F.from_json("line", "LabelValues array<struct<Labels array<string>, Value struct<Buckets map<string, bigint>, Count bigint, Sum double>>>")["LabelValues"]).alias("x")).select(F.col("x.Labels")[0].alias("k1"), *(F.col("x.Value.Buckets")[k].alias(c) for k, c in (("10", "a"), ("50", "b"), ("90", "c"), ("+Inf", "d"))), F.col("x.Value.Count").alias("n"), F.col("x.Value.Sum").alias("total")),
+    f"SELECT t AS k1, CAST(a AS BIGINT) AS a, CAST(b - a AS BIGINT) AS b, CAST(c - b AS BIGINT) AS c, CAST(n - c AS BIGINT) AS d, CAST(n AS BIGINT) AS n, CAST(total AS DOUBLE) AS total FROM {_HIST_ROWS}",
+)

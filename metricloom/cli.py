@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import socket
 import sys
 
 from .lang.checker import MAX_DEPTH, MAX_PATTERN, compile_program
 from .lang.lexer import ProgramError
-from .lang.parser import dump, parse, unparse
+from .lang.parser import dot, dump, parse, unparse
 from .sources.lines import from_stdin, load_programs, read_lines
 
 
@@ -16,9 +17,11 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--progs", required=True, help="a program file, or a folder of them")
     p.add_argument("--logs", action="append", default=[], help="glob pattern, or - for standard input; may be repeated")
     p.add_argument("--ignore-filename-regex-pattern", default=None)
-    p.add_argument("--format", default="json", choices=["json", "prometheus", "varz", "graphite", "statsd"])
+    p.add_argument("--format", default="json", choices=["json", "json-list", "prometheus", "varz", "graphite", "statsd", "collectd"])
     p.add_argument("--compile-only", action="store_true")
     p.add_argument("--dump-ast", action="store_true")
+    p.add_argument("--dump-graph", action="store_true", help="print the programs as Graphviz text")
+    p.add_argument("--serve", default=None, metavar="HOST:PORT", help="after the run, offer the metrics by HTTP until interrupted")
     p.add_argument("--rewrite", action="store_true", help="print the programs in their normal form")
     p.add_argument("--syslog-use-current-year", type=int, default=None, metavar="YEAR", help="year of times without one")
     p.add_argument("--override-timezone", default="UTC")
@@ -40,10 +43,12 @@ def main(argv: list[str] | None = None) -> int:
             checked = compile_program(text, name, a.max_regexp_length, a.max_recursion_depth)
             if a.dump_ast:
                 print(dump(checked.body))
+            if a.dump_graph:
+                print(dot(checked.body))
     except ProgramError as why:
         print(why, file=sys.stderr)
         return 1
-    if a.compile_only or a.dump_ast or a.rewrite:
+    if a.compile_only or a.dump_ast or a.dump_graph or a.rewrite:
         return 0
     from pyspark.sql import SparkSession
 
@@ -52,10 +57,22 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     files = [p for p in a.logs if p not in ("-", "/dev/stdin")]
-    lines = read_lines(spark, files, a.ignore_filename_regex_pattern) if files else from_stdin(spark)
+    lines = read_lines(spark, files, a.ignore_filename_regex_pattern) if files else None
+    if len(files) < len(a.logs) or not files:
+        typed = from_stdin(spark)
+        lines = lines.unionByName(typed) if files else typed
     store = run(lines, programs, Options(year=a.syslog_use_current_year, zone=a.override_timezone, max_pattern=a.max_regexp_length, max_depth=a.max_recursion_depth)).store
+    if a.serve:
+        from .sinks.pages import serve
+
+        host, _, port = a.serve.rpartition(":")
+        serve(store.cache(), host or "127.0.0.1", int(port), programs).serve_forever()
     if a.format == "json":
+        print(text.json_by_name(store))
+    elif a.format == "json-list":
         print(text.json_document(store))
+    elif a.format == "collectd":
+        print("".join(sorted(f"{r['line']}\n" for r in text.collectd(store, socket.gethostname()).collect())), end="")
     elif a.format == "prometheus":
         print(text.document(text.prometheus(store, not a.omit_prog_label, a.emit_metric_timestamp)), end="")
     else:

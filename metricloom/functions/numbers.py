@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 INT = r"[+-]?[0-9]+"
 FLOAT = r"[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])"
+HEX = r"[+-]?0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+"
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -66,6 +67,11 @@ def parse_int(s: str, base: int = 10) -> int:
 
 
 def parse_float(s: str) -> float:
+    if re.fullmatch(HEX, s, re.A):
+        try:
+            return float.fromhex(s)
+        except OverflowError:
+            raise ValueError(f'parsing "{s}": value out of range') from None
     if not re.fullmatch(FLOAT, s, re.A):
         raise ValueError(f'parsing "{s}": invalid syntax')
     x = float(s)
@@ -80,7 +86,14 @@ def parse_int_column(s: Column) -> Column:
 
 def parse_float_column(s: Column) -> Column:
     x = s.try_cast("double")
-    return F.when(s.rlike(rf"\A{FLOAT}\z") & (s.rlike(r"(?i)inf") | (F.abs(x) != float("inf"))), x)
+    # A number in base 16 by its digits and powers of two; digits beyond 15 only shift it.
+    whole, part = F.regexp_extract(s, r"0[xX]([0-9a-fA-F]*)", 1), F.regexp_extract(s, r"\.([0-9a-fA-F]*)[pP]", 1)
+    power = F.regexp_extract(s, r"[pP]([+-]?[0-9]{1,6})$", 1).try_cast("int") - 4 * F.length(part)
+    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
+    kept = F.when(digits == "", "0").otherwise(F.substring(digits, 1, 15))
+    size = F.conv(kept, 16, 10).cast("double") * F.pow(F.lit(2.0), (power + 4 * F.greatest(F.lit(0), F.length(digits) - 15)).cast("double"))
+    sixteen = F.when(F.abs(size) != float("inf"), F.when(s.startswith("-"), -size).otherwise(size))
+    return F.when(s.rlike(rf"\A{HEX}\z"), sixteen).when(s.rlike(rf"\A{FLOAT}\z") & (s.rlike(r"(?i)inf") | (F.abs(x) != float("inf"))), x)
 
 
 def parse_base_column(s: Column, base: Column) -> Column:

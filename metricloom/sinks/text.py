@@ -123,8 +123,9 @@ def json_cells(store: DataFrame) -> DataFrame:
     kind = place("kind", ["counter", "gauge", "timer", "text", "histogram"])
     type_ = (F.array_position(F.array(*map(F.lit, ["Int", "Float", "String", "Buckets"])), F.col("type")) - 1).cast("string")
     keys = F.when(F.size("keys") > 0, F.concat(F.lit(',"Keys":'), F.to_json("keys"))).otherwise("")
-    source = F.when(F.col("source") != "", F.concat(F.lit(',"Source":'), F.to_json(F.struct(F.col("source").alias("s"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("source").alias("s")))) - 6))).otherwise("")
-    line = F.concat(F.lit('{"Name":"'), "name", F.lit('","Program":"'), "program", F.lit('","Kind":'), kind, F.lit(',"Type":'), type_, keys, F.lit(',"LabelValues":['), F.array_join(F.transform("cells", lambda c: c["cell"]), ","), F.lit("]"), source, F.lit("}"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("s"))), r"(?s)\A\{\"s\":(.*)\}\z", 1)
+    source = F.when(F.col("source") != "", F.concat(F.lit(',"Source":'), quoted("source"))).otherwise("")
+    line = F.concat(F.lit('{"Name":'), quoted("name"), F.lit(',"Program":'), quoted("program"), F.lit(',"Kind":'), kind, F.lit(',"Type":'), type_, keys, F.lit(',"LabelValues":['), F.array_join(F.transform("cells", lambda c: c["cell"]), ","), F.lit("]"), source, F.lit("}"))
     return by.select("name", "program", line.alias("line"))
 
 

@@ -1,6 +1,7 @@
 """The store, what is written from it, where lines come from, and streams."""
 
 import datetime as dt
+import io
 import json
 import os
 import socket
@@ -16,9 +17,9 @@ from metricloom.functions.numbers import format_float, format_float_column, pars
 from metricloom.sinks import text
 from metricloom.store import gc
 
-WHEN = dt.datetime(2012, 7, 24, 10, 14, tzinfo=dt.UTC)
-PROGRAM = 'counter foo\ngauge bar by host\ntimer lap\ntext word\nhistogram hist by xxx buckets 10, 20\nhidden counter secret\n/foo (\\d+)/ {\n  foo += $1\n  secret++\n}\n/bar (\\S+) (\\d+)/ {\n  bar[$1] = $2\n}\n/lap (\\d+)/ {\n  lap = $1\n}\n/word (\\w+)/ {\n  word = $1\n}\n/hist (\\d+)/ {\n  hist["bar"] = $1\n}\n'
-LOG = 'foo 37\nbar quux.com 37\nbar snuh.teevee 38\nlap 123\nword a\nhist 1\nhist 1\nhist 15\nhist 15\nhist 15\nhist 1000\nbar str"bang" 1\n'
+WHEN = dt.datetime(2021, 3, 5, 6, 7, tzinfo=dt.UTC)
+PROGRAM = 'counter hits\ngauge open by host\ntimer lap\ntext word\nhistogram hist by xxx buckets 10, 20\nhidden counter secret\n/hits (\\d+)/ {\n  hits += $1\n  secret++\n}\n/open (\\S+) (\\d+)/ {\n  open[$1] = $2\n}\n/lap (\\d+)/ {\n  lap = $1\n}\n/word (\\w+)/ {\n  word = $1\n}\n/hist (\\d+)/ {\n  hist["bar"] = $1\n}\n'
+LOG = 'hits 52\nopen web1.example 52\nopen db.example 61\nlap 123\nword a\nhist 1\nhist 1\nhist 15\nhist 15\nhist 15\nhist 900\nopen x"y" 4\n'
 
 
 @pytest.fixture(scope="module")
@@ -34,27 +35,27 @@ def lines(df):
 
 def test_prometheus(store):
     doc = text.document(text.prometheus(store, False))
-    assert "# HELP foo defined at prog:1:9-11\n# TYPE foo counter\nfoo{} 37\n" in doc
+    assert "# HELP hits defined at prog:1:9-12\n# TYPE hits counter\nhits{} 52\n" in doc
     assert "# TYPE lap gauge\nlap{} 123\n" in doc and "word" not in doc and "secret" not in doc
-    assert 'bar{host="str\\"bang\\""} 1\n' in doc
-    assert 'hist_bucket{xxx="bar",le="10"} 2\nhist_bucket{xxx="bar",le="20"} 5\nhist_bucket{xxx="bar",le="+Inf"} 6\nhist_sum{xxx="bar"} 1047\nhist_count{xxx="bar"} 6\n' in doc
-    assert 'foo{prog="prog"} 37 1343124840000\n' in text.document(text.prometheus(store, True, True))
+    assert 'open{host="x\\"y\\""} 4\n' in doc
+    assert 'hist_bucket{xxx="bar",le="10"} 2\nhist_bucket{xxx="bar",le="20"} 5\nhist_bucket{xxx="bar",le="+Inf"} 6\nhist_sum{xxx="bar"} 947\nhist_count{xxx="bar"} 6\n' in doc
+    assert 'hits{prog="prog"} 52 1614924420000\n' in text.document(text.prometheus(store, True, True))
 
 
 def test_line_formats(store):
-    assert "prog.foo 37 1343124840" in lines(text.graphite(store))
-    assert {"prog.bar.host.quux_com 37 1343124840", "prog.hist.xxx.bar 1047 1343124840", "prog.hist.xxx.bar.bin_10 2 1343124840", "prog.hist.xxx.bar.bin_20 3 1343124840", "prog.hist.xxx.bar.bin_inf 1 1343124840", "prog.hist.xxx.bar.count 6 1343124840"} <= set(lines(text.graphite(store)))
-    assert "prefixprog.foo 37 1343124840" in lines(text.graphite(store, "prefix"))
-    assert {"prog.foo:37|c", "prog.bar.host.quux_com:37|g", "prog.lap:123|ms"} <= set(lines(text.statsd(store)))
-    assert {'PUTVAL "gunstar/metricloom-prog/counter-foo" interval=60 1343124840:37', 'PUTVAL "gunstar/metricloom-prog/gauge-lap" interval=60 1343124840:123', 'PUTVAL "gunstar/metricloom-prog/gauge-bar-host-quux.com" interval=60 1343124840:37'} <= set(lines(text.collectd(store, "gunstar")))
-    assert {"foo{prog=prog,instance=here} 37", "bar{host=quux.com,prog=prog,instance=here} 37", "word{prog=prog,instance=here} a"} <= set(lines(text.varz(store, "here")))
+    assert "prog.hits 52 1614924420" in lines(text.graphite(store))
+    assert {"prog.open.host.web1_example 52 1614924420", "prog.hist.xxx.bar 947 1614924420", "prog.hist.xxx.bar.bin_10 2 1614924420", "prog.hist.xxx.bar.bin_20 3 1614924420", "prog.hist.xxx.bar.bin_inf 1 1614924420", "prog.hist.xxx.bar.count 6 1614924420"} <= set(lines(text.graphite(store)))
+    assert "prefixprog.hits 52 1614924420" in lines(text.graphite(store, "prefix"))
+    assert {"prog.hits:52|c", "prog.open.host.web1_example:52|g", "prog.lap:123|ms"} <= set(lines(text.statsd(store)))
+    assert {'PUTVAL "node7/metricloom-prog/counter-hits" interval=60 1614924420:52', 'PUTVAL "node7/metricloom-prog/gauge-lap" interval=60 1614924420:123', 'PUTVAL "node7/metricloom-prog/gauge-open-host-web1.example" interval=60 1614924420:52'} <= set(lines(text.collectd(store, "node7")))
+    assert {"hits{prog=prog,instance=here} 52", "open{host=web1.example,prog=prog,instance=here} 52", "word{prog=prog,instance=here} a"} <= set(lines(text.varz(store, "here")))
 
 
 def test_json(store):
     by_name = {m["Name"]: m for m in json.loads(text.json_document(store))}
-    assert by_name["foo"]["LabelValues"] == [{"Value": {"Value": 37, "Time": 1343124840000000000}}] and by_name["foo"]["Kind"] == 1
+    assert by_name["hits"]["LabelValues"] == [{"Value": {"Value": 52, "Time": 1614924420000000000}}] and by_name["hits"]["Kind"] == 1
     assert by_name["hist"]["LabelValues"][0]["Value"]["Buckets"] == {"10": 2, "20": 3, "+Inf": 1}
-    assert by_name["bar"]["LabelValues"][0]["Labels"] == ["quux.com"] and "secret" not in by_name
+    assert by_name["open"]["LabelValues"][0]["Labels"] == ["db.example"] and "secret" not in by_name
     assert set(json.loads(text.json_by_name(store))) == set(by_name)
 
 
@@ -74,7 +75,7 @@ def test_push(store):
     n = text.push(text.graphite(store, text_too=False), f"tcp://127.0.0.1:{server.getsockname()[1]}")
     t.join(10)
     server.close()
-    assert n == len(got) and "prog.foo 37 1343124840" in got
+    assert n == len(got) and "prog.hits 52 1614924420" in got
 
 
 def test_gc_by_age_and_number(spark, play):
@@ -161,6 +162,71 @@ def test_tail_follows_rotates_and_truncates(tmp_path):
     assert not list(rows) and set(after) == {"_seq"}
 
 
+def test_tail_loses_nothing(tmp_path, monkeypatch):
+    """What a file got between the last look and its rotation or deletion, partial last lines, and long lines."""
+    import pickle
+
+    from metricloom.sources import tail
+
+    log = tmp_path / "x.log"
+    log.write_text("a\nhal")
+    reader = tail.TailReader({"path": f"{tmp_path}/*.log", "from_start": "true"})
+    rows, at = reader.read(reader.initialOffset())
+    assert [r[1] for r in rows] == ["a"]
+    with log.open("a") as f:
+        f.write("f\nlate\nno newline")
+    os.rename(log, tmp_path / "x.log.1")
+    log.write_text("new\npart")
+    rows, after = reader.read(at)
+    assert [r[1:] for r in rows] == [("half", 1), ("late", 2), ("no newline", 3), ("new", 4)]
+    assert [r[1] for r in pickle.loads(pickle.dumps(reader)).readBetweenOffsets(at, after)] == ["half", "late", "no newline", "new"]
+    log.write_text("z\n")
+    rows, after = reader.read(after)
+    assert [r[1] for r in rows] == ["part", "z"]
+    with log.open("a") as f:
+        f.write("before it goes\nand this")
+    os.remove(log)
+    rows, after = reader.read(after)
+    assert [r[1] for r in rows] == ["before it goes", "and this"] and "_late" in after
+    rows, after = reader.read(after)
+    assert not list(rows) and "_late" not in after
+    monkeypatch.setattr(tail, "BATCH_BYTES", 10)
+    log.write_text("x" * 95 + "\nnext\n")
+    rows, after = reader.read(after)
+    assert [len(r[1]) for r in rows][0] == 95
+
+
+def test_pages_and_names(spark, store):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from metricloom.sinks.pages import serve
+    from metricloom.sources.lines import from_text
+
+    server = serve(store, "127.0.0.1", 0, {"prog": PROGRAM})
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}", timeout=60).read().decode()
+    assert "hits{prog=\"prog\"} 52\n" in get("/metrics") and "hits{prog=prog," in get("/varz") and "prog.hits 52" in get("/graphite")
+    assert {m["Name"] for m in json.loads(get("/json"))} >= {"hits", "open"} and "counter hits" in get("/programs") and "/metrics" in get("/")
+    with pytest.raises(urllib.error.HTTPError):
+        get("/nothing")
+    server.shutdown()
+    odd = run(from_text(spark, "x\n"), {'p"q': 'counter c as "a\\"b"\n/x/ {\n  c++\n}\n'}, Options(now=WHEN)).store
+    assert json.loads(text.json_document(odd))[0]["Program"] == 'p"q'
+
+
+def test_floats_in_base_16(spark):
+    from metricloom.functions.numbers import parse_float, parse_float_column
+
+    texts = ["0x1p4", "-0x1.8p1", "0X.8P-3", "0x1.fffffffffffffp1023", "0x1p99999", "0x1", "0xp1", "1.5", "0x0p0", "0x123456789abcdep-4"]
+    for r in spark.createDataFrame([(x,) for x in texts], "v string").select("v", parse_float_column(F.col("v")).alias("x")).collect():
+        try:
+            assert r["x"] == parse_float(r["v"]), r
+        except ValueError:
+            assert r["x"] is None, r
+
+
 def test_stream_of_a_tail(spark, tmp_path):
     from metricloom.sources.tail import TailSource
     from metricloom.streaming.run import StoreStream, counters
@@ -223,13 +289,21 @@ def test_named_pipe(spark, tmp_path):
     assert [r["line"] for r in spool_columns(spark.read.text(str(tmp_path / "spool"))).orderBy("seq").collect()] == ["a", "b"]
 
 
-def test_command_line(tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from metricloom.cli import main
 
     (tmp_path / "p.loom").write_text("counter c\n/$/ {\n  c++\n}\n")
     assert main(["--progs", str(tmp_path), "--compile-only"]) == 0
     assert main(["--progs", str(tmp_path), "--rewrite"]) == 0
     assert "counter c\n/$/ {\n  c++\n}\n" in capsys.readouterr().out
+    assert main(["--progs", str(tmp_path), "--dump-graph"]) == 0
+    assert "digraph program" in capsys.readouterr().out
+    (tmp_path / "one.log").write_text("x\ny\n")
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"z\n")))
+    assert main(["--progs", str(tmp_path), "--logs", str(tmp_path / "one.log"), "--logs", "-"]) == 0
+    assert json.loads(capsys.readouterr().out)["c"][0]["LabelValues"][0]["Value"]["Value"] == 3
+    assert main(["--progs", str(tmp_path), "--logs", str(tmp_path / "one.log"), "--format", "collectd"]) == 0
+    assert "metricloom-p.loom/counter-c" in capsys.readouterr().out
     (tmp_path / "q.loom").write_text("counter\n")
     assert main(["--progs", str(tmp_path), "--compile-only"]) == 1
 
