@@ -132,9 +132,10 @@ def survey(docs: DataFrame, tokens_of: Callable[[np.ndarray, np.ndarray], np.nda
 
     merged = cut(docs.select("text").mapInArrow(gather, "shard int, keys binary, many binary").groupBy("shard").applyInArrow(merge, "shard int, bitmap binary, keys binary, n binary, hist array<long>"))
     bitmap, hist = np.zeros((1 << cuts, max(1, 1 << section >> 3)), np.uint8), np.zeros(64, np.int64)
-    for row in merged.select("shard", "bitmap", "hist").toLocalIterator():
-        bitmap[row["shard"]] = np.frombuffer(row["bitmap"], np.uint8)
-        hist += np.array(row["hist"])
+    # One job: what comes is the bitmap's size, and below at most `hot` keys.
+    for shard, flags, h in zip(*merged.select("shard", "bitmap", "hist").toArrow().columns, strict=True):
+        bitmap[shard.as_py()] = np.frombuffer(flags.as_buffer(), np.uint8)
+        hist += np.array(h.as_py())
     above = np.cumsum(hist[::-1])[::-1]
     level = int(np.argmax(above <= hot))  # counts from 2 ** level on fit
 
@@ -146,9 +147,9 @@ def survey(docs: DataFrame, tokens_of: Callable[[np.ndarray, np.ndarray], np.nda
                 yield pa.RecordBatch.from_arrays([pa.array([k[kept].tobytes()], pa.binary()), pa.array([t[kept].tobytes()], pa.binary())], ["keys", "n"])
 
     keys, n = [], []
-    for row in merged.select("keys", "n").mapInArrow(frequent, "keys binary, n binary").toLocalIterator():
-        keys.append(np.frombuffer(row["keys"], np.uint32))
-        n.append(np.frombuffer(row["n"], np.int64))
+    for k, t in zip(*merged.select("keys", "n").mapInArrow(frequent, "keys binary, n binary").toArrow().columns, strict=True):
+        keys.append(np.frombuffer(k.as_buffer(), np.uint32))
+        n.append(np.frombuffer(t.as_buffer(), np.int64))
     key, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, n))
     rank = np.empty(len(key), np.int64)
     rank[np.lexsort((key, count))] = np.arange(1, len(key) + 1)

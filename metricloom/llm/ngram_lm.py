@@ -351,12 +351,13 @@ def _sent(counted: DataFrame, heads: DataFrame, known: Survey, cuts: int) -> Sen
 
     both = counted.where(F.col("kind") == SEEN).select(*NAMES).unionAll(heads.where(F.col("kind") == HEADS).select(*NAMES))
     word, first, pair = [], [], []
-    for r in both.mapInArrow(hot, ROWS).toLocalIterator():
-        if r["kind"] == HEADS:
-            w, k = _unpack(bytes(r["body"]), 2)
-            word.append((w, rates[r["lang"]].word(k)))
+    # One job; at most HOT terms come.
+    for lang, kind, body in zip(*both.mapInArrow(hot, ROWS).select("lang", "kind", "body").toArrow().columns, strict=True):
+        if kind.as_py() == HEADS:
+            w, k = _unpack(body.as_buffer(), 2)
+            word.append((w, rates[lang.as_py()].word(k)))
         else:
-            v, g, *rest = _unpack(bytes(r["body"]), 5)
+            v, g, *rest = _unpack(body.as_buffer(), 5)
             first.append((v, g))
             pair.append(rest)
     every = lambda parts, n: [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * n
@@ -373,8 +374,8 @@ def _sent(counted: DataFrame, heads: DataFrame, known: Survey, cuts: int) -> Sen
         return pa.table({"shard": table.column("shard")[:1], "flags": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
     seen = np.zeros((1 << cuts, max(1, section >> 3)), np.uint8)
-    for r in counted.where("marks is not null").select("shard", "marks").groupBy("shard").applyInArrow(flags, "shard int, flags binary").toLocalIterator():
-        seen[r["shard"]] = np.frombuffer(r["flags"], np.uint8)
+    for shard, on in zip(*counted.where("marks is not null").select("shard", "marks").groupBy("shard").applyInArrow(flags, "shard int, flags binary").toArrow().columns, strict=True):
+        seen[shard.as_py()] = np.frombuffer(on.as_buffer(), np.uint8)
     return Sent(known, seen.ravel(), pairs, firsts, words_, rates)
 
 

@@ -294,8 +294,8 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cuts = max(5, int(volume(docs) // 190 // SHARD).bit_length())
     counted = cut(count_regions(docs, cuts, length))
     bitmap = np.zeros((1 << cuts, 1 << (BITS - cuts) >> 3), np.uint8)
-    for row in counted.where("bitmap is not null").select("shard", "bitmap").toLocalIterator():
-        bitmap[row["shard"]] = np.frombuffer(row["bitmap"], np.uint8)
+    for shard, flags in zip(*counted.where("bitmap is not null").select("shard", "bitmap").toArrow().columns, strict=True):
+        bitmap[shard.as_py()] = np.frombuffer(flags.as_buffer(), np.uint8)
     return counted.where("bitmap is null").select("doc", "text_hash", "low", "high").unionAll(contested(docs, bitmap.ravel(), cuts, length))
 
 
