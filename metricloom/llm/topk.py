@@ -92,25 +92,26 @@ def _large(x: np.ndarray) -> np.ndarray:
     return np.abs(x).max(-1, initial=0)
 
 
-def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The inner products of a's rows with b's."""
-    top = _large(a) * _large(b) * a.shape[1]
-    if top.max(initial=0) < 2**53:
-        return np.rint(np.einsum("ij,ij->i", a, b)).astype(np.int64)
-    out = np.empty(len(a), np.int64)
-    near = top < 2**62
-    out[near] = np.einsum("ij,ij->i", a[near].astype(np.int64), b[near].astype(np.int64))
-    for i in np.flatnonzero(~near).tolist():
-        score = sum(int(x) * int(y) for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True))
-        out[i] = max(-MOST, min(MOST, score))
+def paired(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, a_top: np.ndarray, b_top: np.ndarray) -> np.ndarray:
+    """The inner products of rows i of a with rows j of b; a_top and b_top: the rows' largest sizes."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        if a_top.max(initial=0) * b_top.max(initial=0) * a.shape[1] < 2**53:
+            return np.rint(np.einsum("ij,ij->i", a[i], b[j])).astype(np.int64)
+        near = a_top[i] * b_top[j] * a.shape[1] < 2**62
+    out = np.empty(len(i), np.int64)
+    out[near] = np.einsum("ij,ij->i", a[i[near]].astype(np.int64), b[j[near]].astype(np.int64))
+    for k in np.flatnonzero(~near).tolist():
+        score = sum(int(x) * int(y) for x, y in zip(a[i[k]].tolist(), b[j[k]].tolist(), strict=True))
+        out[k] = max(-MOST, min(MOST, score))
     return out
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All inner products; in doubles where these are exact."""
-    if float(_large(a).max(initial=0)) * float(_large(b).max(initial=0)) * a.shape[1] < 2**53:
+    a_top, b_top = _large(a), _large(b)
+    if float(a_top.max(initial=0)) * float(b_top.max(initial=0)) * a.shape[1] < 2**53:
         return np.rint(a @ b.T).astype(np.int64)
-    return paired(np.repeat(a, len(b), 0), np.tile(b, (len(a), 1))).reshape(len(a), len(b))
+    return paired(a, b, np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)), a_top, b_top).reshape(len(a), len(b))
 
 
 class Best:
@@ -190,7 +191,7 @@ def _pass(by_norm: DataFrame, queries: np.ndarray, ids: np.ndarray, turn: np.nda
             turned = queries @ turn
             length = _norm(turned)
             rest = _norm(turned[:, HEAD:])
-        best, over = Best(len(ids), k), False
+        best, over, q_top = Best(len(ids), k), False, _large(queries)
         for batch in batches:
             for a in range(0, 0 if over else batch.num_rows, BLOCK):
                 v = _unpack(batch.column(1).slice(a, BLOCK), dim)
@@ -202,6 +203,7 @@ def _pass(by_norm: DataFrame, queries: np.ndarray, ids: np.ndarray, turn: np.nda
                     reach = _high(length * v_length.max(initial=0))
                     slack = 1e-9 * reach + 1e-6
                     live = np.flatnonzero(reach + slack >= need)
+                v_top = _large(v)
                 over = not len(live)  # nor can any later, shorter vector be among the best
                 for b in range(0, len(live), 512):
                     q = live[b : b + 512]
@@ -209,7 +211,7 @@ def _pass(by_norm: DataFrame, queries: np.ndarray, ids: np.ndarray, turn: np.nda
                         bound = _high(turned[q, :HEAD] @ t[:, :HEAD].T + rest[q, None] * v_rest[None])
                     row, col = np.nonzero((bound + slack[q, None] >= need[q, None]) & (ids[q, None] != v_ids[None]))
                     if len(row):
-                        score = paired(queries[q[row]], v[col])
+                        score = paired(queries, v, q[row], col, q_top, v_top)
                         good = score >= np.maximum(lower, best.score[:, -1])[q[row]]
                         if good.any():
                             best.put(q[row[good]], score[good], v_ids[col[good]])
