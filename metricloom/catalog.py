@@ -15,6 +15,7 @@ from .api import Options, run
 from .sinks import text as sinks
 from .sources.lines import read_lines
 from .store import gc
+from .streaming.run import StoreStream, counters
 
 NOW = dt.datetime(2024, 6, 1, tzinfo=dt.UTC)
 OPTIONS = Options(year=2024, now=NOW)
@@ -268,12 +269,17 @@ _query(
 )
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{path or tempfile.mkdtemp(prefix='metricloom-logs-')}/logs-{uuid.uuid4().hex}"
+
+
 def _files(spark: SparkSession, sf_dir: str, patterns: list[str], ignore: str | None = None) -> DataFrame:
     """The lines of `orders`, written as text files (a folder for each status, in order) and read again."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metricloom-logs-")
-    if not spark.sparkContext.master.startswith("local[") and not spark.conf.get("spark.checkpoint.dir", None):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{path}/logs-{uuid.uuid4().hex}"
+    path = _folder(spark)
     lines = orders(spark, sf_dir)
     for s in "FOP":
         own = lines.where(F.col("filename").endswith(f".{s}"))
@@ -350,3 +356,48 @@ _query(
     "json_histogram", events, {"p": _HISTOGRAM}, lambda s: sinks.json_cells(s).select(F.explode(F.from_json("line", "LabelValues array<struct<Labels array<string>, Value struct<Buckets map<string, bigint>, Count bigint, Sum double>>>")["LabelValues"]).alias("x")).select(F.col("x.Labels")[0].alias("k1"), *(F.col("x.Value.Buckets")[k].alias(c) for k, c in (("10", "a"), ("50", "b"), ("90", "c"), ("+Inf", "d"))), F.col("x.Value.Count").alias("n"), F.col("x.Value.Sum").alias("total")),
     f"SELECT t AS k1, CAST(a AS BIGINT) AS a, CAST(b - a AS BIGINT) AS b, CAST(c - b AS BIGINT) AS c, CAST(n - c AS BIGINT) AS d, CAST(n AS BIGINT) AS n, CAST(total AS DOUBLE) AS total FROM {_HIST_ROWS}",
 )
+
+_query(
+    "wrapping_sum", events, "counter w by type\n/\\] (?P<type>\\S+) .* k=(?P<k>\\d+)/ {\n  w[$type] += 4611686018427387904 + $k\n}\n", _ints,
+    f"SELECT 'w' AS name, event_type AS k1, '' AS k2, CAST((s + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS value FROM (SELECT event_type, sum(4611686018427387904 + {K}::HUGEINT) AS s FROM events GROUP BY event_type)",
+)
+
+_PRIORITY = "counter n by p\ngauge spent by p\n/total (?P<t>\\d+\\.\\d+) priority (?P<p>.*)$/ {\n  n[$p]++\n  spent[$p] += $t\n}\n"
+_PRIORITY_SQL = "SELECT {name} AS name, o_orderpriority AS k1, '' AS k2, {value} AS value FROM orders GROUP BY ALL"
+
+
+def _former(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one status after the others: each run goes on from the store of the one before."""
+    store, lines = None, orders(spark, sf_dir)
+    for s in "FOP":
+        store = run(lines.where(F.col("filename").endswith(f".{s}")), {"p": _PRIORITY}, OPTIONS, store).store
+    return store.select("name", _key(0), _key(1), F.round(F.coalesce(F.col("int_value").cast("double"), "float_value"), 2).alias("value"))
+
+
+QUERIES["former_store"] = _former
+ORACLE_SQL["former_store"] = f"{_PRIORITY_SQL.format(name=repr('n'), value='CAST(count(*) AS DOUBLE)')} UNION ALL {_PRIORITY_SQL.format(name=repr('spent'), value='round(sum(o_totalprice), 2)')}"
+
+
+def _arriving(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The lines of `orders` as a stream of three files, one for each batch."""
+    orders(spark, sf_dir).repartition(3, "seq").write.parquet(f"{folder}/in")
+    return spark.readStream.schema("filename string, line string, seq bigint").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark)
+    stream = StoreStream(spark, {"p": PROGRAMS["match_op"]}, f"{folder}/store", OPTIONS)
+    stream.start(_arriving(spark, sf_dir, folder), f"{folder}/checkpoint").awaitTermination()
+    return _ints(stream.latest())
+
+
+def _stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, name = _folder(spark), f"counted_{uuid.uuid4().hex}"
+    counted = counters(_arriving(spark, sf_dir, folder), {"p": PROGRAMS["match_op"]}, OPTIONS)
+    writer = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("name", _key(0), _key(1), F.col("value").cast("bigint").alias("value"))
+
+
+QUERIES["stream_store"], ORACLE_SQL["stream_store"] = _stream_store, ORACLE_SQL["match_op"]
+QUERIES["stream_counters"], ORACLE_SQL["stream_counters"] = _stream_counters, ORACLE_SQL["match_op"]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import MetricInfo, bounds
+from .lower import wrapped
 
 KEY = ["program", "metric", "labels"]
 
@@ -41,7 +42,10 @@ def fold(ops: DataFrame, metrics: list[MetricInfo], ordered: bool, mixed: bool =
     if timed:
         aggregates.append(F.max_by(micros, wrote).alias("at"))
     if "Int" in types:
-        aggregates.append(F.sum(F.when(late & is_("inc"), F.col("i"))).alias("inc"))
+        # Sums wrap around like all whole numbers: the signed lower half and the upper one are summed apart.
+        added = F.when(late & is_("inc"), F.col("i"))
+        aggregates.append(F.sum(F.shiftright(F.shiftleft(added, 32), 32)).alias("inc_low"))
+        aggregates.append(F.sum(F.shiftright(added, 32) + F.shiftright(added, 31).bitwiseAND(1)).alias("inc_high"))
     if "Float" in types:
         aggregates.append(F.sum(F.when(late & is_("fadd"), F.col("f"))).alias("fadd"))
     if ordered:
@@ -60,12 +64,15 @@ def fold(ops: DataFrame, metrics: list[MetricInfo], ordered: bool, mixed: bool =
                 inside = inside | ((F.col("program") == program) & (F.col("metric") == index) & above & (F.col("f") <= b[k][1]) & ~F.isnan("f"))
         aggregates.append(F.sum(F.when(is_("observe") & inside, 1).otherwise(0)).alias(f"b{k}"))
     cells = met.groupBy(*KEY).agg(*aggregates)
-    sum_of = lambda value, added, zero: F.coalesce(F.col(value) if value in cells.columns else F.lit(None), F.lit(zero)) + F.coalesce(F.col(added) if added in cells.columns else F.lit(None), F.lit(zero))
+    own = lambda name, zero: F.coalesce(F.col(name) if name in cells.columns else F.lit(None), F.lit(zero))
+    whole = wrapped("+", F.shiftleft(own("inc_high", 0).cast("bigint"), 32), own("inc_low", 0).cast("bigint"))
+    if "v_i" in cells.columns:
+        whole = wrapped("+", own("v_i", 0).cast("bigint"), whole)
     text = F.concat(F.coalesce("v_s", F.lit("")) if "v_s" in cells.columns else F.lit(""), F.col("tail") if appended else F.lit(""))
     when = F.when(F.col("wrote").isNull(), F.col("made")).otherwise(F.col("at") if timed else F.lit(None))
     return cells.select(
         *KEY,
-        sum_of("v_i", "inc", 0).cast("bigint").alias("i"), sum_of("v_f", "fadd", 0.0).cast("double").alias("f"), text.alias("s"),
+        whole.alias("i"), (own("v_f", 0.0) + own("fadd", 0.0)).cast("double").alias("f"), text.alias("s"),
         (F.array(*(F.col(f"b{k}") for k in range(longest))) if longest else F.array().cast("array<bigint>")).alias("counts"),
         (F.col("hist_count") if edges else F.lit(0)).cast("bigint").alias("hist_count"), (F.coalesce("hist_sum", F.lit(0.0)) if edges else F.lit(0.0)).alias("hist_sum"),
         F.timestamp_micros(when).alias("ts"), (F.col("expiry").cast("bigint") if ordered else F.lit(None).cast("bigint")).alias("expiry_s"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame
@@ -34,15 +35,18 @@ def page(store: DataFrame, path: str, programs: dict[str, str] | None = None) ->
     return None
 
 
-def serve(store: DataFrame, host: str = "127.0.0.1", port: int = 3903, programs: dict[str, str] | None = None) -> ThreadingHTTPServer:
-    """A server of these pages, not yet running: call serve_forever, or run it in a thread."""
+def serve(store: DataFrame | Callable[[], DataFrame | None], host: str = "127.0.0.1", port: int = 3903, programs: dict[str, str] | None = None) -> ThreadingHTTPServer:
+    """A server of these pages, not yet running: call serve_forever, or run it in a thread.
+
+    store: one, or what gives the latest (a stream's; with None there is none yet)."""
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self) -> None:
-            found = page(store, self.path.partition("?")[0], programs)
-            kind, body = found or (PLAIN, "not found\n")
+            now = store() if callable(store) else store
+            found = page(now, self.path.partition("?")[0], programs) if now is not None else None
+            kind, body = found or (PLAIN, "not found\n" if now is not None else "no batch has ended yet\n")
             raw = body.encode("utf-8")
-            self.send_response(200 if found else 404)
+            self.send_response(200 if found else 404 if now is not None else 503)
             self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()

@@ -4,20 +4,25 @@ Offsets hold, for each path, the file's inode and how many bytes have been read.
 inode is a new one (rotation) and a shorter one was truncated: both are read from the start.  A
 deleted file is forgotten.  Whole lines are read; the rest waits for its newline, or for the end of
 its file: what a rotated or deleted file still got, and a line that truncation cut off, are given out
-too.  As such lines can't be read again, they stand in the offset itself (`_late`).
+too.  As such lines can't be read again, they stand in the offset itself (`_late`).  Files that
+nothing was written to for a day are closed until something is; a handle that has gone stale (network file systems)
+is opened anew.
 """
 
 from __future__ import annotations
 
+import errno
 import glob
 import os
 import re
+import time
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 CHUNK = 128 << 10
 BATCH_BYTES = 64 << 20
+IDLE = 24 * 3600
 
 
 class TailSource(DataSource):
@@ -65,10 +70,9 @@ class TailReader(SimpleDataSourceStreamReader):
             late += self._rest(p, *start[p])
         for p in paths:
             try:
-                f = open(p, "rb")
+                f, s = _opened(p)
             except FileNotFoundError:
                 continue
-            s = os.fstat(f.fileno())
             inode, at = start.get(p, (s.st_ino, 0))
             if inode != s.st_ino:
                 late += self._rest(p, inode, at)
@@ -85,7 +89,11 @@ class TailReader(SimpleDataSourceStreamReader):
             own += [(p, _text(line)) for line in whole.split(b"\n")[:-1]]
             end[p] = [s.st_ino, at + len(whole)]
             left = max(CHUNK, left - len(whole))
-            self._follow(p, f)
+            if whole or time.time() - s.st_mtime < IDLE:
+                self._follow(p, f)
+            else:
+                f.close()
+                self._close(p)
         first = int(start.get("_seq", 0))
         rows = [(p, line, first + k) for k, (p, line) in enumerate([*map(tuple, late), *own])]
         end["_seq"] = first + len(rows)
@@ -93,10 +101,13 @@ class TailReader(SimpleDataSourceStreamReader):
             end["_late"] = late
         return iter(rows), end
 
-    def _follow(self, p: str, f=None) -> None:
+    def _close(self, p: str) -> None:
         old = self.files.pop(p, None)
         if old:
             old.close()
+
+    def _follow(self, p: str, f=None) -> None:
+        self._close(p)
         try:
             self.files[p] = f or open(p, "rb")
         except FileNotFoundError:
@@ -105,7 +116,13 @@ class TailReader(SimpleDataSourceStreamReader):
     def _rest(self, p: str, inode: int, at: int) -> list[list[str]]:
         """The lines from `at` on of the file that was at p: it is still open, or stands beside under another name."""
         f, partial = self.files.pop(p, None), self.partial.pop(p, b"")
-        if f and os.fstat(f.fileno()).st_ino != inode:
+        try:
+            same = f is not None and os.fstat(f.fileno()).st_ino == inode
+        except OSError as why:
+            if why.errno != errno.ESTALE:
+                raise
+            same = False
+        if f and not same:
             f.close()
             f = None
         if f is None and os.path.isdir(os.path.dirname(p)):
@@ -134,6 +151,19 @@ class TailReader(SimpleDataSourceStreamReader):
         return iter([(p, line, first + k) for k, (p, line) in enumerate(rows)])
 
 
+def _opened(p: str, tries: int = 3):
+    """The open file at p and its status; a stale handle is given up for a new one."""
+    while True:
+        f = open(p, "rb")
+        try:
+            return f, os.fstat(f.fileno())
+        except OSError as why:
+            f.close()
+            tries -= 1
+            if why.errno != errno.ESTALE or not tries:
+                raise
+
+
 def _text(line: bytes) -> str:
     return line.removesuffix(b"\r").decode("utf-8", "replace")
 

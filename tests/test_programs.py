@@ -200,3 +200,12 @@ def test_columns_agree_with_row_by_row(play):
     for _ in range(12):
         program = _random_program(r)
         assert play(program, log)[:2] == play(program, log, "C")[:2], program
+
+
+@BOTH
+def test_sums_wrap(play, tier):
+    """Increments add up in 64 bits, as one addition does; sets come before what is added after them."""
+    top = str((1 << 63) - 1)
+    cells, errors, _ = play("counter c\ngauge g\n/^(-?\\d+)$/ {\n  c += $1\n  g += $1\n}\n/^set (-?\\d+)$/ {\n  g = $1\n}\n", f"{top}\n2\nset {top}\n5\n-1\n{top}\n-{top}\n", tier)
+    wrap = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
+    assert errors == 0 and cells[("c", ())] == wrap(int(top) + 6) and cells[("g", ())] == wrap(int(top) + 4)

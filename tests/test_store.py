@@ -249,6 +249,7 @@ def test_stream_of_a_tail(spark, tmp_path):
     query.stop()
     assert value() == {"a": 4, "b": 7}
     assert stream.reload({"p": "counter"}) and not stream.reload(programs)
+    assert len(stream.done()) <= 3
     (tmp_path / "in").mkdir()
     spark.createDataFrame([("f", "a 1", 0), ("f", "a 2", 1)], "filename string, line string, seq bigint").write.mode("append").parquet(str(tmp_path / "in"))
     lines_ = spark.readStream.schema("filename string, line string, seq bigint").parquet(str(tmp_path / "in"))
@@ -339,3 +340,95 @@ def test_graph():
     from metricloom.lang.parser import dot, parse
 
     assert 'label="cond"' in dot(parse('counter c\n/x"y/ {\n  c++\n} else {\n  stop\n}\n'))
+
+
+def test_reload_by_content(spark, tmp_path):
+    """Unchanged programs stay, wrong ones go on as they were, others come and go; old stores are deleted."""
+    from metricloom.sources.lines import from_text
+    from metricloom.streaming.run import KEPT, StoreStream
+
+    one, two = "counter a\n/x/ {\n  a++\n}\n", "counter b\n/y/ {\n  b++\n}\n"
+    progs = tmp_path / "progs"
+    progs.mkdir()
+    (progs / "one.loom").write_text(one)
+    (progs / "two.loom").write_text(two)
+    stream = StoreStream(spark, {"one.loom": one, "two.loom": two}, f"file://{tmp_path}/store", Options(now=WHEN), collect=3600)
+    stream.follow(str(progs), None)
+    same = stream.programs[0]
+    batch = from_text(spark, "x\ny\n")
+    stream.step(batch, 0)
+    (progs / "two.loom").write_text("counter\n")
+    (progs / "three.loom").write_text("counter d\n/x/ {\n  d += 5\n}\n")
+    stream.step(batch, 1)
+    stream.asked = True
+    stream.step(batch, 2)
+    cells = lambda: {r["name"]: r["int_value"] for r in stream.latest().collect()}
+    assert cells() == {"a": 3, "b": 3, "d": 5} and same in stream.programs
+    os.remove(progs / "two.loom")
+    stream.asked = True
+    stream.step(batch, 3)
+    assert cells() == {"a": 4, "d": 10} and stream.done() == [1, 2, 3] and KEPT == 3
+    assert stream.reload({"one.loom": one, "clash": "gauge a\n/x/ {\n  a = 1\n}\n"})
+    counts = {k: v for k, v in stream.counts.items() if v}
+    assert counts == {("prog_loads_total", "one.loom"): 1, ("prog_loads_total", "two.loom"): 1, ("prog_loads_total", "three.loom"): 1, ("prog_load_errors_total", "two.loom"): 1, ("prog_load_errors_total", "clash"): 1,
+                      ("prog_unloads_total", "two.loom"): 1, ("prog_unloads_total", "three.loom"): 1, ("batches_total", ""): 4, ("collections_total", ""): 1}
+
+
+def test_idle_files_are_closed(tmp_path):
+    from metricloom.sources.tail import IDLE, TailReader
+
+    log = tmp_path / "x.log"
+    log.write_text("a\nb")
+    reader = TailReader({"path": str(log), "from_start": "true"})
+    rows, at = reader.read(reader.initialOffset())
+    assert [r[1] for r in rows] == ["a"] and str(log) in reader.files
+    os.utime(log, (time.time() - IDLE - 60,) * 2)
+    rows, at = reader.read(at)
+    assert not list(rows) and not reader.files
+    with log.open("a") as f:
+        f.write("c\n")
+    rows, at = reader.read(at)
+    assert [r[1] for r in rows] == ["bc"] and reader.files
+
+
+def test_a_stale_handle_is_opened_anew(tmp_path, monkeypatch):
+    import errno
+
+    from metricloom.sources import tail
+
+    log, calls, real = tmp_path / "x.log", [], os.fstat
+    log.write_text("a\n")
+
+    def fstat(fd):
+        calls.append(fd)
+        if len(calls) == 1:
+            raise OSError(errno.ESTALE, "stale")
+        return real(fd)
+
+    reader = tail.TailReader({"path": str(log), "from_start": "true"})
+    start = reader.initialOffset()
+    monkeypatch.setattr(tail.os, "fstat", fstat)
+    rows, _ = reader.read(start)
+    assert [r[1] for r in rows] == ["a"] and len(calls) == 2
+
+
+def test_command_line_follows(spark, tmp_path, capsys):
+    from metricloom import cli
+
+    (tmp_path / "p.loom").write_text("counter c by w\n/(?P<w>\\w+)/ {\n  c[$w]++\n}\n")
+    log = tmp_path / "x.log"
+    log.write_text("before\n")
+    assert cli.main(["--progs", str(tmp_path), "--follow"]) == 1 and "--store" in capsys.readouterr().err
+    a = cli.arguments().parse_args(["--progs", str(tmp_path), "--logs", str(log), "--follow", "--store", str(tmp_path / "kept"), "--push", "statsd=tcp://127.0.0.1:9"])
+    stream, query = cli.follow(spark, a, {"p.loom": (tmp_path / "p.loom").read_text()}, Options(now=WHEN))
+    try:
+        deadline, found = time.time() + 90, {}
+        while time.time() < deadline and found.get("after", 0) < 1:
+            with log.open("a") as f:
+                f.write("after\n")
+            time.sleep(1)
+            latest = stream.latest()
+            found = {r["labels"][0]: r["int_value"] for r in latest.collect()} if latest is not None else {}
+    finally:
+        query.stop()
+    assert found.get("after", 0) >= 1 and "before" not in found and stream.on_store.failures == 1
