@@ -9,7 +9,8 @@ A line is the set of its words (A-Z lower-cased); a line is removed if an earlie
 2. Classes are joined exactly as set_join.py says: words ordered by rarity over the whole corpus,
    prefix, length and positional filters, whole sets verified.  In a dense posting list each class
    meets the first one it may be similar to; only if that one doesn't remove it, it meets all others
-   that stand before it.  So pairs grow with a group of near copies, not with its square.
+   that stand before it, in blocks that give the removed classes only.  So rows grow with a group of
+   near copies, not with its square.
 3. A class whose first line has an earlier similar class loses that line too.
 
 A task holds FLUSH classes; a shard's postings grow no further, as there are more shards with more
@@ -161,7 +162,7 @@ def similar_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[Da
     if entries.isEmpty():
         return classes, lost
     open_ = entries.join(lost.select(F.col("id").alias("set"), F.lit(True).alias("gone")), "set", "left").withColumn("out", F.col("gone").isNull()).drop("gone")
-    return classes, lost.unionAll(_removed(set_join.later(open_, num, den), sets, num, den)).distinct()
+    return classes, lost.unionAll(set_join.later(open_, sets, num, den)).distinct()
 
 
 def _removed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

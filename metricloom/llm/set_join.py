@@ -39,6 +39,7 @@ WINDOW = 2048  # longer lists are looked through for leaders first
 TRIES = 8
 CELLS = 1 << 18  # pairs that are looked at together
 X_BLOCK, Z_BLOCK = 256, 1024
+TOKENS = 1 << 18  # of either side of a block of whole sets
 GROUPS = 500_000  # groups whose sizes are sent to all tasks; with more, they are joined
 SPARSE = 8  # pairs for each entry of a list, above which it is dense
 SMALL, FIRSTS = 32, 256  # first ones of a long list that are tried, together and in all
@@ -212,6 +213,17 @@ class Lists:
         at = np.flatnonzero(partner >= 0)
         return np.stack([own[at], own[partner[at]]])
 
+    def met_first(self, pairs: np.ndarray) -> np.ndarray:
+        """(entry, the first by rank of those it is paired with that rank before it)."""
+        i, j = pairs
+        late = (self.rank[i] > self.rank[j]) | ((self.rank[i] == self.rank[j]) & (self.set[i] > self.set[j]))
+        i, j = np.where(late, i, j), np.where(late, j, i)
+        order = np.lexsort((self.set[j], self.rank[j], i))
+        i, j = i[order], j[order]
+        new = np.ones(len(i), bool)
+        new[1:] = i[1:] != i[:-1]
+        return np.stack([i, j])[:, new]
+
     def earliest(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of entries to compare, and the entries of dense lists, whose pairs with first ones are
         among them and whose other pairs `later` gives."""
@@ -219,7 +231,17 @@ class Lists:
         for k in np.flatnonzero(self.size > WINDOW):
             found = self.firsts(k)
             dense[k] = found.shape[1] >= self.size[k] >> 3
-            pairs += [found] if dense[k] else self.within(np.arange(self.head[k], self.head[k] + self.size[k]), np.full(self.size[k], k))
+            if not dense[k]:  # its first ones are like few others, but these may be like one another
+                parts, held = [np.zeros((2, 0), np.int64)], 0
+                for part in self.within(np.arange(self.head[k], self.head[k] + self.size[k]), np.full(self.size[k], k)):
+                    parts.append(part)
+                    held += part.shape[1]
+                    if held > SPARSE * self.size[k]:
+                        dense[k], parts = True, [self.met_first(np.concatenate(parts, 1))]
+                        held = parts[0].shape[1]
+                found = np.concatenate(parts, 1)
+                found = self.met_first(found) if dense[k] else found
+            pairs.append(found)
         lists = np.flatnonzero((self.size > 1) & (self.size <= WINDOW))
         group = np.cumsum(self.size[lists] ** 2) // (CELLS * 4)
         for some in np.split(lists, np.flatnonzero(np.diff(group)) + 1):
@@ -232,12 +254,7 @@ class Lists:
             pairs.append(found[:, ~at])
             if at.any():
                 dense |= many
-                i, j = found[:, at]
-                late = (self.rank[i] > self.rank[j]) | ((self.rank[i] == self.rank[j]) & (self.set[i] > self.set[j]))
-                i, j = np.where(late, i, j), np.where(late, j, i)
-                order = np.lexsort((self.set[j], self.rank[j], i))
-                i, j = i[order], j[order]
-                pairs.append(np.stack([i, j])[:, np.concatenate([[True], i[1:] != i[:-1]])])
+                pairs.append(self.met_first(found[:, at]))
         return np.concatenate(pairs, 1), np.flatnonzero(np.repeat(dense, self.size))
 
     def cluster(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,12 +353,33 @@ def _sent(per: DataFrame) -> DataFrame:
     return F.broadcast(per) if per.count() <= GROUPS else per
 
 
-def later(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of the entries with `out` and those of their list that don't rank after them, in blocks
-    of each list, so that no task holds all of a long one.  entries: ENTRY and out."""
-    per = entries.groupBy("word").agg(F.count_if("out").alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0")
-    per = per.select("word", F.ceil(F.col("n_out") / X_BLOCK).cast("int").alias("xb"), F.ceil(F.col("n_all") / Z_BLOCK).cast("int").alias("zb"))
-    met = entries.join(_sent(per), "word")
+def overlaps(of: np.ndarray, token: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many tokens the sets i and j (as arrays) have in common.  Set k's are token[first[k]:][:n[k]], and of is k there."""
+    _, code = np.unique(token, return_inverse=True)
+    width = len(token) + 1
+    held, out = np.sort(of * width + code), np.empty(len(i), np.int64)
+    total, a = np.cumsum(n[i]), 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CELLS, "right")))
+        t = n[i[a:b]]
+        at = np.arange(int(t.sum())) + np.repeat(first[i[a:b]] - (np.cumsum(t) - t), t)
+        asked = np.repeat(j[a:b], t) * width + code[at]
+        place = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+        out[a:b] = np.bincount(np.repeat(np.arange(b - a), t), weights=held[place] == asked, minlength=b - a)
+        a = b
+    return out
+
+
+def later(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """id of each set of the entries with `out` that is similar to one of their lists of an earlier key.
+
+    Lists meet in blocks, so that no task holds all of a long one.  Whole sets are compared there and only
+    the ids leave it: the pairs of a group of near copies are as many as its square, in each list it shares.
+    entries: ENTRY and out; sets: id, key (doc, text_hash, number, id), n, tokens."""
+    size = lambda which, block: F.ceil(F.greatest(F.count_if(which) / block, F.sum(F.when(which, F.col("n")).otherwise(0)) / TOKENS)).cast("int")
+    per = entries.groupBy("word").agg(size(F.col("out"), X_BLOCK).alias("xb"), size(F.lit(True), Z_BLOCK).alias("zb")).where("xb > 0")
+    whole = sets.select(F.col("id").alias("set"), "key.doc", "key.text_hash", "key.number", "tokens")
+    met = entries.drop("rank").join(_sent(per), "word").join(whole, "set")
     block = lambda seed, n: F.pmod(F.xxhash64("set", F.lit(seed)), F.col(n)).cast("int")
     x = met.where("out").withColumns({"i": block(1, "xb"), "j": F.explode(F.sequence(F.lit(0), F.col("zb") - 1)), "side": F.lit(True)})
     z = met.withColumns({"j": block(2, "zb"), "i": F.explode(F.sequence(F.lit(0), F.col("xb") - 1)), "side": F.lit(False)})
@@ -349,23 +387,29 @@ def later(entries: DataFrame, num: int, den: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(len(side), -1)
-        sets, rank, n, before, after = (table.column(c).to_numpy() for c in ("set", "rank", "n", "before", "after"))
-        left, right, out = np.flatnonzero(side), np.flatnonzero(~side), [np.zeros((2, 0), np.int64)]
-        step = max(1, CELLS // max(1, len(right)))
-        for a in range(0, len(left), step):
-            i, j = np.repeat(left[a : a + step], len(right)), np.tile(right, len(left[a : a + step]))
+        sets, n, before, after, *key = (table.column(c).to_numpy() for c in ("set", "n", "before", "after", "number", "text_hash", "doc"))
+        token = np.concatenate([c.flatten().to_numpy() for c in table.column("tokens").chunks])
+        first, of, place = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), np.empty(len(n), np.int64)
+        place[np.lexsort((sets, *key))] = np.arange(len(n))
+        left, right, gone = np.flatnonzero(side), np.flatnonzero(~side), np.zeros(len(n), bool)
+        right, a = right[np.argsort(place[right])], 0  # more are similar to the first ones
+        while a < len(right) and len(left):
+            step = max(1, (CELLS >> 4) // len(left))
+            j, i = np.repeat(right[a : a + step], len(left)), np.tile(left, len(right[a : a + step]))
             need = least_overlap(n[i], n[j], num, den)
-            good = (rank[j] <= rank[i]) & (sets[i] != sets[j]) & (np.minimum(n[i], n[j]) >= need)
+            good = (place[j] < place[i]) & (sets[i] != sets[j]) & (np.minimum(n[i], n[j]) >= need)
             good &= np.minimum(before[i], before[j]) + np.minimum(after[i], after[j]) >= need
             i, j, need = i[good], j[good], need[good]
             near = np.bitwise_count(sign[i] ^ sign[j]).sum(1) <= n[i] + n[j] - 2 * need
-            out.append(np.stack([sets[i[near]], sets[j[near]]]))
-        a, b = np.concatenate(out, 1)
-        pairs = _distinct_pairs(np.minimum(a, b), np.maximum(a, b))
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            i, j, need = i[near], j[near], need[near]
+            if len(i):
+                gone[i[overlaps(of, token, first, n, i, j) >= need]] = True
+                left = left[~gone[left]]
+            a += step
+        return pa.table({"id": sets[gone]})
 
     both = x.drop("xb", "zb", "out").unionByName(z.drop("xb", "zb", "out"))
-    return both.repartition("word", "i", "j").groupBy("word", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return both.repartition("word", "i", "j").groupBy("word", "i", "j").applyInArrow(run, "id long").distinct()
 
 
 def verify(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

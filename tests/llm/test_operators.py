@@ -548,6 +548,49 @@ def test_pairs_grow_with_a_group(spark):
     assert made[1] < 3 * made[0] and made[2] < 3 * made[1] and made[2] < 40 * 2000
 
 
+def rows_made(spark, node, last):
+    """The most rows that a node whose description begins so gave, of the executions after `last` (-1: there is none)."""
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), -1
+    for n in range(last, store.executionsCount()):
+        key = store.executionsList().apply(n).executionId()
+        values, nodes = store.executionMetrics(key), store.planGraph(key).allNodes()
+        for own in (nodes.apply(k) for k in range(nodes.size())):
+            if own.desc().startswith(node):
+                metrics = {m.name(): m.accumulatorId() for m in (own.metrics().apply(k) for k in range(own.metrics().size()))}
+                most = max(most, int(values.apply(metrics["number of output rows"]).replace(",", "")))
+    return most
+
+
+def test_blocks_of_a_group_give_few_rows(spark):
+    """Lines that no first one removes meet all others, in each list that they share; only removed ones come out."""
+    lines = near_lines(400)
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)).collect()
+    sets = [frozenset(x.split()) for x in lines]
+    lost = {i for i, s in enumerate(sets) if any(5 * len(s & t) >= 4 * len(s | t) for t in sets[:i])}
+    assert {x["doc_id"] for x in got if x["n_removed"]} == lost and 300 < len(lost) < 390
+    assert 0 < rows_made(spark, "FlatMapGroupsInArrow [word", before) < len(lines)
+
+
+def test_pairs_grow_with_a_group_that_comes_late(spark, monkeypatch):
+    """The first lines of a list are like no other; those after them are near copies of one another."""
+    from metricloom.llm import set_join
+    from metricloom.llm.frequency import Survey
+
+    monkeypatch.setattr(set_join, "WINDOW", 100)
+    monkeypatch.setattr(set_join, "FIRSTS", 32)
+    import numpy as np
+
+    known, made = Survey(8, np.full(32, 255, np.uint8), np.zeros(0, np.uint32), np.zeros(0, np.int32)), []
+    for n in (500, 1000, 2000):
+        alone = [" ".join([f"w{k}" for k in range(40) if (i + k) % 4] + [f"a{i}_{k}" for k in range(10)]) for i in range(200)]
+        x = line_dedup.LineSets.read(*textscan.buffer_of(pa.array(["\n".join(alone + near_lines(n))])))
+        pairs, entries = set_join.first_candidates(set_join.postings(x.of, x.word, x.n, x.id, np.arange(len(x.n)), known, 4, 5, 2), 4, 5)
+        made.append(len(pairs))
+    assert made[1] < 3 * made[0] and made[2] < 3 * made[1] and made[2] < 40 * 2000
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
