@@ -6,12 +6,14 @@ import datetime as dt
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .lang.checker import MAX_DEPTH, MAX_PATTERN, Program, compile_program
+from .operators import segments
 from .operators.folds import fold
 from .operators.interpreter import Machine
 from .operators.lower import lower
@@ -72,45 +74,67 @@ typed_name = "array<struct<metric:int,labels:array<string>,op:string,i:bigint,f:
 
 
 def _machine_ops(lines: DataFrame, program: Program, found: Analysis, options: Options, year: int, seed: DataFrame | None) -> DataFrame:
-    """Ops of a program with feedback.  Lines stream through in order: of one partition, or of as many
-    as the key deals them to."""
-    now = options.clock()
-    tracked = found.read
+    """Ops of a program with feedback.  Lines stream through in order: of as many partitions as the key
+    deals them to, or of segments whose first state is known; else of one partition."""
+    now, zone, tracked = options.clock().timestamp(), options.zone, found.read
     cell = ["metric", "labels", "i", "f", "s"]
     kinds = dict(OP_FIELDS)
-    kept = lines.select("seq", "filename", "line", *(F.lit(None).cast(kinds[c]).alias(c) for c in cell))
-    if seed is not None:  # cells of a former store come before all lines, dealt like them
+    former = None
+    if seed is not None:  # cells of a former store come before all lines
         former = seed.where((F.col("program") == program.name) & (F.col("op") == "set") & F.col("metric").isin([*tracked]))
-        kept = kept.unionByName(former.select("seq", F.lit("").alias("filename"), F.lit(None).cast("string").alias("line"), *cell))
-    if found.key is not None:
-        x = found.key.pattern.regex.java()
-        dealt = F.when(F.col("metric").isNotNull(), F.get("labels", F.lit(0))).when(F.col("line").rlike(x), F.regexp_extract("line", x, found.key.group)).otherwise(F.concat(F.lit("-"), F.pmod("seq", F.lit(1024)).cast("string")))
-        rows = kept.withColumn("_key", dealt).repartition("_key").sortWithinPartitions("seq").drop("_key")
-    else:
-        rows = kept.repartition(1).sortWithinPartitions("seq")
-    names = [c for c, _ in OP_FIELDS]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Machine(program, tracked, year, options.zone, now.timestamp())
+    def make() -> Machine:
+        return Machine(program, tracked, year, zone, now)
+
+    begun = None
+    if found.key is None and not lines.isStreaming and not any(m.keys for m in program.metrics if m.index in tracked):
+        first = make()
+        for r in former.collect() if former is not None else []:
+            first.cells[r.metric, ()] = _value(r.i, r.f, r.s)
+        cuts = segments.cut(lines)
+        begun = segments.states(lines, cuts, make, segments.state_of(first)) if tracked else dict.fromkeys(range(len(cuts) + 1), "[]")
+    if begun is not None:
+        rows, columns = segments.dealt(lines, cuts), ("segment", "seq", "filename", "line")
+    else:
+        columns = ("seq", "filename", "line", *cell)
+        kept = lines.select("seq", "filename", "line", *(F.lit(None).cast(kinds[c]).alias(c) for c in cell))
+        if former is not None:  # dealt like the lines
+            kept = kept.unionByName(former.select("seq", F.lit("").alias("filename"), F.lit(None).cast("string").alias("line"), *cell))
+        if found.key is not None:
+            x = found.key.pattern.regex.java()
+            dealt = F.when(F.col("metric").isNotNull(), F.get("labels", F.lit(0))).when(F.col("line").rlike(x), F.regexp_extract("line", x, found.key.group)).otherwise(F.concat(F.lit("-"), F.pmod("seq", F.lit(1024)).cast("string")))
+            rows = kept.withColumn("_key", dealt).repartition("_key").sortWithinPartitions("seq").drop("_key")
+        else:
+            rows = kept.repartition(1).sortWithinPartitions("seq")
+    shape = to_arrow_schema(StructType.fromDDL(OPS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, here = make(), None
         for batch in batches:
             out = []
-            for k in np.flatnonzero(batch.metric.notna()):
-                row = batch.iloc[k]
-                value = int(row.i) if pd.notna(row.i) else float(row.f) if pd.notna(row.f) else row.s
-                machine.cells[int(row.metric), tuple(row["labels"])] = value
-            batch = batch[batch.metric.isna()]
-            for seq, filename, line in zip(batch.seq.tolist(), batch.filename, batch.line, strict=True):
+            for row in segments.walk([batch], columns):
+                if begun is not None:
+                    segment, seq, filename, line = row
+                    if segment != here:
+                        segments.restore(machine, begun[segment])
+                        here = segment
+                else:
+                    seq, filename, line, metric, labels, i, f, s = row
+                    if metric is not None:
+                        machine.cells[metric, tuple(labels)] = _value(i, f, s)
+                        continue
                 ops, error = machine.line(line or "", filename or "")
-                out += [(program.name, m, list(labels), op, i, f, s, None if t is None else dt.datetime.fromtimestamp(t, dt.UTC), seq, k) for m, labels, op, i, f, s, t, k in ops]
+                out += [(program.name, m, labels, op, i, f, s, None if t is None else dt.datetime.fromtimestamp(t, dt.UTC), seq, k) for m, labels, op, i, f, s, t, k in ops]
                 if error is not None:
-                    out.append((program.name, ERROR_METRIC, [], "error", 1, None, None, None, seq, len(ops)))
-            frame = pd.DataFrame(out, columns=names, dtype=object)
-            # Whole numbers of 64 bits must not pass through floats.
-            frame["i"] = pd.array([o[4] for o in out], dtype="Int64")
-            frame["ts"] = pd.to_datetime(frame["ts"], utc=True)
-            yield frame
-
-    return rows.mapInPandas(run, OPS)
+                    out.append((program.name, ERROR_METRIC, (), "error", 1, None, None, None, seq, len(ops)))
+            made = zip(*out, strict=True) if out else [()] * len(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(made, shape, strict=True)], schema=shape)
+
+    return rows.mapInArrow(run, OPS)
+
+
+def _value(i: int | None, f: float | None, s: str | None):
+    return i if i is not None else f if f is not None else s
 
 
 def op_stream(lines: DataFrame, programs: list[Program], options: Options, seed: DataFrame | None = None) -> tuple[DataFrame, dict[str, Analysis]]:
