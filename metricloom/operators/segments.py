@@ -26,6 +26,7 @@ from .interpreter import Machine
 
 LINES = 1 << 16  # of a segment, about
 SEGMENTS = 4096  # at most; a longer log has longer ones
+FILES = 200  # partitions up to which Spark writes a shuffle without holding rows (spark.shuffle.sort.bypassMergeThreshold)
 LEAST = 1 << 13  # lines of a segment where the log has fewer than cores would take
 NOTED = (64, 512, 4096)  # lines after which a segment's state is noted
 ROUNDS = 3
@@ -54,7 +55,7 @@ def cut(lines: DataFrame) -> list[int]:
 
 
 def dealt(lines: DataFrame, cuts: list[int], upto: dict[int, int | None] | None = None) -> DataFrame:
-    """segment, seq, filename, line: a partition for each segment, in order.
+    """segment, seq, filename, line: segments whole and in order, several in a partition where they are many.
 
     upto: only these segments, each up to a seq (None: to its end)."""
     rows = lines.select("seq", "filename", "line")
@@ -72,7 +73,9 @@ def dealt(lines: DataFrame, cuts: list[int], upto: dict[int, int | None] | None
 
         wanted = F.broadcast(local(rows.sparkSession, sorted(upto.items()), "_s int, _upto bigint"))
         rows = rows.join(wanted, (F.col("segment") == F.col("_s")) & (F.col("_upto").isNull() | F.col("seq").isNull() | (F.col("seq") <= F.col("_upto")))).drop("_s", "_upto")
-    return rows.repartitionById(len(cuts) + 1, F.col("segment")).sortWithinPartitions("segment", "seq", "filename", "line")
+    n = len(cuts) + 1
+    parts = min(n, max(FILES, n // 8))
+    return rows.repartitionById(parts, F.col("segment") % F.lit(parts)).sortWithinPartitions("segment", "seq", "filename", "line")
 
 
 def walk(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("segment", "seq", "filename", "line")) -> Iterator[tuple]:

@@ -62,3 +62,48 @@ def test_segments_as_line_by_line(spark, short):
     result = run(table(spark, rows), {"p": RISES}, OPTIONS)
     assert ran(result) == expected
     assert result.ops.rdd.getNumPartitions() > 8
+
+
+STATE = "text state\ncounter c by state\n/\\] (?P<type>\\S+) / {\n  c[state]++\n  state = $type\n}\n"
+
+
+@pytest.mark.parametrize("files", [2, 200])
+def test_states_cross_segments(spark, short, monkeypatch, files):
+    """Most lines don't match, so that a state lasts over several segments; a former store comes first."""
+    monkeypatch.setattr(segments, "FILES", files)  # 2: several segments in a partition
+    pick = random.Random(2)
+    rows = [(n * 3, "f", f"[{n}] {pick.choice(['click', 'view', 'Größe'])} x" if pick.random() < 0.1 else "nothing") for n in range(200)]
+    first = run(table(spark, rows[:60]), {"p": STATE}, OPTIONS).store
+    _, cells = straight(STATE, rows[:60])
+    expected, _ = straight(STATE, rows[60:], cells)
+    result = run(table(spark, rows[60:]), {"p": STATE}, OPTIONS, previous=first)
+    assert ran(result) == expected
+    assert result.ops.where("seq >= 0").select(F.spark_partition_id()).distinct().count() > 1
+    counts = {r.labels[0]: r.int_value for r in result.store.where("name = 'c'").collect()}
+    whole, _ = straight(STATE, rows)
+    assert counts == {x: sum(op[1] == (x,) and op[2] == "inc" for op in whole) for x in counts}
+
+
+SEQUENTIAL = {
+    "count": "gauge n\ncounter third\n/k=/ {\n  n++\n  n % 3 == 0 {\n    third++\n  }\n}\n",
+    "toggle": "gauge on\ncounter c\n/k=\\d/ {\n  on = 1 - on\n  on > 0 {\n    c++\n  }\n}\n",
+    "highest": "gauge top\ncounter rises\n/k=(?P<k>\\d+)/ {\n  $k > top {\n    top = $k\n    rises++\n  }\n}\n",
+    "appended": "text trail\\ncounter c by trail\\n/k=(?P<k>\\\\d)$/ {\\n  trail += $k\\n  c[trail]++\\n}\\n",
+    "failing": "text state\ncounter c\n/k=(?P<k>\\d*)/ {\n  int(state) > 4 {\n    c++\n  }\n}\n/k=(?P<j>\\d*)/ {\n  state = $j\n}\n",
+    "constant": "gauge g\ncounter c\n/k=1/ {\n  g = 1\n}\n/$/ {\n  g == 1 {\n    c++\n  }\n}\n",
+}
+
+
+@pytest.mark.parametrize("name", SEQUENTIAL)
+def test_states_that_do_not_settle(spark, short, name):
+    pick = random.Random(3)
+    rows = [(n, "f", pick.choice(["", "k=", f"k={pick.randrange(9)}", f"k={n}"])) for n in range(120)]
+    expected, _ = straight(SEQUENTIAL[name], rows)
+    assert ran(run(table(spark, rows), {"p": SEQUENTIAL[name]}, OPTIONS)) == expected
+
+
+def test_long_states_are_not_gathered(spark, short, monkeypatch):
+    monkeypatch.setattr(segments, "STATES", 2000)
+    rows = [(n, "f", f"[{n}] {chr(97 + n % 26) * 300} x") for n in range(60)]
+    expected, _ = straight(STATE, rows)
+    assert ran(run(table(spark, rows), {"p": STATE}, OPTIONS)) == expected
