@@ -88,7 +88,7 @@ SEQUENTIAL = {
     "count": "gauge n\ncounter third\n/k=/ {\n  n++\n  n % 3 == 0 {\n    third++\n  }\n}\n",
     "toggle": "gauge on\ncounter c\n/k=\\d/ {\n  on = 1 - on\n  on > 0 {\n    c++\n  }\n}\n",
     "highest": "gauge top\ncounter rises\n/k=(?P<k>\\d+)/ {\n  $k > top {\n    top = $k\n    rises++\n  }\n}\n",
-    "appended": "text trail\\ncounter c by trail\\n/k=(?P<k>\\\\d)$/ {\\n  trail += $k\\n  c[trail]++\\n}\\n",
+    "appended": "text trail\ncounter c by trail\n/k=(?P<k>\\d)$/ {\n  trail += $k\n  c[trail]++\n}\n",
     "failing": "text state\ncounter c\n/k=(?P<k>\\d*)/ {\n  int(state) > 4 {\n    c++\n  }\n}\n/k=(?P<j>\\d*)/ {\n  state = $j\n}\n",
     "constant": "gauge g\ncounter c\n/k=1/ {\n  g = 1\n}\n/$/ {\n  g == 1 {\n    c++\n  }\n}\n",
 }
@@ -107,3 +107,22 @@ def test_long_states_are_not_gathered(spark, short, monkeypatch):
     rows = [(n, "f", f"[{n}] {chr(97 + n % 26) * 300} x") for n in range(60)]
     expected, _ = straight(STATE, rows)
     assert ran(run(table(spark, rows), {"p": STATE}, OPTIONS)) == expected
+
+
+AVERAGE = "gauge avg\n/ k=(?P<k>\\d+) / {\n  avg = 0.5 * $k + 0.5 * avg\n}\n"
+
+
+@pytest.mark.parametrize("weight", ["0.5", "0.3"])
+def test_averages_are_the_same_to_the_bit(spark, monkeypatch, weight):
+    """A running average forgets its start within the noted lines; in short segments it doesn't and runs again."""
+    text = AVERAGE.replace("0.5 * $k", f"{weight} * $k").replace("0.5 * avg", f"{1 - float(weight)} * avg")
+    pick = random.Random(4)
+    rows = [(n * n, "f", f"a k={pick.randrange(100)} b") for n in range(1500)]
+    expected, cells = straight(text, rows)
+    for lines, noted in ((500, (64, 512, 4096)), (400, (100, 300)), (40, (8, 16))):
+        monkeypatch.setattr(segments, "LINES", lines)
+        monkeypatch.setattr(segments, "NOTED", noted)
+        result = run(table(spark, rows), {"p": text}, OPTIONS)
+        assert ran(result) == expected
+        assert result.ops.select(F.spark_partition_id()).distinct().count() > 1 or lines == 40
+        assert [r.float_value for r in result.store.collect()] == [cells[0, ()]]
